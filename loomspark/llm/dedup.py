@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import BROADCAST_ROWS, LOWER, hashes, mix, slices, words, written
 
 #: Minwise tokens of a signature; independent trees; classes of a node that are compared with all of it; pivots of a large node.
-TOKENS, TREES, FEW, PIVOTS = 64, 8, 32, 16
+TOKENS, TREES, FEW, PIVOTS = 64, 12, 256, 4
+#: Bins of a sketch (a power of two).
+BINS = 256
 _ODD = np.random.default_rng(11).integers(1, 1 << 62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(12).integers(1, 1 << 62, TOKENS, dtype=np.uint64)
 
@@ -64,8 +66,16 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A byte of the smallest hash in each of BINS equal ranges, 0 where there is none. s is sorted."""
+    bins, first = np.unique(s >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[bins.astype(np.int64)] = np.maximum(s[first] & np.uint64(255), 1).astype(np.uint8)
+    return out
+
+
 def sketches(documents: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, its tokens (array of int) and their lowest bytes."""
+    """doc_id, n_shingles, two fingerprints of the set, its minwise tokens (array of int) and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in slices(batches, limit=1 << 20):
@@ -74,34 +84,45 @@ def sketches(documents: DataFrame, width: int = 3) -> DataFrame:
                 one = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
                 two = np.array([mix(x ^ np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64) for x in sets], np.uint64)
             tokens = np.stack([signature(x) for x in sets])
-            small = mix(tokens.astype(np.uint64)).astype(np.uint8)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, TOKENS * len(sets) + 1, TOKENS, dtype=np.int32)), pa.array(tokens.ravel().view(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, pa.array([x.tobytes() for x in small], pa.binary())],
+                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, pa.array([sketch(x).tobytes() for x in sets], pa.binary())],
                 ["doc_id", "n_shingles", "one", "two", "tokens", "sketch"],
             )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, tokens array<int>, sketch binary")
 
 
-def _alike(pairs: DataFrame, least: int) -> DataFrame:
-    """Of (a, sketch, probes), the pairs of a with a probe of another component whose sketches agree in `least` bytes."""
+def _alike(pairs: DataFrame, j: float) -> DataFrame:
+    """Of (a, sketch, probes), the pairs of a with a probe of another component whose sketches don't rule out a similarity of j.
+
+    Bins that are empty in both say nothing; the share of equal ones among the others estimates
+    the similarity, and pairs up to four deviations below j go on to be confirmed. Bins sample
+    the union of the sets without replacement, so the deviation is less where they hold most of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a = batch.column("cls").to_numpy()
             comp = batch.column("comp").to_numpy()
-            mine = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
+            mine = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
             lists = batch.column("probes")
             flat = lists.flatten()
             if not len(flat):
                 continue
             row = np.repeat(np.arange(len(a)), pc.list_value_length(lists).to_numpy())
             b, b_comp = flat.field("cls").to_numpy(), flat.field("comp").to_numpy()
-            theirs = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
+            theirs = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
             keep = np.flatnonzero((comp[row] != b_comp) & (a[row] != b))
-            same = np.concatenate([(mine[row[k]] == theirs[k]).sum(1) for k in np.array_split(keep, max(1, len(keep) // 65536))]) if len(keep) else keep
-            keep = keep[same >= least]
+            n, b_n = batch.column("n").to_numpy(), flat.field("n").to_numpy()
+            parts = []
+            for k in np.array_split(keep, max(1, len(keep) // 65536)):
+                x, y = mine[row[k]], theirs[k]
+                some = np.maximum(((x | y) > 0).sum(1), 1)
+                whole = np.maximum((n[row[k]] + b_n[k]) / (1 + j), some + 1)
+                near = ((x == y) & (x > 0)).sum(1) / some >= j - 4 * np.sqrt(j * (1 - j) / some * (1 - some / whole)) - 1 / some
+                parts.append(k[near & (np.minimum(n[row[k]], b_n[k]) >= j * np.maximum(n[row[k]], b_n[k]))])
+            keep = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([pa.array(a[row[keep]]), pa.array(b[keep])], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -126,7 +147,7 @@ def _confirm(documents: DataFrame, pairs: DataFrame, numerator: int, width: int)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "cls long, set binary"))
+    sets = written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "cls long, set binary"), 1000)
     joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
@@ -139,16 +160,26 @@ def components(links: DataFrame) -> DataFrame:
         least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         met = near.join(least, "u")
         out = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")) if small else met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return (out.unionByName(least.select("u", F.col("m").alias("v"))) if small else out).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        return (out.unionByName(least.select("u", F.col("m").alias("v"))) if small else out).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
-    edges, before = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
-        edges = written(star(star(edges, False), True))
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
-        if now == before:
-            break
-        before = now
-    return edges.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("comp")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct())
+        edges = written(star(star(edges, False), True).distinct())
+        # stars are left once every end has one root and no root is an end
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)").isEmpty():
+            return edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct())
+
+
+def _join_components(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components so far, joined by further links between classes."""
+    if comps is None:
+        return written(components(links))
+    at = lambda c: comps.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    merged = components(between).select(F.col("cls").alias("comp"), F.col("comp").alias("root"))
+    old = comps.join(merged, "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp"))
+    return written(old.unionByName(merged.select(F.col("comp").alias("cls"), F.col("root").alias("comp"))).distinct())
 
 
 def _node(parent: Column, coordinate: Column) -> Column:
@@ -156,7 +187,7 @@ def _node(parent: Column, coordinate: Column) -> Column:
     return F.xxhash64(parent, coordinate, F.element_at("tokens", (coordinate + 1).cast("int")))
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, trees: int = TREES, few: int = FEW, deepest: int = 24) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, trees: int = TREES, few: int = FEW, deepest: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of documents.
 
     Links are pairs of texts with 100 * intersection >= percent * union of their shingle sets.
@@ -168,66 +199,65 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
     Nodes that are still unsettled at level `deepest` are settled by comparing all their classes
     that lie outside the largest component with the whole node, however many.
     """
-    read = written(sketches(documents, width))
+    read = written(sketches(documents, width), 1000)
     classes = read.where("doc_id is not null and n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("cls"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"))
     classes = written(classes)
     fingerprint = ["one", "two", "n_shingles"]
     # an id that stands in rows of different texts ties them together
     again = written(read.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    links: DataFrame | None = None
     comps: DataFrame | None = None
     if not again.isEmpty():
         tied = read.join(again, "doc_id").select("doc_id", *fingerprint).distinct().join(classes.select("cls", *fingerprint), fingerprint)
-        links = written(tied.select(F.col("doc_id").alias("a"), F.col("cls").alias("b")).where("a <> b").distinct())
-        comps = components(links)
+        comps = _join_components(None, tied.select(F.col("doc_id").alias("a"), F.col("cls").alias("b")).where("a <> b"))
     j = percent / 100
-    # tokens alike from which a pair is confirmed on full sets: five deviations under those expected
-    least = max(1, int(TOKENS * j - 5 * (TOKENS * j * (1 - j)) ** 0.5))
     second = int(100 * (1 / j - 1))
 
     # The root of each tree selects coordinates of its own: trees are independent.
     order = np.random.default_rng(5).permutation(TOKENS)
     picks = [(t, int(order[(t + trees * k) % TOKENS])) for k in range(2) for t in range(trees) if k == 0 or np.random.default_rng(100 + t).integers(100) < second]
     root = F.array(*[F.struct(_node(F.lit(-1 - t).cast("long"), F.lit(c)).alias("node"), F.lit(t).alias("tree")) for t, c in picks])
-    light = classes.select("cls", F.explode(root).alias("r")).select("cls", F.col("r.node").alias("node"))
+    light = classes.select("cls", F.explode(root).alias("r")).select("cls", F.col("r.node").alias("node"), F.col("r.tree").alias("tree"))
     shared = light.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     members = written(light.join(shared, "node"))
-    for level in range(deepest + 1):
-        with_comp = members.withColumn("comp", F.col("cls")) if comps is None else members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        with_comp = written(with_comp)
-        by_comp = written(with_comp.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("p")))
+    probe = F.struct("cls", "comp", "n", "sketch")
+    tested: DataFrame | None = None
+    for level in range(-1, deepest + 1):
+        # First the nodes of two trees are linked through a pivot each, so that dense groups are
+        # components before their pairs could be listed; then all trees are gone through.
+        first, last = level < 0, level == deepest
+        with_comp = members.where("tree < 2") if first else members
+        with_comp = with_comp.withColumn("comp", F.col("cls")) if comps is None else with_comp.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        by_comp = with_comp.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
         nodes = by_comp.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("n_comps")).where("n_comps > 1")
-        nodes = written(nodes.select("node", F.col("major.comp").alias("major"), (F.col("n") - F.col("major.c")).alias("outside")))
-        if nodes.isEmpty():
-            break
-        settled = (F.col("outside") <= few) | F.lit(level == deepest)
-        # probes: all outside the largest component where they are few; else the first class by hash of each of PIVOTS lots of components
-        outer = by_comp.join(nodes, "node").where("comp <> major")
-        chosen = outer.where(~settled).withColumn("lot", F.pmod(F.xxhash64(F.lit(3), "comp"), F.lit(PIVOTS))).groupBy("node", "lot").agg(F.min("p").alias("p")).select("node", F.col("p.cls").alias("cls"))
-        all_outer = with_comp.join(nodes.where(settled), "node").where("comp <> major").select("node", "cls")
-        pick = written(all_outer.unionByName(chosen).distinct())
-        with_sketch = pick.join(with_comp, ["node", "cls"]).join(classes.select("cls", "sketch"), "cls").select("node", "cls", "comp", "sketch")
-        if level == deepest:  # unbounded lists are cut into lots
-            with_sketch = with_sketch.withColumn("lot", F.pmod(F.xxhash64("cls"), F.lit(1_000_003)))
-            probes = with_sketch.groupBy("node", "lot").agg(F.collect_list(F.struct("cls", "comp", "sketch")).alias("probes")).drop("lot")
-        else:
-            probes = with_sketch.groupBy("node").agg(F.collect_list(F.struct("cls", "comp", "sketch")).alias("probes"))
-        active = with_comp.join(nodes.select("node"), "node").join(classes.select("cls", "sketch"), "cls")
-        pairs = _alike(active.join(probes, "node").select("cls", "comp", "sketch", "probes"), least)
-        pairs = written(pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"), F.min("b").alias("b")).select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-        found = written(_confirm(documents, pairs, percent, width))
-        links = found if links is None else written(links.unionByName(found).distinct())
-        comps = components(links)
-        if level == deepest:
+        outside = F.col("n") - F.col("major.c")
+        nodes = written(nodes.select("node", F.col("major.comp").alias("major"), (F.lit(last) | (outside <= (1 if first else few))).alias("settled")))
+        if not first and nodes.isEmpty():
             break
-        onward = nodes.where(~settled).select("node")
-        if onward.isEmpty():
+        active = written(with_comp.join(nodes, "node").join(classes.select("cls", F.col("n_shingles").alias("n"), "sketch"), "cls").select("node", "cls", "tree", "comp", "n", "sketch", "settled", (F.col("comp") == F.col("major")).alias("inner")))
+        # probes: all outside the largest component where they are few (at the last level in lots, however many); else some pivots
+        outer = active.where(~F.col("inner"))
+        lots = F.pmod(F.xxhash64("cls"), F.lit(1_000_003)) if last else F.lit(0).cast("long")
+        pivot_lot = F.pmod(F.xxhash64(F.lit(3), "comp"), F.lit(1 if first else PIVOTS))
+        pivots = outer.where(~F.col("settled")).groupBy("node", pivot_lot.alias("lot")).agg(F.min(F.struct(F.xxhash64("cls").alias("h"), probe.alias("p"))).alias("m")).select("node", F.lit(0).cast("long").alias("lot"), F.col("m.p").alias("p"))
+        chosen = outer.where("settled").select("node", lots.alias("lot"), probe.alias("p")).unionByName(pivots)
+        probes = chosen.groupBy("node", "lot").agg(F.collect_list("p").alias("probes")).drop("lot")
+        pairs = _alike(active.join(probes, "node").select("cls", "comp", "n", "sketch", "probes"), j)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), 256)
+        tested = pairs if tested is None else tested.unionByName(pairs)  # no pair is confirmed twice
+        comps = _join_components(comps, written(_confirm(documents, pairs, percent, width), 1000))
+        if first:
+            continue
+        # on to children, three levels at once: pivots have met all of their node and stay behind
+        rest = active.where(~F.col("settled")).join(pivots.select("node", F.col("p.cls").alias("cls")), ["node", "cls"], "left_anti").join(classes.select("cls", "tokens"), "cls").select("cls", "tree", "tokens", "node")
+        for _ in range(3):
+            coordinate = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(TOKENS))
+            other = F.pmod(coordinate + 1 + F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(TOKENS - 1)), F.lit(TOKENS))
+            one = F.array(_node(F.col("node"), coordinate))
+            rest = rest.select("cls", "tree", "tokens", F.explode(F.when(F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(100)) < second, F.concat(one, F.array(_node(F.col("node"), other)))).otherwise(one)).alias("node"))
+        members = written(rest.select("cls", "tree", "node"))
+        if last or members.isEmpty():
             break
-        rest = with_comp.select("node", "cls").join(onward, "node").join(pick, ["node", "cls"], "left_anti").join(classes.select("cls", "tokens"), "cls")
-        coordinate = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(TOKENS))
-        other = F.pmod(coordinate + 1 + F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(TOKENS - 1)), F.lit(TOKENS))
-        branches = F.when(F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(100)) < second, F.array(_node(F.col("node"), coordinate), _node(F.col("node"), other))).otherwise(F.array(_node(F.col("node"), coordinate)))
-        members = written(rest.select("cls", F.explode(branches).alias("node")))
 
     # classes of the documents: the smallest id of each set, then of each component
     ends = classes.select("cls", *fingerprint)
