@@ -187,6 +187,14 @@ def _node(parent: Column, coordinate: Column) -> Column:
     return F.xxhash64(parent, coordinate, F.element_at("tokens", (coordinate + 1).cast("int")))
 
 
+def _children(node: Column, second: int) -> Column:
+    """Where a class goes on to from a node: by one minwise token, and by another one at `second` of 100 nodes."""
+    coordinate = F.pmod(F.xxhash64(F.lit(1), node), F.lit(TOKENS))
+    other = F.pmod(coordinate + 1 + F.pmod(F.xxhash64(F.lit(2), node), F.lit(TOKENS - 1)), F.lit(TOKENS))
+    one = F.array(_node(node, coordinate))
+    return F.when(F.pmod(F.xxhash64(F.lit(4), node), F.lit(100)) < second, F.concat(one, F.array(_node(node, other)))).otherwise(one)
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, trees: int = TREES, few: int = FEW, deepest: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of documents.
 
@@ -250,11 +258,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
             continue
         # on to children, three levels at once: pivots have met all of their node and stay behind
         rest = active.where(~F.col("settled")).join(pivots.select("node", F.col("p.cls").alias("cls")), ["node", "cls"], "left_anti").join(classes.select("cls", "tokens"), "cls").select("cls", "tree", "tokens", "node")
-        for _ in range(3):
-            coordinate = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(TOKENS))
-            other = F.pmod(coordinate + 1 + F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(TOKENS - 1)), F.lit(TOKENS))
-            one = F.array(_node(F.col("node"), coordinate))
-            rest = rest.select("cls", "tree", "tokens", F.explode(F.when(F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(100)) < second, F.concat(one, F.array(_node(F.col("node"), other)))).otherwise(one)).alias("node"))
+        children = _children(F.col("node"), second)
+        for _ in range(2):
+            children = F.flatten(F.transform(children, lambda n: _children(n, second)))
+        rest = rest.select("cls", "tree", F.explode(children).alias("node"))
         members = written(rest.select("cls", "tree", "node"))
         if last or members.isEmpty():
             break
