@@ -130,7 +130,7 @@ def _alike(pairs: DataFrame, j: float) -> DataFrame:
 
 def _confirm(documents: DataFrame, pairs: DataFrame, numerator: int, width: int) -> DataFrame:
     """Of distinct pairs (a member, b probe), those with 100 * intersection >= numerator * union on full sets."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = written(pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct())
     few = ids.count() <= 5 * BROADCAST_ROWS  # single ids of 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
