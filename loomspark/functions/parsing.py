@@ -1,0 +1,34 @@
+"""Native parts of parsing: the outer braces, and salvage of key-value pairs by regular expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Patterns of salvaged pairs, in order of precedence (later wins).
+PAIRS = (r'"(\w+)"\s*:\s*"([^"]*)"', r'"(\w+)"\s*:\s*(\d+)', r'"(\w+)"\s*:\s*(true|false|null)')
+
+
+def brace_text(content: Column) -> Column:
+    """From the first `{` to the last `}`, else an empty string."""
+    return F.regexp_extract(F.trim(content), r"(?s)\{.*\}", 0)
+
+
+def repaired(content: Column) -> Column:
+    """Escaped line feeds doubled, line feeds to spaces, stray backslashes doubled."""
+    lines = F.replace(F.replace(content, F.lit("\\n"), F.lit("\\\\n")), F.lit("\n"), F.lit(" "))
+    return F.regexp_replace(lines, r'\\(?!["\\/bfnrt])', r"\\\\\\\\")
+
+
+def salvaged(df: DataFrame, content: str, *keys: str) -> DataFrame:
+    """key, type and value of the last pair for each key: patterns in order, then places."""
+    each = [F.transform(F.arrays_zip(F.regexp_extract_all(F.col(content), F.lit(p), F.lit(1)).alias("k"), F.regexp_extract_all(F.col(content), F.lit(p), F.lit(2)).alias("v")), lambda x, i, n=n: F.struct(F.lit(n).alias("pattern"), i.alias("pos"), x["k"].alias("key"), x["v"].alias("raw"))) for n, p in enumerate(PAIRS)]
+    rows = df.select(*keys, F.explode(F.concat(*each)).alias("p")).select(*keys, "p.*")
+    last = rows.groupBy(*keys, "key").agg(F.max_by("raw", F.struct("pattern", "pos")).alias("raw"))
+    kind = F.when(F.col("raw").rlike("^[0-9]+$"), "integer").when(F.col("raw").isin("true", "false"), "boolean").when(F.col("raw") == "null", "null").otherwise("string")
+    return last.select(*keys, "key", kind.alias("type"), F.when(kind != "null", F.col("raw")).alias("value"))
+
+
+def numbered(df: DataFrame, n: int, order: str, *by: str) -> DataFrame:
+    """The first n rows of each group in order, with row_no from 1."""
+    return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("row_no") <= n)
