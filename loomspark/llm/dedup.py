@@ -30,7 +30,7 @@ from loomspark.llm.common import BROADCAST_ROWS, LOWER, hashes, mix, slices, wor
 #: Minwise tokens of a signature; independent trees; classes of a node that are compared with all of it; pivots of a large node.
 TOKENS, TREES, FEW, PIVOTS = 64, 12, 256, 4
 #: Bins of a sketch (a power of two).
-BINS = 256
+BINS = 512
 _ODD = np.random.default_rng(11).integers(1, 1 << 62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(12).integers(1, 1 << 62, TOKENS, dtype=np.uint64)
 
@@ -93,39 +93,44 @@ def sketches(documents: DataFrame, width: int = 3) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, tokens array<int>, sketch binary")
 
 
-def _alike(pairs: DataFrame, j: float) -> DataFrame:
-    """Of (a, sketch, probes), the pairs of a with a probe of another component whose sketches don't rule out a similarity of j.
+def _alike(nodes: DataFrame, j: float) -> DataFrame:
+    """Of rows (node, settled, members, probes), the pairs of a member with a probe of another component whose sketches don't rule out a similarity of j.
 
     Bins that are empty in both say nothing; the share of equal ones among the others estimates
     the similarity, and pairs up to four deviations below j go on to be confirmed. Bins sample
     the union of the sets without replacement, so the deviation is less where they hold most of it.
+    A pair that meets in several settled nodes is given in the first of them alone.
     """
 
+    def columns(lists: pa.ListArray) -> tuple:
+        flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(int)
+        mine = flat.field("mine")
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(mine).to_numpy(zero_copy_only=False))]).astype(int)
+        sketches_ = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        return flat.field("cls").to_numpy(), flat.field("comp").to_numpy(), flat.field("n").to_numpy(), sketches_, mine.flatten().to_numpy(), at, ends
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = batch.column("cls").to_numpy()
-            comp = batch.column("comp").to_numpy()
-            mine = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-            lists = batch.column("probes")
-            flat = lists.flatten()
-            if not len(flat):
-                continue
-            row = np.repeat(np.arange(len(a)), pc.list_value_length(lists).to_numpy())
-            b, b_comp = flat.field("cls").to_numpy(), flat.field("comp").to_numpy()
-            theirs = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-            keep = np.flatnonzero((comp[row] != b_comp) & (a[row] != b))
-            n, b_n = batch.column("n").to_numpy(), flat.field("n").to_numpy()
-            parts = []
-            for k in np.array_split(keep, max(1, len(keep) // 65536)):
-                x, y = mine[row[k]], theirs[k]
-                some = np.maximum(((x | y) > 0).sum(1), 1)
-                whole = np.maximum((n[row[k]] + b_n[k]) / (1 + j), some + 1)
-                near = ((x == y) & (x > 0)).sum(1) / some >= j - 4 * np.sqrt(j * (1 - j) / some * (1 - some / whole)) - 1 / some
-                parts.append(k[near & (np.minimum(n[row[k]], b_n[k]) >= j * np.maximum(n[row[k]], b_n[k]))])
-            keep = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(a[row[keep]]), pa.array(b[keep])], ["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
+            a_cls, a_comp, a_n, a_bins, a_mine, a_at, a_ends = columns(batch.column("members"))
+            b_cls, b_comp, b_n, b_bins, b_mine, b_at, b_ends = columns(batch.column("probes"))
+            out = []
+            for i, (node, settled) in enumerate(zip(batch.column("node").to_pylist(), batch.column("settled").to_pylist(), strict=True)):
+                a, b = slice(a_ends[i], a_ends[i + 1]), slice(b_ends[i], b_ends[i + 1])
+                low, high = np.minimum(a_n[a, None], b_n[None, b]), np.maximum(a_n[a, None], b_n[None, b])
+                rows, cols = np.nonzero((a_comp[a, None] != b_comp[None, b]) & (a_cls[a, None] != b_cls[None, b]) & (low >= j * high))
+                for k in range(0, len(rows), 16384):
+                    r, c = rows[k : k + 16384] + a.start, cols[k : k + 16384] + b.start
+                    x, y = a_bins[r], b_bins[c]
+                    some = np.maximum(((x | y) > 0).sum(1), 1)
+                    whole = np.maximum((a_n[r] + b_n[c]) / (1 + j), some + 1)
+                    near = ((x == y) & (x > 0)).sum(1) / some >= j - 4 * np.sqrt(j * (1 - j) / some * (1 - some / whole)) - 1 / some
+                    for p, q in zip(r[near], c[near], strict=True):
+                        if not settled or node == min(set(a_mine[a_at[p] : a_at[p + 1]].tolist()).intersection(b_mine[b_at[q] : b_at[q + 1]].tolist())):
+                            out.append((min(a_cls[p], b_cls[q]), max(a_cls[p], b_cls[q])))
+            out = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    return nodes.mapInArrow(run, "a long, b long")
 
 
 def _confirm(documents: DataFrame, pairs: DataFrame, numerator: int, width: int) -> DataFrame:
@@ -227,7 +232,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
     light = classes.select("cls", F.explode(root).alias("r")).select("cls", F.col("r.node").alias("node"), F.col("r.tree").alias("tree"))
     shared = light.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     members = written(light.join(shared, "node"))
-    probe = F.struct("cls", "comp", "n", "sketch")
+    probe = F.struct("cls", "comp", "n", "sketch", "mine")
     tested: DataFrame | None = None
     for level in range(-1, deepest + 1):
         # First the nodes of two trees are linked through a pivot each, so that dense groups are
@@ -238,10 +243,13 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
         by_comp = with_comp.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
         nodes = by_comp.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("n_comps")).where("n_comps > 1")
         outside = F.col("n") - F.col("major.c")
-        nodes = written(nodes.select("node", F.col("major.comp").alias("major"), (F.lit(last) | (outside <= (1 if first else few))).alias("settled")))
+        nodes = written(nodes.select("node", F.col("major.comp").alias("major"), "n", (F.lit(last) | (outside <= (1 if first else few))).alias("settled")))
         if not first and nodes.isEmpty():
             break
-        active = written(with_comp.join(nodes, "node").join(classes.select("cls", F.col("n_shingles").alias("n"), "sketch"), "cls").select("node", "cls", "tree", "comp", "n", "sketch", "settled", (F.col("comp") == F.col("major")).alias("inner")))
+        at = with_comp.join(nodes, "node").select("cls", F.struct("node", "tree", "comp", "settled", (F.col("comp") == F.col("major")).alias("inner"), F.col("n").alias("n_node")).alias("at"))
+        at = at.groupBy("cls").agg(F.collect_list("at").alias("at"))  # as many as a class has nodes: some for each tree
+        mine = F.array_sort(F.transform(F.filter("at", lambda x: x["settled"]), lambda x: x["node"]))
+        active = written(at.join(classes.select("cls", F.col("n_shingles").alias("n"), "sketch"), "cls").select("cls", "n", "sketch", mine.alias("mine"), F.explode("at").alias("at")).select("at.*", "cls", "n", "sketch", "mine"))
         # probes: all outside the largest component where they are few (at the last level in lots, however many); else some pivots
         outer = active.where(~F.col("inner"))
         lots = F.pmod(F.xxhash64("cls"), F.lit(1_000_003)) if last else F.lit(0).cast("long")
@@ -249,9 +257,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
         pivots = outer.where(~F.col("settled")).groupBy("node", pivot_lot.alias("lot")).agg(F.min(F.struct(F.xxhash64("cls").alias("h"), probe.alias("p"))).alias("m")).select("node", F.lit(0).cast("long").alias("lot"), F.col("m.p").alias("p"))
         chosen = outer.where("settled").select("node", lots.alias("lot"), probe.alias("p")).unionByName(pivots)
         probes = chosen.groupBy("node", "lot").agg(F.collect_list("p").alias("probes")).drop("lot")
-        pairs = _alike(active.join(probes, "node").select("cls", "comp", "n", "sketch", "probes"), j)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), 256)
+        lots_of_members = F.pmod(F.xxhash64(F.lit(5), "cls"), F.ceil(F.col("n_node") / F.lit(few)))
+        chunks = active.groupBy("node", "settled", lots_of_members.alias("chunk")).agg(F.collect_list(probe).alias("members"))
+        pairs = _alike(chunks.join(probes, "node").select("node", "settled", "members", "probes"), j).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), 48)
         tested = pairs if tested is None else tested.unionByName(pairs)  # no pair is confirmed twice
         comps = _join_components(comps, written(_confirm(documents, pairs, percent, width), 1000))
         if first:
