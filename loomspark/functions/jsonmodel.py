@@ -41,8 +41,7 @@ def _fields(value, path: str, depth: int, in_list: bool):
             yield from _fields(x, at, depth + 1, in_list or isinstance(value, list))
 
 
-@F.pandas_udf(f"array<{FIELD}>")
-def fields_of(data: pd.Series) -> pd.Series:
+def _fields_of(data: pd.Series) -> pd.Series:
     """All members of an object at any depth, list items too (by their number)."""
 
     def one(x):
@@ -62,7 +61,8 @@ def fields(data: DataFrame, column: str = "data", *keys: str) -> DataFrame:
 
 def is_truthy(json_type: Column, value_json: Column) -> Column:
     """Python's truth of a JSON value."""
-    zero = value_json.cast("string").rlike(r"^-?0+(\.0*)?([eE][+-]?\d+)?$")
+    value_json = value_json.cast("string")
+    zero = value_json.rlike(r"^-?0+(\.0*)?([eE][+-]?\d+)?$")
     return ~(value_json.isin("null", "false", '""', "[]", "{}") | (json_type.isin("integer", "number") & zero))
 
 
@@ -78,8 +78,7 @@ def _walk(value, depth: int, under_list: bool):
                     yield from _walk(y, depth + 1, True)
 
 
-@F.pandas_udf(f"array<{NODE}>")
-def nodes_of(schema: pd.Series) -> pd.Series:
+def _nodes_of(schema: pd.Series) -> pd.Series:
     """Every object of a schema document; lists add no level."""
     return schema.map(lambda x: list(_walk(json.loads(x), 0, False)))
 
@@ -97,14 +96,12 @@ def _properties(schema, path: str):
             yield from _properties(sub, at)
 
 
-@F.pandas_udf(f"array<{PROPERTY}>")
-def properties_of(schema: pd.Series) -> pd.Series:
+def _properties_of(schema: pd.Series) -> pd.Series:
     """Properties at every level reached by `properties`, and required names that are none (without a schema_path)."""
     return schema.map(lambda x: list(_properties(json.loads(x), "")))
 
 
-@F.pandas_udf("struct<ascii: string, dump: string, names: array<string>, sections: array<struct<name: string, json: string, dump: string>>>")
-def schema_texts(schema: pd.Series) -> pd.DataFrame:
+def _schema_texts(schema: pd.Series) -> pd.DataFrame:
     """Compact ASCII text, the dump that prompts show, top-level names, and sections of five properties each."""
 
     def dump(x) -> str:
@@ -158,7 +155,33 @@ def _parse(content: str | None) -> dict:
     return {"data": dumps(pairs), "confidence": 0.3 if pairs else 0.1, "error": None}
 
 
-@F.pandas_udf("struct<data: string, confidence: double, error: string>")
-def parse_completion(content: pd.Series) -> pd.DataFrame:
+def _parse_completion(content: pd.Series) -> pd.DataFrame:
     """Canonical JSON of a completion's first `{` to last `}` (or all of it), repaired or salvaged where needed."""
     return pd.DataFrame([_parse(x) for x in content], columns=["data", "confidence", "error"])
+
+# The UDFs are made where they are used: types are parsed by the session, which workers lack.
+
+
+def fields_of(column: Column | str) -> Column:
+    """See _fields_of."""
+    return F.pandas_udf(_fields_of, f"array<{FIELD}>")(column)
+
+
+def nodes_of(column: Column | str) -> Column:
+    """See _nodes_of."""
+    return F.pandas_udf(_nodes_of, f"array<{NODE}>")(column)
+
+
+def properties_of(column: Column | str) -> Column:
+    """See _properties_of."""
+    return F.pandas_udf(_properties_of, f"array<{PROPERTY}>")(column)
+
+
+def schema_texts(column: Column | str) -> Column:
+    """See _schema_texts."""
+    return F.pandas_udf(_schema_texts, "struct<ascii: string, dump: string, names: array<string>, sections: array<struct<name: string, json: string, dump: string>>>")(column)
+
+
+def parse_completion(column: Column | str) -> Column:
+    """See _parse_completion."""
+    return F.pandas_udf(_parse_completion, "struct<data: string, confidence: double, error: string>")(column)

@@ -22,7 +22,12 @@ def repaired(content: Column) -> Column:
 
 def salvaged(df: DataFrame, content: str, *keys: str) -> DataFrame:
     """key, type and value of the last pair for each key: patterns in order, then places."""
-    each = [F.transform(F.arrays_zip(F.regexp_extract_all(F.col(content), F.lit(p), F.lit(1)).alias("k"), F.regexp_extract_all(F.col(content), F.lit(p), F.lit(2)).alias("v")), lambda x, i, n=n: F.struct(F.lit(n).alias("pattern"), i.alias("pos"), x["k"].alias("key"), x["v"].alias("raw"))) for n, p in enumerate(PAIRS)]
+
+    def found(n: int, p: str) -> Column:
+        groups = [F.regexp_extract_all(F.col(content), F.lit(p), F.lit(i)).alias(c) for i, c in ((1, "k"), (2, "v"))]
+        return F.transform(F.arrays_zip(*groups), lambda x, i: F.struct(F.lit(n).alias("pattern"), i.alias("pos"), x["k"].alias("key"), x["v"].alias("raw")))
+
+    each = [found(n, p) for n, p in enumerate(PAIRS)]
     rows = df.select(*keys, F.explode(F.concat(*each)).alias("p")).select(*keys, "p.*")
     last = rows.groupBy(*keys, "key").agg(F.max_by("raw", F.struct("pattern", "pos")).alias("raw"))
     kind = F.when(F.col("raw").rlike("^[0-9]+$"), "integer").when(F.col("raw").isin("true", "false"), "boolean").when(F.col("raw") == "null", "null").otherwise("string")
