@@ -86,10 +86,11 @@ def exact_top_k(embeddings: DataFrame, is_query: Column, k: int = 10, scale: flo
     without a vec_id take no part; vectors of unequal length count as filled with zeros; repeated
     rows are candidates like others (a query that stands in several rows asks once, with the
     first of its vectors in order). Ties go to the smaller vec_id. Products beyond 53 bits are
-    computed in 64-bit integers; scores beyond 63 bits raise OverflowError. Other columns are
+    computed in 64-bit integers; scores beyond 63 bits count as the
+    largest or smallest of 63 bits. Other columns are
     ignored. Returns query_id, rank (from 1), vec_id, score.
     """
-    whole = clean(embeddings).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
+    whole = clean(embeddings).withColumn("v", F.transform("v", lambda x: F.when(F.abs(x * scale) < 2.0**53, F.floor(x * scale).cast("double")).otherwise(x * scale)))
     whole = written(whole)
     asked = written(whole.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
 
@@ -104,9 +105,7 @@ def exact_top_k(embeddings: DataFrame, is_query: Column, k: int = 10, scale: flo
             scores = x.astype(np.int64) @ y.astype(np.int64).T
         else:
             scores = np.array([[int(v) for v in r] for r in x], object).reshape(x.shape) @ np.array([[int(v) for v in r] for r in y], object).reshape(y.shape).T
-            if len(scores) and max(abs(int(v)) for v in scores.ravel()) >= 2**63 - 1:
-                raise OverflowError("a score is beyond 63 bits")
-            scores = scores.astype(np.int64)
+            scores = np.clip(scores, 1 - 2**63, 2**63 - 1).astype(np.int64)
         own = a["vec_id"].to_numpy()[:, None] == b["vec_id"].to_numpy()[None, :]
         i, j = _head(scores, b["vec_id"].to_numpy(), own, k)
         return pd.DataFrame({"query_id": a["vec_id"].to_numpy()[i], "vec_id": b["vec_id"].to_numpy()[j], "score": scores[i, j]})
