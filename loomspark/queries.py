@@ -15,7 +15,7 @@ from loomspark.plans import engine
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 #: Names of a schema's top-level properties, for the query on sections.
-NAMES = ["schema", "basics", "work", "volunteer", "education", "awards", "certificates", "publications", "skills", "languages", "interests", "references", "projects", "meta"]
+NAMES = [f"field_{i:02d}" for i in range(14)]
 
 
 def _query(sql: str | None = None):
