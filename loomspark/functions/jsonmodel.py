@@ -55,8 +55,8 @@ def _fields_of(data: pd.Series) -> pd.Series:
 
 
 def fields(data: DataFrame, column: str = "data", *keys: str) -> DataFrame:
-    """A row for each member of the objects in a JSON column."""
-    return data.select(*keys, F.explode(fields_of(F.col(column))).alias("f")).select(*keys, "f.*")
+    """A row for each member of the objects in a JSON column; seq is its place in the document's order."""
+    return data.select(*keys, F.posexplode(fields_of(F.col(column))).alias("seq", "f")).select(*keys, "seq", "f.*")
 
 
 def is_truthy(json_type: Column, value_json: Column) -> Column:
@@ -78,9 +78,18 @@ def _walk(value, depth: int, under_list: bool):
                     yield from _walk(y, depth + 1, True)
 
 
+def _schema(text: str | None) -> dict | None:
+    """A schema document; None where it is no JSON object."""
+    try:
+        found = json.loads(text) if text is not None else None
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
 def _nodes_of(schema: pd.Series) -> pd.Series:
     """Every object of a schema document; lists add no level."""
-    return schema.map(lambda x: list(_walk(json.loads(x), 0, False)))
+    return schema.map(lambda x: list(_walk(_schema(x), 0, False)))
 
 
 def _properties(schema, path: str):
@@ -98,7 +107,7 @@ def _properties(schema, path: str):
 
 def _properties_of(schema: pd.Series) -> pd.Series:
     """Properties at every level reached by `properties`, and required names that are none (without a schema_path)."""
-    return schema.map(lambda x: list(_properties(json.loads(x), "")))
+    return schema.map(lambda x: list(_properties(_schema(x) or {}, "")))
 
 
 def _schema_texts(schema: pd.Series) -> pd.DataFrame:
@@ -108,8 +117,13 @@ def _schema_texts(schema: pd.Series) -> pd.DataFrame:
         return json.dumps(x, indent=1, separators=(",", ":"))
 
     def one(text):
-        s = json.loads(text)
-        props = s.get("properties", {})
+        s = _schema(text)
+        if s is None:
+            return dict.fromkeys(("ascii", "dump", "names", "sections"))
+        props = s.get("properties")
+        props = props if isinstance(props, dict) else {}
+        required = s.get("required")
+        required = required if isinstance(required, list) else []
         names = list(props)
         if len(names) <= 5:
             parts = [("main", s)]
@@ -117,7 +131,7 @@ def _schema_texts(schema: pd.Series) -> pd.DataFrame:
             parts = []
             for i in range(0, len(names), 5):
                 group = names[i : i + 5]
-                parts.append((f"section_{i // 5 + 1}", {"type": "object", "properties": {k: props[k] for k in group}, "required": [k for k in s.get("required", []) if k in group]}))
+                parts.append((f"section_{i // 5 + 1}", {"type": "object", "properties": {k: props[k] for k in group}, "required": [k for k in required if k in group]}))
         return {"ascii": json.dumps(s, separators=(",", ":")), "dump": dump(s), "names": names, "sections": [{"name": n, "json": dumps(p), "dump": dump(p)} for n, p in parts]}
 
     return pd.DataFrame([one(x) for x in schema], columns=["ascii", "dump", "names", "sections"])

@@ -30,12 +30,12 @@ def complexity(nodes: DataFrame, tokens: DataFrame, key: str = "schema_id") -> D
 
 
 def analyze(schemas: DataFrame) -> DataFrame:
-    """schemas (schema_id, schema_json) with texts, sections and complexity."""
+    """schemas (schema_id, schema_json) with texts, sections and complexity, which are null for a schema that is no JSON object."""
     read = schemas.withColumn("t", jsonmodel.schema_texts("schema_json"))
     tokens = read.select("schema_id", F.floor(F.length("t.ascii") / 4).alias("estimated_tokens"))
     # the root is level 0 and a dict without dicts inside is the depth itself
     nodes = schemas.select("schema_id", F.explode(jsonmodel.nodes_of("schema_json")).alias("n")).select("schema_id", "n.*")
-    return read.select("schema_id", "schema_json", F.col("t.dump").alias("schema_dump"), F.col("t.sections").alias("sections")).join(complexity(nodes, tokens), "schema_id")
+    return read.select("schema_id", "schema_json", F.col("t.dump").alias("schema_dump"), F.col("t.sections").alias("sections")).join(complexity(nodes, tokens), "schema_id", "left")
 
 
 def properties(schemas: DataFrame) -> DataFrame:

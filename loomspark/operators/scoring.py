@@ -112,10 +112,10 @@ def validate(fields: DataFrame, properties: DataFrame, *keys: str) -> DataFrame:
 
 
 def score_fields(fields: DataFrame, properties: DataFrame, texts: DataFrame, *keys: str) -> DataFrame:
-    """path, ord and confidence of fields reached through declared objects. texts has keys and text_lower."""
+    """path, seq (the data's order) and confidence of fields reached through declared objects. texts has keys and text_lower."""
     declared = properties.where("schema_path is not null").select(*keys, F.col("schema_path").alias("parent_path"), F.lit(True).alias("reached"))
     required = properties.where("required").select(*keys, "parent_path", "key", F.lit(True).alias("required"))
     reached = fields.where("not in_list").join(declared, [*keys, "parent_path"], "left").where("depth = 0 or reached")
     joined = reached.join(required, [*keys, "parent_path", "key"], "left").join(texts, list(keys))
     confidence = field_confidence(F.coalesce("required", F.lit(False)), found_in(F.col("text"), F.col("text_lower")), is_truthy(F.col("json_type"), F.col("value_json")))
-    return joined.select(*keys, "path", "depth", "ord", confidence.alias("confidence"))
+    return joined.select(*keys, "path", "seq", confidence.alias("confidence"))

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import jsonmodel, text
@@ -34,14 +35,26 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _small(schemas: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts of schemas, broadcast if the schemas are few."""
+    return F.broadcast(facts) if schemas.limit(BROADCAST_SCHEMAS + 1).count() <= BROADCAST_SCHEMAS else facts
+
+
+def _meet(docs: DataFrame, schemas: DataFrame, facts: DataFrame) -> DataFrame:
+    """Documents with the facts of their schema. Those without a schema_id meet every schema: each gets the list of ids, and joins on it."""
+    if "schema_id" not in docs.columns:
+        ids = schemas.agg(F.collect_list("schema_id").alias("schema_id"))
+        if schemas.limit(BROADCAST_SCHEMAS + 1).count() > BROADCAST_SCHEMAS:
+            raise ValueError(f"over {BROADCAST_SCHEMAS} schemas: give the documents a schema_id")
+        docs = docs.withColumn("schema_id", F.explode(F.array(*[F.lit(x) for x in ids.first()["schema_id"]]).cast("array<string>")))
+    return docs.join(_small(schemas, facts), "schema_id")
+
+
 def pairs(docs: DataFrame, schemas: DataFrame, strategy: str | None = None) -> DataFrame:
     """Documents with their schema's facts and a strategy. docs may have a schema_id (else each meets all) and a strategy of its own."""
-    analyzed = schema.analyze(schemas)
-    small = schemas.limit(BROADCAST_SCHEMAS + 1).count() <= BROADCAST_SCHEMAS
-    side = F.broadcast(analyzed) if small else analyzed
-    met = docs.join(side, "schema_id") if "schema_id" in docs.columns else docs.crossJoin(side)
+    met = _meet(docs, schemas, schema.analyze(schemas))
     own = F.col("strategy") if "strategy" in docs.columns else F.lit(strategy).cast("string")
-    return met.withColumn("asked", own).withColumn("strategy_used", schema.select_strategy(F.octet_length("text"), F.col("is_complex"), own))
+    return met.withColumn("asked", own).withColumn("strategy_used", F.when(F.col("schema_dump").isNotNull(), schema.select_strategy(F.octet_length("text"), F.col("is_complex"), own)))
 
 
 def units(met: DataFrame, max_text_chars: int = text.PROMPT_TEXT) -> DataFrame:
@@ -56,17 +69,22 @@ def units(met: DataFrame, max_text_chars: int = text.PROMPT_TEXT) -> DataFrame:
     return simple.unionByName(chunked).unionByName(by_section)
 
 
+def totals(units_: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFrame:
+    """Tokens and number of the units of each document."""
+    return units_.groupBy(*keys).agg(F.sum("total_tokens").alias("token_usage"), F.count(F.lit(1)).cast("int").alias("chunks_processed"), *more)
+
+
 def extract(docs: DataFrame, schemas: DataFrame, strategy: str | None = None, provider=None, threshold: float = scoring.LOW, max_text_chars: int = text.PROMPT_TEXT) -> DataFrame:
     """One row for each document and schema: success, extracted_data, scores, errors, flags.
 
-    Unknown strategies and failed completions give success = false and an error_message.
+    Schemas that are no JSON objects, unknown strategies and failed completions give success = false and an error_message.
     """
     met = pairs(docs, schemas, strategy)
     answers = _written((provider or Heuristic()).complete(units(met, max_text_chars)))
     parsed = answers.withColumn("p", jsonmodel.parse_completion("content"))
     parsed = _written(parsed.select(*KEYS, "unit_idx", "total_tokens", F.coalesce("error", "p.error").alias("error"), F.col("p.data").alias("data"), F.col("p.confidence").alias("parse_confidence")))
-    about = met.select(*KEYS, "strategy_used", "asked")
-    per_doc = parsed.groupBy(*KEYS).agg(F.sum("total_tokens").alias("token_usage"), F.count(F.lit(1)).cast("int").alias("chunks_processed"), F.max("error").alias("error"), F.first("parse_confidence").alias("parse_confidence"), F.bool_or(F.col("data").startswith("{")).alias("has_object"))
+    about = met.select(*KEYS, "strategy_used", "asked", F.col("schema_dump").isNull().alias("no_schema"))
+    per_doc = totals(parsed, *KEYS, more=[F.max("error").alias("error"), F.first("parse_confidence").alias("parse_confidence"), F.bool_or(F.col("data").startswith("{")).alias("has_object")])
 
     top = jsonmodel.fields(parsed, "data", *KEYS, "unit_idx").where("depth = 0").join(about.select(*KEYS, "strategy_used"), list(KEYS))
     chunked = folding.fold_chunks(top.where("strategy_used <> 'hierarchical'"), *KEYS)
@@ -74,16 +92,16 @@ def extract(docs: DataFrame, schemas: DataFrame, strategy: str | None = None, pr
     data = _written(folding.objects(chunked.unionByName(sections), *KEYS))
 
     fields = _written(jsonmodel.fields(data, "data", *KEYS))
-    properties = met.select(*KEYS).join(F.broadcast(schema.properties(schemas)) if schemas.limit(BROADCAST_SCHEMAS + 1).count() <= BROADCAST_SCHEMAS else schema.properties(schemas), "schema_id")
+    properties = met.select(*KEYS).join(_small(schemas, schema.properties(schemas)), "schema_id")
     errors = scoring.validate(fields, properties, *KEYS)
     lower = met.select(*KEYS, F.lower("text").alias("text_lower"))
     scored = scoring.score_fields(fields, properties, lower, *KEYS)
-    by_field = scored.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("path", "confidence"))).alias("c"))
-    confidences = by_field.select(*KEYS, F.map_from_entries("c").alias("field_confidences"), F.transform(F.filter("c", lambda x: x["confidence"] < threshold), lambda x: x["path"]).alias("low_confidence_fields"))
+    by_field = scored.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("seq", "path", "confidence"))).alias("c"))
+    confidences = by_field.select(*KEYS, F.map_from_entries(F.transform("c", lambda x: F.struct(x["path"], x["confidence"]))).alias("field_confidences"), F.transform(F.filter("c", lambda x: x["confidence"] < threshold), lambda x: x["path"]).alias("low_confidence_fields"))
 
     out = about.join(per_doc, list(KEYS), "left").join(data, list(KEYS), "left").join(errors, list(KEYS), "left").join(confidences, list(KEYS), "left")
     none = lambda c, t: F.coalesce(c, F.array().cast(t))
-    problem = F.when(F.col("strategy_used").isNull(), F.concat(F.lit("unknown strategy: "), "asked")).when(F.col("error").isNotNull(), F.col("error")).when((F.col("strategy_used") == "simple") & ~F.col("has_object"), "the completion is no object")
+    problem = F.when(F.col("no_schema"), "the schema is no JSON object").when(F.col("strategy_used").isNull(), F.concat(F.lit("unknown strategy: "), "asked")).when(F.col("error").isNotNull(), F.col("error")).when((F.col("strategy_used") == "simple") & ~F.col("has_object"), "the completion is no object")
     out = out.withColumn("error_message", problem).withColumn("success", problem.isNull())
     base = F.when(F.col("strategy_used") == "simple", F.col("parse_confidence")).when(F.col("strategy_used") == "chunked", BASE["chunked"]).otherwise(BASE["hierarchical"])
     # an object without members has no fields, and yet lacks what is required
@@ -102,7 +120,7 @@ def evaluate(docs: DataFrame, schemas: DataFrame, strategy: str | None = "auto",
     while quality is measured on the whole text.
     """
     analyzed = schema.analyze(schemas).select("schema_id", "complexity_score", "nesting_depth", "total_objects", "total_properties")
-    met = docs.join(analyzed, "schema_id") if "schema_id" in docs.columns else docs.crossJoin(analyzed)
+    met = _meet(docs, schemas, analyzed)
     chosen = schema.recommend_strategy(F.length("text"), F.col("complexity_score")) if strategy in (None, "", "auto") else F.lit(strategy)
     met = met.withColumn("strategy", chosen)
     sampled = met.select("doc_id", "schema_id", "strategy", text.strategic_sample(F.col("text"), F.col("strategy")).alias("text"))
@@ -111,7 +129,7 @@ def evaluate(docs: DataFrame, schemas: DataFrame, strategy: str | None = "auto",
     lower = met.select(*KEYS, F.lower("text").alias("text_lower"))
     fields = jsonmodel.fields(results.select(*KEYS, "extracted_data"), "extracted_data", *KEYS)
     strings = fields.where(F.trim("text") != "").join(lower, list(KEYS)).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_strings"), F.count_if(scoring.found_in(F.trim("text"), F.col("text_lower"))).alias("n_found"))
-    required = schema.properties(schemas).where("parent_path = '' and required").select("schema_id", "key")
+    required = _small(schemas, schema.properties(schemas).where("parent_path = '' and required").select("schema_id", "key"))
     truthy = fields.where("depth = 0").where(jsonmodel.is_truthy(F.col("json_type"), F.col("value_json"))).select(*KEYS, "key", F.lit(1).alias("ok"))
     complete = results.select(*KEYS).join(required, "schema_id").join(truthy, [*KEYS, "key"], "left").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_required"), F.count("ok").alias("n_present"))
     sizes = met.select(*KEYS, F.length("text").cast("bigint").alias("document_chars"), (F.octet_length("text") / F.lit(1048576.0)).alias("document_mb"), "complexity_score", "nesting_depth", "total_objects", "total_properties")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions import parsing, text
+from loomspark.functions import jsonmodel, parsing, text
 from loomspark.functions.jsonmodel import is_truthy
 from loomspark.operators import folding, reports, schema, scoring
 from loomspark.plans import engine
@@ -272,6 +272,63 @@ def ratings(spark, d):
     return _t(spark, d, "documents").select("doc_id", scoring.cost_rating(scoring.cost(F.floor(F.length("text") / 4))).alias("cost_rating"), scoring.quality_rating((k % 10) / F.lit(10.0)).alias("quality_rating"), scoring.efficiency(k % 12).alias("efficiency"))
 
 
+_RESULT = """(SELECT doc_id, text AS extracted_data, doc_id % 5 <> 0 AS success, (doc_id % 9) / 10.0::DOUBLE AS confidence_score, list_transform(range(0, doc_id % 6), lambda i: 'error ' || i) AS e, list_transform(range(0, doc_id % 8), lambda i: 'field_' || i) AS l FROM documents)"""
+
+
+def _results(spark, d) -> DataFrame:
+    """Results made up of documents, with up to five errors and seven low fields each."""
+    some = lambda n, name: F.transform(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i < F.col("doc_id") % n), lambda i: F.concat(F.lit(name), i.cast("string")))
+    return _t(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.col("text").alias("extracted_data"), (F.col("doc_id") % 5 != 0).alias("success"), ((F.col("doc_id") % 9) / F.lit(10.0)).alias("confidence_score"), some(6, "error ").alias("validation_errors"), some(8, "field_").alias("low_confidence_fields"),
+        F.create_map(F.lit("a"), F.lit(0.7)).alias("field_confidences"), F.lit(0.0).alias("processing_time"), F.lit("simple").alias("strategy_used"),
+    )
+
+
+@_query(f"""SELECT doc_id, success, confidence_score, array_to_string(e[1:3], ',') AS first_errors, len(e)::BIGINT AS n_errors, array_to_string(l[1:5], ',') AS first_low, greatest(len(l) - 5, 0)::BIGINT AS n_more_low,
+md5(CASE WHEN length(extracted_data) > 500 THEN left(extracted_data, 500) || '...' || chr(10) || '}}' ELSE extracted_data END) AS preview FROM {_RESULT}""")
+def result_summary(spark, d):
+    s = reports.summary(_results(spark, d), errors=3, low=5)
+    return s.select("doc_id", "success", "confidence_score", F.array_join("first_errors", ",").alias("first_errors"), F.col("n_errors").cast("bigint").alias("n_errors"), F.array_join("first_low", ",").alias("first_low"), F.col("n_more_low").cast("bigint").alias("n_more_low"), F.md5("preview").alias("preview"))
+
+
+@_query(f"SELECT doc_id, 'doc' || doc_id || '.txt' AS filename, md5(extracted_data) AS data, confidence_score AS confidence, 0.7::DOUBLE AS a, array_to_string(l, ',') AS low, 'simple' AS strategy_used FROM {_RESULT}")
+def api_response(spark, d):
+    r = reports.api_response(_results(spark, d), "filename")
+    return r.select("doc_id", "filename", F.md5("data").alias("data"), "confidence", F.col("field_confidences")["a"].alias("a"), F.array_join("low_confidence_fields", ",").alias("low"), "strategy_used")
+
+
+@_query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 0.8::DOUBLE WHEN 2 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS confidence,
+CASE event_id % 4 WHEN 2 THEN '{"n":' || event_id || ',"ok":true}' WHEN 3 THEN '{}' ELSE '{"k":' || json_extract_string(props, '$.k') || '}' END AS data FROM events""")
+def parse_confidence(spark, d):
+    k, n = F.col("event_id") % 4, F.col("event_id").cast("string")
+    broken = F.concat(F.lit('{"n": '), n, F.lit(',, "ok": true'))
+    content = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("Here:\n```\n"), "props", F.lit("\n```"))).when(k == 2, broken).otherwise("nothing was found")
+    return _t(spark, d, "events").select("event_id", jsonmodel.parse_completion(content).alias("p")).select("event_id", "p.confidence", "p.data")
+
+
+@_query("SELECT event_id, 0 AS seq, 'k' AS path, 'integer' AS json_type, json_extract_string(props, '$.k') AS value_json FROM events UNION ALL SELECT event_id, 1, 'a', 'array', '[{\"b\":' || event_id || '}]' FROM events UNION ALL SELECT event_id, 2, 'a.0', 'object', '{\"b\":' || event_id || '}' FROM events UNION ALL SELECT event_id, 3, 'a.0.b', 'integer', event_id::VARCHAR FROM events")
+def json_fields(spark, d):
+    data = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "a": [{"b": '), F.col("event_id").cast("string"), F.lit("}]}"))
+    return jsonmodel.fields(_t(spark, d, "events").select("event_id", data.alias("data")), "data", "event_id").select("event_id", "seq", "path", "json_type", "value_json")
+
+
+@_query("SELECT doc_id, CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(x.replace("'", "''") for x in text.SYSTEM.values())) + " END AS system_prompt FROM documents")
+def system_prompts(spark, d):
+    k = F.col("doc_id") % 3
+    return _t(spark, d, "documents").select("doc_id", F.when(k == 0, text.SYSTEM["simple"]).when(k == 1, text.SYSTEM["chunked"]).otherwise(text.SYSTEM["hierarchical"]).alias("system_prompt"))
+
+
+@_query("SELECT conv_id, sum(length(text) // 4)::BIGINT AS token_usage, count(*)::INTEGER AS chunks_processed, 0.8::DOUBLE AS confidence FROM conversations GROUP BY conv_id")
+def unit_totals(spark, d):
+    units = _t(spark, d, "conversations").select("conv_id", F.floor(F.length("text") / 4).alias("total_tokens"))
+    return engine.totals(units, "conv_id").withColumn("confidence", F.lit(engine.BASE["chunked"]))
+
+
+@_query("SELECT * FROM (VALUES ('simple', 'Direct extraction for simple documents', false), ('chunked', 'Process large documents in chunks', false), ('hierarchical', 'Multi-level processing for complex schemas', false), ('auto', 'Automatically choose the best strategy', true)) t(strategy, description, is_default)")
+def strategy_catalogue(spark, d):
+    return engine.strategies(spark)
+
+
 #: The schema of the end-to-end queries.
 SCHEMA = '{"type":"object","properties":{"first_words":{"type":"string"},"email":{"type":"string"},"token":{"type":"string"}},"required":["first_words","email"]}'
 

@@ -158,3 +158,20 @@ def test_stream(spark, tmp_path):
     q = ingest.extract_stream(ingest.document_stream(spark, str(tmp_path / "in")), schemas, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert json.loads(spark.read.parquet(str(tmp_path / "out")).first().extracted_data)["name"] == "Ada"
+
+
+def test_bad_schemas_are_rows(spark):
+    schemas = spark.createDataFrame([("list", "[1]"), ("broken", '{"type":'), ("null", None), ("odd", '{"properties": true, "required": true}')], "schema_id string, schema_json string")
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    rows = {(r.doc_id, r.schema_id): r for r in engine.extract(docs, schemas).collect()}
+    assert len(rows) == 8
+    assert all(not rows[1, s].success and rows[1, s].error_message == "the schema is no JSON object" for s in ("list", "broken", "null"))
+    assert rows[1, "odd"].success and rows[1, "odd"].validation_errors == []
+
+
+def test_low_fields_keep_the_order_of_the_data(spark):
+    schemas = spark.createDataFrame([("s", '{"type":"object","properties":{"z":{"type":"string"},"o":{"type":"object","properties":{"y":{"type":"integer"},"b":{"type":"integer"}}},"a":{"type":"integer"}}}')], "schema_id string, schema_json string")
+    docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
+    replay = _recorded(spark, docs, schemas, lambda u: '{"z": null, "o": {"y": 0, "b": 0}, "a": 0}', strategy="simple")
+    r = engine.extract(docs, schemas, "simple", replay).first()
+    assert r.low_confidence_fields == ["z", "o.y", "o.b", "a"]
