@@ -145,8 +145,8 @@ def remainder(doc_id: Column, n: int) -> Column:
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Trees:
     """Trees learned from labels.quality of documents whose id's remainder by 3 is not 1.
 
-    At most `sample_rows` labelled rows, those with the smallest hashes of their id. Null labels
-    don't count; of several labels of an id the larger counts.
+    At most `sample_rows` labelled ids, those with the smallest hashes. Null labels don't count; of
+    several labels of an id the larger counts, of several texts of an id the first in order.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(remainder(F.col("doc_id"), 3) != 1)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -157,7 +157,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> T
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(statistics(data, off)), pa.list_(pa.float64()))], ["quality", "x"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(run, "quality int, x array<double>").toPandas()
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    rows = found.select("text", "quality").mapInArrow(run, "quality int, x array<double>").toPandas()
     rows = rows.iloc[np.lexsort(np.stack([np.asarray(v) for v in rows["x"]]).T)] if len(rows) else rows  # the order of arrival is not to matter
     return train(np.stack(list(rows["x"])) if len(rows) else np.zeros((0, len(STATISTICS))), rows["quality"].to_numpy(np.float64))
 
