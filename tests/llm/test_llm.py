@@ -306,6 +306,8 @@ def test_html_articles():
     page = """<body><header>Menu</header><nav><ul><li>a</ul></nav><aside>side</aside><div id="cookie-notice">ok?</div><article><header><h1>Head</h1></header>
     <p>One <b>two\n three</b><p>Four<ul><li>x<li>y</ul><!-- <p>no</p> --><div class="ad">buy</div><pre>a  b</pre><section class="comments"><p>me too</p></section></article><footer>(c)</footer>"""
     assert html.main_text(page, set()) == "Head\nOne two three\nFour\nx\ny\na b"
+    page = """<body class="has-sidebar"><div class="page no-sidebar"><div class="site-header">Site</div><article class="with-comments"><header class="entry-header"><h1>Title</h1></header><p id="no-ads">Text</p><div id="user_comments">hm</div></article></div>"""
+    assert html.main_text(page, set()) == "Title\nText"
     assert html.main_text("plain &lt;text&gt; <", set()) == "plain <text> <" and html.main_text("<p title='a>b'>x", set()) == "x"
 
 
