@@ -8,7 +8,14 @@ D / 2C; below the shortest context all remaining bytes are alike.
 
 Since the trained trie stays as it is, and a shorter context has all bytes that a longer one has,
 what exclusion takes from a context depends on the next longer one alone. It is computed once for
-each node, and scoring is a few table lookups for each byte, vectorised over many documents.
+each node.
+
+No process holds the trie. A byte's cost depends on its key alone (its context and itself), so each
+block of documents asks for the keys it holds, once each, with its counts. The requests are dealt to
+shards by a hash of a context's last bytes; a shard sums the counts, settles the keys it can, and
+hands on the others and the entries of shorter contexts to shards of these. Blocks and shards grow
+in number with the corpus, not in size. The answers meet their block's texts, and scoring is one
+table lookup for each byte.
 
 A text is modelled as its tokens: A-Z lower-cased, words without white space, each closed by a
 space, then one end mark (a line feed, which no word holds). The score is therefore comparable
@@ -24,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import LOWER, hashes, once, slices, words, written
+from loomspark.llm.common import LOWER, hashes, mix, once, slices, utf8, words, written
 from loomspark.llm.quality import remainder
 
 #: Bytes that a modelled text can hold: all but four kinds of white space.
 ALPHABET = 252
 END, SPACE = 10, 32
-#: Longest context; most trie entries that are broadcast (about 32 bytes each in a worker); words that are.
-ORDER, MAX_ENTRIES, HEAD_WORDS = 6, 2_000_000, 65_536
+#: Length of the longest context; words that are broadcast; bytes of text in a block.
+ORDER, HEAD_WORDS, BLOCK = 6, 65_536, 1 << 24
 #: Keys that a task sums up before it sends them on.
 FLUSH = 1 << 20
 
@@ -97,55 +104,61 @@ class Table:
 
 
 class Model:
-    """The trie, an entry for each context and byte seen after it; keys are sorted."""
+    """The trie from contexts of `order` bytes down to `lowest`, an entry for each context and byte seen after it; keys are sorted.
+
+    It may hold a part of the corpus's keys, if that has all of each context of `lowest` bytes.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
-        self.order = order
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, lowest: int = 0):
+        self.order, self.lowest = order, lowest
         by_order = []
-        for k in range(order, -1, -1):
+        for k in range(order, lowest - 1, -1):
             if k < order:
                 # update exclusion: a shorter context counts a byte once for each longer context that met it
                 keys, counts = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
             nodes, of = np.unique(keys >> np.uint64(8), return_inverse=True)
             by_order.insert(0, (keys, counts, nodes, of, np.bincount(of, weights=counts, minlength=len(nodes)), np.bincount(of, minlength=len(nodes)).astype(np.float64)))
-        self.levels = []
-        for k, (unique, c, nodes, of, total, kinds) in enumerate(by_order):
+        self.shortest = by_order[0][:2]
+        self.levels = {}
+        for k, (unique, c, nodes, of, total, kinds) in enumerate(by_order, lowest):
             taken, other = np.zeros(len(nodes)), np.zeros(len(nodes))
-            if k:  # what the next shorter context keeps once this one's bytes are excluded
-                u, c1, n1, _, t1, k1 = by_order[k - 1]
+            if k > lowest:  # what the next shorter context keeps once this one's bytes are excluded
+                u, c1, n1, _, t1, k1 = by_order[k - 1 - lowest]
                 of1 = np.searchsorted(n1, nodes & np.uint64((1 << 8 * (k - 1)) - 1))
                 same = c1[np.searchsorted(u, unique & np.uint64((1 << 8 * k) - 1))]
                 taken = t1[of1] - np.bincount(of, weights=same, minlength=len(nodes))
                 other = k1[of1] - kinds
-            self.levels.append(
-                {
-                    "entries": Table(unique),
-                    "alone": np.log10((2 * c - 1) / (2 * total[of])).astype(np.float32),
-                    "counts": c.astype(np.int32 if c.max(initial=0) < 1 << 31 else np.int64),
-                    "nodes": Table(nodes),
-                    "escape": np.log10(kinds / (2 * total)),
-                    "kinds": kinds,
-                    "rest": taken,
-                    "rest_kinds": other,
-                }
-            )
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each byte in its context."""
-        out = np.zeros(len(keys))
+            self.levels[k] = {
+                "entries": Table(unique),
+                "alone": np.log10((2 * c - 1) / (2 * total[of])),
+                "counts": c,
+                "nodes": Table(nodes),
+                "escape": np.log10(kinds / (2 * total)),
+                # one more for contexts that are not there
+                "kinds": np.append(kinds, 0),
+                "rest": np.append(taken, 0),
+                "rest_kinds": np.append(other, 0),
+            }
+
+    def __call__(self, keys: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Settles bytes in the contexts above `lowest` (of 0, all): state, and which bytes are settled.
+
+        Rows of the state: log10 of the probability so far; of the context that was escaped from,
+        what it leaves of the next one (-1 if there is none), its kinds, and the bytes excluded.
+        """
+        state = start(len(keys)) if state is None else state.copy()
+        out, settled = state[0], np.zeros(len(keys), bool)
         todo = np.arange(len(keys))
-        # of the context that was escaped from: what it leaves of the next one; -1 if there is none
-        rest, kinds, seen = np.full(len(keys), -1.0), np.zeros(len(keys)), np.zeros(len(keys))
-        for k in range(self.order, -1, -1):
+        rest, kinds, seen = state[1], state[2], state[3]
+        for k in range(self.order, self.lowest - (self.lowest == 0), -1):
             level = self.levels[k]
-            own = keys if k == self.order else keys & np.uint64((1 << 8 * (k + 1)) - 1)
+            own = keys & _low(k + 1)
             found = level["entries"](own)
             hit = found >= 0
             f, r = found[hit], rest[hit]
-            out[todo[hit]] += np.where(r < 0, level["alone"][f].astype(np.float64), np.log10((2.0 * level["counts"][f] - 1) / (2 * np.where(r < 0, 1, r))))
+            out[todo[hit]] += np.where(r < 0, level["alone"][f], np.log10((2.0 * level["counts"][f] - 1) / (2 * np.where(r < 0, 1, r))))
+            settled[todo[hit]] = True
             miss = ~hit
-            if not miss.any():
-                return out
             todo, keys, rest, kinds, seen, own = todo[miss], keys[miss], rest[miss], kinds[miss], seen[miss], own[miss]
             node = level["nodes"](own >> np.uint64(8))
             there = node >= 0
@@ -153,22 +166,135 @@ class Model:
             out[todo[first]] += level["escape"][node[first]]
             out[todo[later]] += np.log10(kinds[later] / (2 * rest[later]))
             rest, kinds, seen = np.where(there, level["rest"][node], rest), np.where(there, level["rest_kinds"][node], kinds), np.where(there, level["kinds"][node], seen)
-        out[todo] -= np.log10(np.maximum(ALPHABET - seen, 1))
-        return out
+        if self.lowest == 0:
+            out[todo] -= np.log10(np.maximum(ALPHABET - seen, 1))
+            settled[:] = True
+        state[1, todo], state[2, todo], state[3, todo] = rest, kinds, seen
+        return state, settled
+
+
+def start(n: int) -> np.ndarray:
+    """The state of n bytes in their longest contexts."""
+    return np.stack([np.zeros(n), np.full(n, -1.0), np.zeros(n), np.zeros(n)])
+
+
+def _low(n_bytes: int) -> np.uint64:
+    return np.uint64((1 << 8 * n_bytes) - 1)
+
+
+def steps(order: int) -> list[int]:
+    """Bytes of the contexts that keys are dealt by, one deal after another: those between two are settled together. Of one byte there are 63,504 entries at most."""
+    out = [order]
+    while out[-1] > 1:
+        out.append(max(out[-1] - 2, 1))
+    return out if len(out) > 1 else [order, order]
+
+
+def deal(keys: np.ndarray, k: int, n_shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that brings keys with the same last k bytes of context together, equal shards keeping their order, and shard, begin and end of each."""
+    return runs((mix((keys >> np.uint64(8)) & _low(k)) % np.uint64(n_shards)).astype(np.int64))
+
+
+def runs(label: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    order = np.argsort(label, kind="stable")
+    label = label[order]
+    cuts = np.flatnonzero(np.diff(label)) + 1
+    begin = [0, *cuts.tolist()] if len(label) else []
+    return order, list(zip(label[begin].tolist(), begin, [*begin[1:], len(label)], strict=True)) if len(label) else []
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array of 8 or 4 bytes a value in few bytes; sorted integers get few ones."""
+    if values.dtype == np.uint64:
+        values = np.diff(values, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpack(data: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd"), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
+    return np.cumsum(values, dtype=np.uint64) if dtype == np.uint64 else values
+
+
+#: Rows between blocks and shards. Kind 0: keys that a block (`of`) asks for, their counts in training texts; 1: trie entries and counts; 2: keys not settled, their blocks and states; 3: answers to a block.
+PACKED = "kind int, shard long, of long, keys binary, data binary"
+_PACKED = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("of", pa.int64()), ("keys", pa.binary()), ("data", pa.binary())])
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, _PACKED.types, strict=True)], schema=_PACKED)
+
+
+def _answers(keys: np.ndarray, blocks: np.ndarray, logs: np.ndarray) -> list[tuple]:
+    order, parts = runs(blocks)
+    keys, logs = keys[order], logs[order].astype(np.float32)
+    out = []
+    for block, a, b in parts:
+        by = np.argsort(keys[a:b])
+        out.append((3, 0, block, pack(keys[a:b][by]), pack(logs[a:b][by])))
+    return out
+
+
+def _open(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries and counts; keys that are asked for, their blocks and states."""
+    got: dict[int, list] = {0: [], 1: [], 2: []}
+    for kind, of, keys, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "of", "keys", "data")), strict=True):
+        got[kind].append((unpack(keys, np.uint64), of, data))
+    asked = [(k, np.full(len(k), of), start(len(k))) for k, of, _ in got[0]]
+    for k, _, data in got[2]:
+        table = unpack(data, np.float64).reshape(5, -1)
+        asked.append((k, table[0].view(np.int64), table[1:]))
+    entries = [(k, unpack(data, np.uint32).astype(np.int64)) for k, _, data in got[0]] + [(k, unpack(data, np.float64).astype(np.int64)) for k, _, data in got[1]]
+    keys, counts = (np.concatenate([e[i] for e in entries]) if entries else np.empty(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    if len(keys):
+        by = np.argsort(keys)
+        keys, counts = keys[by], counts[by]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, counts = keys[first], np.add.reduceat(counts, first)
+    if not asked:
+        return keys, counts, np.empty(0, np.uint64), np.empty(0, np.int64), start(0)
+    return keys, counts, *(np.concatenate([a[i] for a in asked], axis=-1) for i in range(3))
+
+
+def _settling(*args: int):
+    return lambda rows: settle(rows, *args)
+
+
+def settle(rows: pa.Table, order: int, lowest: int, after: int, n_shards: int) -> pa.Table:
+    """What a shard knows of its keys in contexts of `order` bytes down to `lowest` + 1; the rest goes to shards by contexts of `after` bytes."""
+    keys, counts, asked, blocks, state = _open(rows)
+    model = Model(keys, counts, order, lowest)
+    # at the end of the trie the next deal settles the rest
+    state, settled = model(asked, state) if lowest else (state, np.zeros(len(asked), bool))
+    out = _answers(asked[settled], blocks[settled], state[0][settled])
+    keys, counts = model.shortest
+    by, parts = deal(keys, after, n_shards)
+    for shard, a, b in parts:
+        out.append((1, shard, 0, pack(keys[by[a:b]]), pack(counts[by[a:b]].astype(np.float64))))
+    open_ = np.flatnonzero(~settled)
+    by, parts = deal(asked[open_], after, n_shards)
+    open_ = open_[by]
+    for shard, a, b in parts:
+        at = open_[a:b][np.argsort(asked[open_[a:b]], kind="stable")]
+        out.append((2, shard, 0, pack(asked[at]), pack(np.concatenate([blocks[at].view(np.float64)[None], state[:, at]]).reshape(-1))))
+    return _rows(out)
 
 
 class _Sums:
     """Counts by key, summed up as they come."""
 
     def __init__(self):
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.limit = [], 0, FLUSH
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
         unique, n = _unique(keys) if counts is None else (keys, counts)
         self.parts.append((unique, n))
         self.size += len(unique)
-        if self.size > FLUSH:
+        if self.size > self.limit:
             self._merge()
+            self.limit = max(FLUSH, 2 * self.size)
 
     def _merge(self) -> None:
         keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -185,7 +311,7 @@ class _Sums:
             self._merge()
         if self.size <= least or not self.size:
             return None
-        out, self.parts, self.size = self.parts[0], [], 0
+        out, self.parts, self.size, self.limit = self.parts[0], [], 0, FLUSH
         return out
 
 
@@ -195,8 +321,8 @@ def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def counts(documents: DataFrame, order: int = ORDER) -> DataFrame:
-    """kind, key and n over whole texts: 0, contexts with their byte; 1, hashes of words; 2, documents (end marks)."""
+def counts(documents: DataFrame, order: int | None = ORDER) -> DataFrame:
+    """kind, key and n over whole texts: 0, contexts with their byte (none if order is None); 1, hashes of words; 2, documents (end marks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n_docs = {0: _Sums(), 1: _Sums()}, 0
@@ -210,7 +336,8 @@ def counts(documents: DataFrame, order: int = ORDER) -> DataFrame:
         for _, data, off in slices(batches, limit=1 << 19):
             low = LOWER[data]
             starts, lengths = words(low, off)
-            sums[0].add(stream(low, off, starts, lengths, order)[0])
+            if order is not None:
+                sums[0].add(stream(low, off, starts, lengths, order)[0])
             sums[1].add(hashes(low, starts, lengths))
             n_docs += len(off) - 1
             for kind in (0, 1):
@@ -224,49 +351,125 @@ def counts(documents: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _largest_order(contexts: DataFrame, order: int, max_entries: int) -> int:
-    """The longest context for which the trie's entries fit; that of order 1 always does (65,536 entries)."""
+    """The longest context for which a trie has at most max_entries entries; that of order 1 always does (65,536 entries). Tells the size of a corpus; scores don't depend on it."""
     while order > 1 and contexts.select(F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("key")).distinct().limit(max_entries + 1).count() > max_entries:
         order -= 1
     return order
 
 
-def score(documents: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES, head_words: int = HEAD_WORDS) -> DataFrame:
+def placed(read: DataFrame, block_bytes: int) -> DataFrame:
+    """Written, with `block`: runs of rows of about block_bytes of text (one row at least), named by their first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = None, 0
+        for batch in batches:
+            blocks = []
+            for row, n in zip(batch.column("row").to_pylist(), np.diff(utf8(batch.column("text"))[1]).tolist(), strict=True):
+                if block is None or size + n > block_bytes:
+                    block, size = row, 0
+                size += n
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], [*batch.schema.names, "block"])
+
+    return written(read.mapInArrow(run, "row long, doc_id long, held_out boolean, text string, block long"), 1000)
+
+
+def requests(texts: DataFrame, order: int, dealt_by: int, n_shards: int) -> DataFrame:
+    """Each block's keys and their counts in training texts, by shards."""
+    if order > 6:
+        raise ValueError("keys hold contexts of 6 bytes at most")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, block = _Sums(), None
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if (got := sums.pop()) is None:
+                return
+            # keys with a lowest bit that tells training texts; the held-out one comes first
+            keys, n = got[0] >> np.uint64(1), np.where(got[0] & np.uint64(1), got[1], 0)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, n = keys[first], np.add.reduceat(n, first).astype(np.uint32)
+            by, parts = deal(keys, dealt_by, n_shards)
+            for i in range(0, len(parts), 500):
+                yield from _rows([(0, shard, block, pack(keys[by[a:b]]), pack(n[by[a:b]])) for shard, a, b in parts[i : i + 500]]).to_batches()
+
+        for rows in batches:
+            _, parts = runs(rows.column("block").to_numpy())
+            for name, a, b in parts:
+                if name != block:
+                    yield from sent()
+                    block = name
+                for batch, data, off in slices(iter([rows.slice(a, b - a)]), limit=1 << 20):
+                    low = LOWER[data]
+                    keys, at = stream(low, off, *words(low, off), order)
+                    train = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), np.diff(at))
+                    sums.add(keys << np.uint64(1) | train.astype(np.uint64))
+        yield from sent()
+
+    return texts.select("block", "held_out", "text").mapInArrow(run, PACKED)
+
+
+def answers(texts: DataFrame, order: int, n_shards: int) -> DataFrame:
+    """`of` (a block), keys and data: log10 of the probability of each key that the block holds."""
+    deals = steps(order)
+    rows, found = requests(texts, order, deals[1], n_shards), []
+    for i in range(len(deals) - 1):
+        k, lowest, after = deals[i], deals[i + 1], deals[min(i + 2, len(deals) - 1)]
+        rows = written(rows.groupBy("shard").applyInArrow(_settling(k, lowest, after, n_shards), PACKED), 1000)
+        found.append(rows.where("kind = 3").select("of", "keys", "data"))
+        rows = rows.where("kind <> 3")
+    keys, n, *_ = _open(rows.where("kind = 1").toArrow())
+    ends = texts.sparkSession.sparkContext.broadcast((keys, n, deals[-1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = once(ends.value, lambda x: Model(*x))
+        for batch in batches:
+            _, _, asked, blocks, state = _open(pa.Table.from_batches([batch]))
+            yield from _rows(_answers(asked, blocks, model(asked, state)[0][0])).select(["of", "keys", "data"]).to_batches()
+
+    found.append(written(rows.where("kind = 2").mapInArrow(run, "of long, keys binary, data binary"), 1000))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def score(documents: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of documents.
 
-    Learns from rows whose crc32(doc_id as text) mod 5 is not 1, all of them. The trie is broadcast
-    up to `max_entries` entries, with shorter contexts where it would be larger. Of the words the
-    `head_words` most frequent are broadcast for the base; the others' counts come by a join on
-    64-bit hashes, so that no vocabulary is held in one place. Null texts count as empty: one
-    token, the end. A null doc_id is no text for crc32 and stays null. Repeated rows are learned
-    and scored each. Without training rows all counts are 0: bytes are then alike, and the base
-    has N = V = 0. Other columns are ignored.
+    Learns from rows whose crc32(doc_id as text) mod 5 is not 1, all of them, by contexts of up to
+    `order` bytes (6 at most) whatever the corpus's size. Of the words the `head_words` most
+    frequent are broadcast for the base; the others' counts come by a join on 64-bit hashes, so
+    that no vocabulary is held in one place. Null texts count as empty: one token, the end. A null
+    doc_id is no text for crc32 and stays null. Repeated rows are learned and scored each. Without
+    training rows all counts are 0: bytes are then alike, and the base has N = V = 0. Other columns
+    are ignored.
     """
     read = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
-    counted = written(counts(read.where(~F.col("held_out")), order).where("n > 0"), 1000)
+    read = placed(read, block_bytes)
+    n_blocks = max(1, read.select("block").distinct().count())
+    counted = written(counts(read.where(~F.col("held_out")), None).where("n > 0"), 1000)
     sc = documents.sparkSession.sparkContext
     vocabulary = counted.where("kind = 1").select("key", F.col("n").alias("c"))
     about = counted.where("kind > 0").agg(F.sum("n").alias("n"), F.count_if(F.col("kind") == 1).alias("v"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("docs")).first()
     n_all, docs = about["n"] or 0, about["docs"] or 0
     v_all = about["v"] + (docs > 0)
-    contexts = counted.where("kind = 0")
-    order = _largest_order(contexts, order, max_entries)
-    kept = contexts.groupBy(F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    keys = kept["key"].to_numpy().astype(np.int64).view(np.uint64)
-    by_key = np.argsort(keys)
-    trie = sc.broadcast((keys[by_key], kept["n"].to_numpy().astype(np.int64)[by_key], order))
-    del kept, keys, by_key
     head = vocabulary.orderBy(F.desc("c"), "key").limit(head_words).toArrow()
     head = sc.broadcast((head["key"].to_numpy().astype(np.int64).view(np.uint64), head["c"].to_numpy().astype(np.int64)))
     tail_type = pa.struct([("h", pa.int64()), ("n", pa.int32())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table, logs = once(trie.value, lambda x: (Model(*x), Table(head.value[0]), np.log10(head.value[1] + 0.5)))
-        k = model.order
-        for batch, data, off in slices(batches, limit=1 << 19):
+    def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        table, logs = once(head.value, lambda x: (Table(x[0]), np.log10(x[1] + 0.5)))
+        asked, costs = (np.concatenate([unpack(d, t) for d in answered.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("data", np.float32)))
+        cost = Table(asked)
+        return pa.Table.from_batches([x for b in texts.to_batches() for x in scores(b, table, logs, cost, costs)])
+
+    def scores(texts: pa.RecordBatch, table: Table, logs: np.ndarray, cost: Table, costs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for batch, data, off in slices(iter([texts]), limit=1 << 19):
             low = LOWER[data]
             starts, lengths = words(low, off)
-            stream_keys, at = stream(low, off, starts, lengths, k)
-            p = np.concatenate([[0.0], np.cumsum(model(stream_keys))])
+            stream_keys, at = stream(low, off, starts, lengths, order)
+            p = np.concatenate([[0.0], np.cumsum(costs[cost(stream_keys)], dtype=np.float64)])
             h = hashes(low, starts, lengths)
             first = np.searchsorted(starts, off)
             doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
@@ -284,7 +487,10 @@ def score(documents: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRI
                 ["row", "doc_id", "held_out", "n_tokens", "known", "sums", "score", "tail"],
             )
 
-    scored = written(read.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, tail array<struct<h: long, n: int>>"), 1000)
+    # as many partitions as blocks on both sides, so that one has a few blocks at any size
+    texts = read.repartition(n_blocks, "block").groupBy("block")
+    answered = answers(read, order, n_blocks).withColumnRenamed("of", "block").repartition(n_blocks, "block").groupBy("block")
+    scored = written(texts.cogroup(answered).applyInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, tail array<struct<h: long, n: int>>"), 1000)
     rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.h").alias("key"), F.col("t.n").alias("n"))
     rare = rare.join(vocabulary, "key", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sums"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     whole = scored.drop("tail").join(rare, "row", "left")

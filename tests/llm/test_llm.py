@@ -269,6 +269,38 @@ def test_lm_scores_equal_plain_ones(spark):
     assert ppm._largest_order(ppm.counts(docs(spark, *texts), 3).where("kind = 0"), 3, 50) < 3
 
 
+def test_lm_order_stays_on_many_contexts(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9000)) for _ in range(320)]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts, totals = collections.Counter(), collections.Counter()
+    for i in train:
+        s = bytes([10]) * 6 + modelled(texts[i])
+        counts.update(s[k - 6 : k + 1] for k in range(6, len(s)))
+    assert len(counts) > 2_000_000
+    for key, c in counts.items():
+        totals[key[:6]] += c
+    got = {r.doc_id: r.score for r in ppm.score(docs(spark, *texts)).where("doc_id < 20").collect()}
+    for i in set(train) & set(got):
+        s = bytes([10]) * 6 + modelled(texts[i])
+        want = sum(math.log10((2 * counts[s[k - 6 : k + 1]] - 1) / (2 * totals[s[k - 6 : k]])) for k in range(6, len(s)))
+        assert abs(got[i] - want) < 1e-2
+
+
+def test_lm_blocks_and_shards(spark):
+    rng = random.Random(10)
+    texts = ["".join(rng.choice(["the ", "cat", "s", "at ", "é", "on"]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["zzz qqq \U0001f600", "", None]
+    counts = collections.Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            s = bytes([10]) * 6 + modelled(t)
+            counts.update(s[k - 6 : k + 1] for k in range(6, len(s)))
+    rows = ppm.score(docs(spark, *texts), block_bytes=300).collect()
+    assert sum(r.held_out for r in rows) > 5
+    for r in rows:
+        assert abs(r.score - plain_ppm(counts, 6, modelled(texts[r.doc_id]))) < 1e-3
+
+
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
 OURS, THEIRS = bpe.Bpe(RANKS, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
