@@ -5,8 +5,10 @@ every token has an occurrence vector (how often it stands in each page); tokens
 vector that stand in most pages form an equivalence class. A class is valid if its tags are
 nested, each opened as often as closed, and it has two tokens at least. The valid classes of a
 host, nested by their paths, are its template; what lies between template tokens is slots. The
-main text is what the slots of the article hold, or, on pages without an article, of all regions
-that are no boilerplate. Template text there is dropped; inside an article nothing is.
+main text is what the slots of the article hold, or, on pages whose article holds none or only a
+small share of the slots' text, of all regions that are no boilerplate. Template text is dropped
+everywhere, but for an article that is template as a whole on a page with little else: such are
+copies of one text on most pages of a host.
 
 Vectors are never gathered: a sum over pages of a hash of page and count stands for the vector,
 so classes come from one aggregation by host and token, and a host with most pages is no hot spot.
@@ -44,6 +46,8 @@ _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _SPACE = re.compile(r"\s+")
 #: Class names that begin with one of these say what is beside or absent, like `no-sidebar`.
 _BESIDE = {"has", "no", "with", "without"}
+#: Share of the slots' characters that an article needs to be the main region.
+ARTICLE_SHARE = 0.2
 
 
 def _marks(attributes: str) -> list[str]:
@@ -162,8 +166,14 @@ def page_tokens(page: str) -> dict[int, tuple[int, int]]:
 def main_text(page: str, template: set[int]) -> str:
     """Blocks of the main text, joined by a line feed."""
     found = [x for x in blocks(page) if not x[3]]
-    inside = [text for _, text, article, _ in found if article]
-    return "\n".join(inside or [text for path, text, _, _ in found if token(path, 0, text) not in template])
+    slots = [(text, article) for path, text, article, _ in found if token(path, 0, text) not in template]
+    n_all, n_inside = sum(len(text) for text, _ in slots), sum(len(text) for text, article in slots if article)
+    if not n_inside:
+        whole = [text for _, text, article, _ in found if article]
+        if sum(map(len, whole)) > n_all:
+            return "\n".join(whole)
+    inside = n_inside > 0 and n_inside >= ARTICLE_SHARE * n_all
+    return "\n".join(text for text, article in slots if article or not inside)
 
 
 def template(pages: DataFrame, support: float = 0.5, least: int = 3) -> DataFrame:

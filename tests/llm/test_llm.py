@@ -334,6 +334,17 @@ def test_html_template(spark):
     assert got[9] == "Site name\nRead also\nStory 9 & more here\nEnd 9"  # one page has no template
 
 
+def test_html_template_in_articles(spark):
+    page = lambda i: f'<body><div class="site">Site</div><article><h1>Head {i}</h1>{"".join(f"<p>Story {i} part {k}" for k in range(1 + i % 3))}<div class="box">Get our letter</div><p>As seen on {i % 4}</article></body>'
+    other = lambda i: f'<body><div class="site">Site</div><article><p>Hint {i}</p></article><div class="content"><p>{f"Long story {i} " * 20}</p></div></body>'
+    copied = "<body><div>Site</div><article><p>One text</p><p>for all pages</p></article></body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(8)] + [(i, f"http://b.example/{i}", other(i)) for i in range(10, 15)] + [(i, f"http://c.example/{i}", copied) for i in range(20, 24)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4] == "Head 4\nStory 4 part 0\nStory 4 part 1\nAs seen on 0"  # the box is on all pages of the host
+    assert got[12] == "Hint 12\n" + ("Long story 12 " * 20).strip()  # the article is a small part
+    assert got[22] == "One text\nfor all pages"
+
+
 def test_html_articles():
     page = """<body><header>Menu</header><nav><ul><li>a</ul></nav><aside>side</aside><div id="cookie-notice">ok?</div><article><header><h1>Head</h1></header>
     <p>One <b>two\n three</b><p>Four<ul><li>x<li>y</ul><!-- <p>no</p> --><div class="ad">buy</div><pre>a  b</pre><section class="comments"><p>me too</p></section></article><footer>(c)</footer>"""
