@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from loomspark.llm import bpe, dedup, mixing, quality
 from loomspark.llm.common import written
 
+#: No contract binds this stage: shingles of five words, 80 % in common.
+WIDTH, PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -27,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each component. Rows with a null id are kept."""
-    judged = dedup.near_duplicates(docs)
+    judged = dedup.near_duplicates(docs, percent=PERCENT, width=WIDTH)
     kept = judged.where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi")).select(*COLUMNS)
 

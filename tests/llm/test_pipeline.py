@@ -23,3 +23,10 @@ def test_stages_keep_their_promises(spark, tmp_path):
     assert max(copies.values()) <= 3 and set(copies) <= {r.doc_id for r in single}
     assert collections.Counter(r.doc_id for r in encoded) == copies
     assert list(mixed[0].asDict()) == pipeline.COLUMNS
+
+
+def test_near_dedup_takes_five_words(spark):
+    words = [f"w{i}" for i in range(245)]
+    rows = [(1, " ".join(words[:200]), "en", "s", 0), (2, " ".join(words), "en", "s", 0), (3, " ".join(words[::-1]), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.dedup_stage(spark, docs, DATA).collect()) == [1, 3]
