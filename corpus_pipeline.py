@@ -27,16 +27,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.select("doc_id", "text", *(F.col("_" + c).alias(c) for c in others))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Written, with a number for each row, since ids may be null or stand in many rows."""
+    return written(docs.select(*COLUMNS).withColumn("number", F.monotonically_increasing_id()))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: one document of each component. Rows with a null id are kept."""
-    judged = dedup.near_duplicates(docs, percent=PERCENT, width=WIDTH)
-    kept = judged.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi")).select(*COLUMNS)
+    """Operator 2: the first row of each component, whatever the rows' ids."""
+    rows = numbered(docs)
+    judged = dedup.near_duplicates(rows.select(F.col("number").alias("doc_id"), "text"), percent=PERCENT, width=WIDTH)
+    return rows.join(judged.where("kept").select(F.col("doc_id").alias("number")), "number", "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: each document as often as the mixture takes it."""
-    return mixing.take(docs).select(*COLUMNS)
+    """Operator 3: each row as often as the mixture takes it, whatever its id."""
+    rows = numbered(docs).withColumnRenamed("doc_id", "id").withColumnRenamed("number", "doc_id")
+    return mixing.take(rows).drop("doc_id").withColumnRenamed("id", "doc_id").select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

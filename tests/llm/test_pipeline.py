@@ -30,3 +30,16 @@ def test_near_dedup_takes_five_words(spark):
     rows = [(1, " ".join(words[:200]), "en", "s", 0), (2, " ".join(words), "en", "s", 0), (3, " ".join(words[::-1]), "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in pipeline.dedup_stage(spark, docs, DATA).collect()) == [1, 3]
+
+
+def test_repeated_and_null_ids(spark):
+    text = lambda k, n=50: " ".join(f"{k}x{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("a")), (1, text("b")), (None, text("c")), (None, text("c")), (None, text("d")), (2, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.text for r in pipeline.dedup_stage(spark, docs, DATA).collect()]
+    assert sorted(got) == sorted(text(k) for k in "abcd")
+    rows = [(None, text(k, 20), s) for k in range(30) for s in ("s", "t", "u")] + [(7, text(k, 20), "u") for k in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    # weights 1, 2, 3 of 2,400 words: sources take 400, 800 and 1,200
+    taken = collections.Counter(r.source for r in pipeline.mixing_stage(spark, docs, DATA).collect())
+    assert taken == {"s": 20, "t": 40, "u": 60}
