@@ -30,21 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    """Cut the lineage: write a Parquet table in the shared folder and read it back.
-
-    batch_rows: rows in an Arrow batch meanwhile, where rows are large.
-    """
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if batch_rows:
-        spark.conf.set(key, str(batch_rows))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -110,7 +110,7 @@ def _alike(nodes: DataFrame, j: float) -> DataFrame:
         return flat.field("cls").to_numpy(), flat.field("comp").to_numpy(), flat.field("n").to_numpy(), sketches_, mine.flatten().to_numpy(), at, ends
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 48) for b in batches for i in range(0, b.num_rows, 48)):  # as many pairs of lists at a time
             a_cls, a_comp, a_n, a_bins, a_mine, a_at, a_ends = columns(batch.column("members"))
             b_cls, b_comp, b_n, b_bins, b_mine, b_at, b_ends = columns(batch.column("probes"))
             out = []
@@ -152,7 +152,7 @@ def _confirm(documents: DataFrame, pairs: DataFrame, numerator: int, width: int)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "cls long, set binary"), 1000)
+    sets = written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "cls long, set binary"))
     joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
@@ -212,7 +212,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
     Nodes that are still unsettled at level `deepest` are settled by comparing all their classes
     that lie outside the largest component with the whole node, however many.
     """
-    read = written(sketches(documents, width), 1000)
+    read = written(sketches(documents, width))
     classes = read.where("doc_id is not null and n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("cls"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"))
     classes = written(classes)
     fingerprint = ["one", "two", "n_shingles"]
@@ -260,9 +260,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
         lots_of_members = F.pmod(F.xxhash64(F.lit(5), "cls"), F.ceil(F.col("n_node") / F.lit(few)))
         chunks = active.groupBy("node", "settled", lots_of_members.alias("chunk")).agg(F.collect_list(probe).alias("members"))
         pairs = _alike(chunks.join(probes, "node").select("node", "settled", "members", "probes"), j).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), 48)
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)  # no pair is confirmed twice
-        comps = _join_components(comps, written(_confirm(documents, pairs, percent, width), 1000))
+        comps = _join_components(comps, written(_confirm(documents, pairs, percent, width)))
         if first:
             continue
         # on to children, three levels at once: pivots have met all of their node and stay behind

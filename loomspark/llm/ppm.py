@@ -15,7 +15,7 @@ block of documents asks for the keys it holds, once each, with its counts. The r
 shards by a hash of a context's last bytes; a shard sums the counts, settles the keys it can, and
 hands on the others and the entries of shorter contexts to shards of these. Blocks and shards grow
 in number with the corpus, not in size. The answers meet their block's texts, and scoring is one
-table lookup for each byte.
+table lookup for each byte. The words of the unigram base are asked for in the same way.
 
 A text is modelled as its tokens: A-Z lower-cased, words without white space, each closed by a
 space, then one end mark (a line feed, which no word holds). The score is therefore comparable
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +38,11 @@ from loomspark.llm.quality import remainder
 #: Bytes that a modelled text can hold: all but four kinds of white space.
 ALPHABET = 252
 END, SPACE = 10, 32
-#: Length of the longest context; words that are broadcast; bytes of text in a block.
-ORDER, HEAD_WORDS, BLOCK = 6, 65_536, 1 << 24
-#: Keys that a task sums up before it sends them on.
-FLUSH = 1 << 20
+#: Length of the longest context; bytes of text in a block (the larger, the fewer keys are asked for twice).
+ORDER, BLOCK = 6, 1 << 26
+#: Keys that a task holds before it sums them up; shards for each block.
+FLUSH, SHARDS = 1 << 20, 2
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def stream(low: np.ndarray, off: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +219,7 @@ def unpack(data: bytes, dtype: type) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if dtype == np.uint64 else values
 
 
-#: Rows between blocks and shards. Kind 0: keys that a block (`of`) asks for, their counts in training texts; 1: trie entries and counts; 2: keys not settled, their blocks and states; 3: answers to a block.
+#: Rows between blocks and shards. Kind 0: keys that a block (`of`) asks for, their counts in training texts; 1: trie entries and counts; 2: keys not settled, their blocks and states; 3: answers to a block; 4: words that a block asks for, their counts in its training texts; 5: those in all of them; 6 and 7: a shard's distinct training words and their number (`of`).
 PACKED = "kind int, shard long, of long, keys binary, data binary"
 _PACKED = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("of", pa.int64()), ("keys", pa.binary()), ("data", pa.binary())])
 
@@ -240,19 +242,15 @@ def _open(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     """Entries and counts; keys that are asked for, their blocks and states."""
     got: dict[int, list] = {0: [], 1: [], 2: []}
     for kind, of, keys, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "of", "keys", "data")), strict=True):
-        got[kind].append((unpack(keys, np.uint64), of, data))
+        if kind in got:
+            got[kind].append((unpack(keys, np.uint64), of, data))
     asked = [(k, np.full(len(k), of), start(len(k))) for k, of, _ in got[0]]
     for k, _, data in got[2]:
         table = unpack(data, np.float64).reshape(5, -1)
         asked.append((k, table[0].view(np.int64), table[1:]))
-    entries = [(k, unpack(data, np.uint32).astype(np.int64)) for k, _, data in got[0]] + [(k, unpack(data, np.float64).astype(np.int64)) for k, _, data in got[1]]
+    entries = [(k, unpack(data, np.int64)) for k, _, data in got[0] + got[1]]
     keys, counts = (np.concatenate([e[i] for e in entries]) if entries else np.empty(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
-    keys, counts = keys[counts > 0], counts[counts > 0]
-    if len(keys):
-        by = np.argsort(keys)
-        keys, counts = keys[by], counts[by]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
+    keys, counts = _summed(keys[counts > 0], counts[counts > 0])
     if not asked:
         return keys, counts, np.empty(0, np.uint64), np.empty(0, np.int64), start(0)
     return keys, counts, *(np.concatenate([a[i] for a in asked], axis=-1) for i in range(3))
@@ -262,17 +260,28 @@ def _settling(*args: int):
     return lambda rows: settle(rows, *args)
 
 
+def word_counts(rows: pa.Table) -> list[tuple]:
+    """What a shard knows of its words: answers to blocks, and how many there are."""
+    rows = rows.filter(pc.equal(rows.column("kind"), 4))
+    asked = [(of, packed, unpack(packed, np.uint64), unpack(data, np.int64)) for of, packed, data in zip(*(rows.column(c).to_pylist() for c in ("of", "keys", "data")), strict=True)]
+    if not asked:
+        return []
+    keys, n = _summed(np.concatenate([k for *_, k, _ in asked]), np.concatenate([n for *_, n in asked]))
+    out = [(5, 0, of, packed, pack(n[np.searchsorted(keys, k)])) for of, packed, k, _ in asked]
+    return [*out, (6, 0, int((n > 0).sum()), b"", b""), (7, 0, int(n.sum()), b"", b"")]
+
+
 def settle(rows: pa.Table, order: int, lowest: int, after: int, n_shards: int) -> pa.Table:
     """What a shard knows of its keys in contexts of `order` bytes down to `lowest` + 1; the rest goes to shards by contexts of `after` bytes."""
     keys, counts, asked, blocks, state = _open(rows)
     model = Model(keys, counts, order, lowest)
     # at the end of the trie the next deal settles the rest
     state, settled = model(asked, state) if lowest else (state, np.zeros(len(asked), bool))
-    out = _answers(asked[settled], blocks[settled], state[0][settled])
+    out = _answers(asked[settled], blocks[settled], state[0][settled]) + word_counts(rows)
     keys, counts = model.shortest
     by, parts = deal(keys, after, n_shards)
     for shard, a, b in parts:
-        out.append((1, shard, 0, pack(keys[by[a:b]]), pack(counts[by[a:b]].astype(np.float64))))
+        out.append((1, shard, 0, pack(keys[by[a:b]]), pack(counts[by[a:b]].astype(np.int64))))
     open_ = np.flatnonzero(~settled)
     by, parts = deal(asked[open_], after, n_shards)
     open_ = open_[by]
@@ -282,81 +291,46 @@ def settle(rows: pa.Table, order: int, lowest: int, after: int, n_shards: int) -
     return _rows(out)
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of counts of each."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
 class _Sums:
     """Counts by key, summed up as they come."""
 
     def __init__(self):
         self.parts, self.size, self.limit = [], 0, FLUSH
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        unique, n = _unique(keys) if counts is None else (keys, counts)
-        self.parts.append((unique, n))
-        self.size += len(unique)
+    def add(self, keys: np.ndarray, counted: np.ndarray) -> None:
+        """Keys of 63 bits, and which of them count."""
+        both = np.sort(keys << np.uint64(1) | counted.astype(np.uint64))
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.empty(0, np.int64)
+        both, n = both[first], np.diff(np.append(first, len(both)))
+        self.parts.append(_summed(both >> np.uint64(1), np.where(both & np.uint64(1), n, 0)))
+        self.size += len(self.parts[-1][0])
         if self.size > self.limit:
             self._merge()
             self.limit = max(FLUSH, 2 * self.size)
 
     def _merge(self) -> None:
-        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        self.parts, self.size = [(keys[first], np.add.reduceat(n, first) if len(keys) else n)], len(first)
-
-    def pop(self, least: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
-        """All sums, once more than `least` keys are held."""
-        if not self.parts:
-            return None
-        if self.size > least:
-            self._merge()
-        if self.size <= least or not self.size:
+        self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+        self.size = len(self.parts[0][0])
+
+    def pop(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """All sums, if there are any."""
+        if not self.size:
             return None
+        self._merge()
         out, self.parts, self.size, self.limit = self.parts[0], [], 0, FLUSH
         return out
 
 
-def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
-
-
-def counts(documents: DataFrame, order: int | None = ORDER) -> DataFrame:
-    """kind, key and n over whole texts: 0, contexts with their byte (none if order is None); 1, hashes of words; 2, documents (end marks)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n_docs = {0: _Sums(), 1: _Sums()}, 0
-
-        def sent(kind: int, least: int) -> Iterator[pa.RecordBatch]:
-            if (got := sums[kind].pop(least)) is not None:
-                for i in range(0, len(got[0]), 1 << 18):
-                    key, n = got[0][i : i + (1 << 18)].view(np.int64), got[1][i : i + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n, pa.int64())], ["kind", "key", "n"])
-
-        for _, data, off in slices(batches, limit=1 << 19):
-            low = LOWER[data]
-            starts, lengths = words(low, off)
-            if order is not None:
-                sums[0].add(stream(low, off, starts, lengths, order)[0])
-            sums[1].add(hashes(low, starts, lengths))
-            n_docs += len(off) - 1
-            for kind in (0, 1):
-                yield from sent(kind, FLUSH)
-        for kind in (0, 1):
-            yield from sent(kind, 0)
-        if n_docs:
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([n_docs], pa.int64())], ["kind", "key", "n"])
-
-    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def _largest_order(contexts: DataFrame, order: int, max_entries: int) -> int:
-    """The longest context for which a trie has at most max_entries entries; that of order 1 always does (65,536 entries). Tells the size of a corpus; scores don't depend on it."""
-    while order > 1 and contexts.select(F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("key")).distinct().limit(max_entries + 1).count() > max_entries:
-        order -= 1
-    return order
-
-
 def placed(read: DataFrame, block_bytes: int) -> DataFrame:
     """Written, with `block`: runs of rows of about block_bytes of text (one row at least), named by their first row."""
 
@@ -371,27 +345,25 @@ def placed(read: DataFrame, block_bytes: int) -> DataFrame:
                 blocks.append(block)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], [*batch.schema.names, "block"])
 
-    return written(read.mapInArrow(run, "row long, doc_id long, held_out boolean, text string, block long"), 1000)
+    return written(read.mapInArrow(run, "row long, doc_id long, held_out boolean, text string, block long"))
 
 
 def requests(texts: DataFrame, order: int, dealt_by: int, n_shards: int) -> DataFrame:
-    """Each block's keys and their counts in training texts, by shards."""
+    """Each block's keys and words with their counts in training texts, by shards."""
     if order > 6:
         raise ValueError("keys hold contexts of 6 bytes at most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, block = _Sums(), None
+        keys_, words_, block = _Sums(), _Sums(), None
 
         def sent() -> Iterator[pa.RecordBatch]:
-            if (got := sums.pop()) is None:
-                return
-            # keys with a lowest bit that tells training texts; the held-out one comes first
-            keys, n = got[0] >> np.uint64(1), np.where(got[0] & np.uint64(1), got[1], 0)
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            keys, n = keys[first], np.add.reduceat(n, first).astype(np.uint32)
-            by, parts = deal(keys, dealt_by, n_shards)
-            for i in range(0, len(parts), 500):
-                yield from _rows([(0, shard, block, pack(keys[by[a:b]]), pack(n[by[a:b]])) for shard, a, b in parts[i : i + 500]]).to_batches()
+            for kind, sums, dealt in ((0, keys_, lambda k: deal(k, dealt_by, n_shards)), (4, words_, lambda k: runs((k % np.uint64(n_shards)).astype(np.int64)))):
+                if (got := sums.pop()) is None:
+                    continue
+                keys, n = got
+                by, parts = dealt(keys)
+                for i in range(0, len(parts), 500):
+                    yield from _rows([(kind, shard, block, pack(keys[by[a:b]]), pack(n[by[a:b]])) for shard, a, b in parts[i : i + 500]]).to_batches()
 
         for rows in batches:
             _, parts = runs(rows.column("block").to_numpy())
@@ -401,23 +373,27 @@ def requests(texts: DataFrame, order: int, dealt_by: int, n_shards: int) -> Data
                     block = name
                 for batch, data, off in slices(iter([rows.slice(a, b - a)]), limit=1 << 20):
                     low = LOWER[data]
-                    keys, at = stream(low, off, *words(low, off), order)
-                    train = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), np.diff(at))
-                    sums.add(keys << np.uint64(1) | train.astype(np.uint64))
+                    starts, lengths = words(low, off)
+                    keys, at = stream(low, off, starts, lengths, order)
+                    train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+                    keys_.add(keys, np.repeat(train, np.diff(at)))
+                    words_.add(hashes(low, starts, lengths) >> np.uint64(1), np.repeat(train, np.diff(np.searchsorted(starts, off))))
         yield from sent()
 
     return texts.select("block", "held_out", "text").mapInArrow(run, PACKED)
 
 
-def answers(texts: DataFrame, order: int, n_shards: int) -> DataFrame:
-    """`of` (a block), keys and data: log10 of the probability of each key that the block holds."""
+def answers(texts: DataFrame, order: int, n_shards: int) -> tuple[DataFrame, int, int]:
+    """Kind, `of` (a block), keys and data: 3, log10 of the probability of each key that the block holds; 5, the count of each word. Then the distinct words and the number of words of all training texts."""
     deals = steps(order)
     rows, found = requests(texts, order, deals[1], n_shards), []
     for i in range(len(deals) - 1):
         k, lowest, after = deals[i], deals[i + 1], deals[min(i + 2, len(deals) - 1)]
-        rows = written(rows.groupBy("shard").applyInArrow(_settling(k, lowest, after, n_shards), PACKED), 1000)
-        found.append(rows.where("kind = 3").select("of", "keys", "data"))
-        rows = rows.where("kind <> 3")
+        rows = written(rows.groupBy("shard").applyInArrow(_settling(k, lowest, after, n_shards), PACKED))
+        found.append(rows.where("kind in (3, 5)").select("kind", "of", "keys", "data"))
+        if i == 0:
+            n_words = {r["kind"]: r["n"] for r in rows.where("kind > 5").groupBy("kind").agg(F.sum("of").alias("n")).collect()}
+        rows = rows.where("kind in (1, 2)")
     keys, n, *_ = _open(rows.where("kind = 1").toArrow())
     ends = texts.sparkSession.sparkContext.broadcast((keys, n, deals[-1]))
 
@@ -425,83 +401,58 @@ def answers(texts: DataFrame, order: int, n_shards: int) -> DataFrame:
         model = once(ends.value, lambda x: Model(*x))
         for batch in batches:
             _, _, asked, blocks, state = _open(pa.Table.from_batches([batch]))
-            yield from _rows(_answers(asked, blocks, model(asked, state)[0][0])).select(["of", "keys", "data"]).to_batches()
+            yield from _rows(_answers(asked, blocks, model(asked, state)[0][0])).select(["kind", "of", "keys", "data"]).to_batches()
 
-    found.append(written(rows.where("kind = 2").mapInArrow(run, "of long, keys binary, data binary"), 1000))
+    found.append(written(rows.where("kind = 2").mapInArrow(run, "kind int, of long, keys binary, data binary")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return out, n_words.get(6, 0), n_words.get(7, 0)
 
 
-def score(documents: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, block_bytes: int = BLOCK) -> DataFrame:
+def score(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of documents.
 
     Learns from rows whose crc32(doc_id as text) mod 5 is not 1, all of them, by contexts of up to
-    `order` bytes (6 at most) whatever the corpus's size. Of the words the `head_words` most
-    frequent are broadcast for the base; the others' counts come by a join on 64-bit hashes, so
-    that no vocabulary is held in one place. Null texts count as empty: one token, the end. A null
-    doc_id is no text for crc32 and stays null. Repeated rows are learned and scored each. Without
+    `order` bytes (6 at most) whatever the corpus's size. Words are told apart by 63-bit hashes; no
+    vocabulary is held in one place. Null texts count as empty: one token, the end. A null doc_id
+    is no text for crc32 and stays null. Repeated rows are learned and scored each. Without
     training rows all counts are 0: bytes are then alike, and the base has N = V = 0. Other columns
-    are ignored.
+    are ignored; an empty table gives no rows.
     """
     read = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     read = placed(read, block_bytes)
-    n_blocks = max(1, read.select("block").distinct().count())
-    counted = written(counts(read.where(~F.col("held_out")), None).where("n > 0"), 1000)
-    sc = documents.sparkSession.sparkContext
-    vocabulary = counted.where("kind = 1").select("key", F.col("n").alias("c"))
-    about = counted.where("kind > 0").agg(F.sum("n").alias("n"), F.count_if(F.col("kind") == 1).alias("v"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("docs")).first()
-    n_all, docs = about["n"] or 0, about["docs"] or 0
-    v_all = about["v"] + (docs > 0)
-    head = vocabulary.orderBy(F.desc("c"), "key").limit(head_words).toArrow()
-    head = sc.broadcast((head["key"].to_numpy().astype(np.int64).view(np.uint64), head["c"].to_numpy().astype(np.int64)))
-    tail_type = pa.struct([("h", pa.int64()), ("n", pa.int32())])
-
-    def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
-        table, logs = once(head.value, lambda x: (Table(x[0]), np.log10(x[1] + 0.5)))
-        asked, costs = (np.concatenate([unpack(d, t) for d in answered.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("data", np.float32)))
-        cost = Table(asked)
-        return pa.Table.from_batches([x for b in texts.to_batches() for x in scores(b, table, logs, cost, costs)])
-
-    def scores(texts: pa.RecordBatch, table: Table, logs: np.ndarray, cost: Table, costs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    about = read.agg(F.countDistinct("block").alias("blocks"), F.count_if(~F.col("held_out")).alias("docs")).first()
+    n_blocks, docs = max(1, about["blocks"]), about["docs"]
+    answered, distinct, n_all = answers(read, order, SHARDS * n_blocks)
+    n_all, v_all = n_all + docs, distinct + (docs > 0)  # with the end marks
+    own, rest = float(np.log10(docs + 0.5)), float(np.log10(n_all + 0.5 * (v_all + 1)))
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        def table(kind: int, dtype: type) -> tuple[Table, np.ndarray]:
+            rows = known.filter(pc.equal(known.column("kind"), kind))
+            keys, values = (np.concatenate([np.empty(0, t), *(unpack(d, t) for d in rows.column(c).to_pylist())]) for c, t in (("keys", np.uint64), ("data", dtype)))
+            return Table(keys), values
+
+        if not texts.num_rows:
+            return pa.Table.from_batches([], SCORES)
+        costs, counts = table(3, np.float32), table(5, np.int64)
+        return pa.Table.from_batches([x for b in texts.to_batches() for x in scores(b, *costs, *counts)], SCORES)
+
+    def scores(texts: pa.RecordBatch, cost: Table, costs: np.ndarray, table: Table, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for batch, data, off in slices(iter([texts]), limit=1 << 19):
             low = LOWER[data]
             starts, lengths = words(low, off)
             stream_keys, at = stream(low, off, starts, lengths, order)
             p = np.concatenate([[0.0], np.cumsum(costs[cost(stream_keys)], dtype=np.float64)])
-            h = hashes(low, starts, lengths)
             first = np.searchsorted(starts, off)
-            doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-            found = table(h)
-            hit = found >= 0
-            known = np.bincount(doc[hit], minlength=len(off) - 1)
-            sums = np.bincount(doc[hit], weights=logs[found[hit]], minlength=len(off) - 1)
-            rare, rare_doc = h[~hit], doc[~hit]
-            ends = np.searchsorted(rare_doc, np.arange(len(off)))
-            tails = [_unique(rare[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            lists = np.concatenate([[0], np.cumsum([len(x) for x, _ in tails])]).astype(np.int32)
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([x for x, _ in tails]).view(np.int64)), pa.array(np.concatenate([x for _, x in tails]).astype(np.int32))], fields=list(tail_type))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first) + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(p[at[1:]] - p[at[:-1]], pa.float64()), pa.ListArray.from_arrays(pa.array(lists), flat)],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "sums", "score", "tail"],
-            )
+            doc, n = np.repeat(np.arange(len(off) - 1), np.diff(first)), np.diff(first) + 1
+            c = counts[table(hashes(low, starts, lengths) >> np.uint64(1))]
+            known = np.bincount(doc, weights=c > 0, minlength=len(off) - 1).astype(np.int64) + (docs > 0)
+            base = np.bincount(doc, weights=np.log10(c + 0.5), minlength=len(off) - 1) + own - n * rest
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(p[at[1:]] - p[at[:-1]])], schema=SCORES)
 
     # as many partitions as blocks on both sides, so that one has a few blocks at any size
-    texts = read.repartition(n_blocks, "block").groupBy("block")
-    answered = answers(read, order, n_blocks).withColumnRenamed("of", "block").repartition(n_blocks, "block").groupBy("block")
-    scored = written(texts.cogroup(answered).applyInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, tail array<struct<h: long, n: int>>"), 1000)
-    rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.h").alias("key"), F.col("t.n").alias("n"))
-    rare = rare.join(vocabulary, "key", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sums"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    whole = scored.drop("tail").join(rare, "row", "left")
-    sums = F.col("sums") + F.coalesce("rare_sums", F.lit(0.0)) + F.lit(float(np.log10(docs + 0.5)))
-    # without training rows N + 0.5 (V + 1) is 0.5, and a token's share 1
-    return whole.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(docs > 0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (sums - F.col("n_tokens") * F.lit(float(np.log10(n_all + 0.5 * (v_all + 1))))).alias("base_score"),
-        "score",
-    )
+    texts = read.select("block", "doc_id", "held_out", "text").repartition(n_blocks, "block").groupBy("block")
+    known = answered.withColumnRenamed("of", "block").repartition(n_blocks, "block").groupBy("block")
+    return texts.cogroup(known).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
