@@ -344,6 +344,59 @@ def test_html_template_in_articles(spark):
     assert got[22] == "One text\nfor all pages"
 
 
+def html_pages(spark, *hosts):
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", page) for k, own in enumerate(hosts) for i, page in enumerate(own)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_html_template_equals_plain_deduction(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"])
+    page = lambda i: f'<html><body><ul>{"<li>menu" * 3}</ul><div class="{word()} c{i}"><p>{word()}</p>{"<p>more</p>" * rng.randint(0, 2)}</div>{"<div>rare</div>" if i == 1 else ""}<div><b>Same</b> text</div></body></html>'
+    hosts = [[page(i) for i in range(n)] for n in (7, 3, 2)]
+    got = collections.defaultdict(set)
+    for r in html.template(html_pages(spark, *hosts)).collect():
+        got[r.host].add(r.token)
+    for k, own in enumerate(hosts):
+        vectors, kinds = collections.defaultdict(lambda: [0] * len(own)), {}
+        for i, one in enumerate(own):
+            parsed = html.Page(one)
+            for key, n in [*((x, n) for x, n in parsed.tags.items()), *(((path, 0, text), 1) for path, text, _, _ in parsed.blocks)]:
+                vectors[key][i] += n
+                kinds[key] = key[1]
+        classes = collections.defaultdict(list)
+        for key, v in vectors.items():
+            if len(own) >= 3 and sum(n > 0 for n in v) >= max(3, len(own) / 2):
+                classes[tuple(v)].append(key)
+        want = {html.token(*key) for c in classes.values() if len(c) >= 2 and sum(kinds[x] for x in c) == 0 for key in c}
+        assert got[f"h{k}.example"] == want and (k == 2 or want)
+
+
+def test_html_slots_decide(spark):
+    text = lambda i, n=12: " ".join(f"word{i}x{j}" for j in range(n))
+    links = '<div class="box">' + "".join(f'<a href="/{j}">item {j}</a> ' for j in range(9)) + "</div>"
+    story = [f'<body>{links}<div class="lead">hint {i}</div><div class="text"><p>{text(i)}</p><div class="letter"><p>Get our letter</p><p>now</p></div><p>{text(i + 50)}</p></div><div class="rail"><p>few {i}</p></div></body>' for i in range(6)]
+    cards = [f'<body><div class="story"><p>{text(i, 3 if i == 2 else 15)}</p></div><article class="card"><p>teaser {i}</p></article></body>' for i in range(6)]
+    inside = [f'<body><article><p>{text(i)}</p><section class="search-results tags"><p>{text(i + 9)}</p></section><section class="comments"><p>{text(i + 70, 60)}</p></section></article></body>' for i in range(6)]
+    rows = html.extract(html_pages(spark, story, cards, inside)).collect()
+    got = {r.page_id: r.text for r in rows}
+    for i in range(6):
+        assert got[i] == f"{text(i)}\n{text(i + 50)}"  # links, what stands on all pages and short slots beside the text go
+        assert got[100 + i] == f"{text(i, 3 if i == 2 else 15)}\nteaser {i}"
+        assert got[200 + i] == f"{text(i)}\n{text(i + 9)}"
+    assert all(r.by_slots == r.n_blocks for r in rows)
+    alone = html.extract(html_pages(spark, story[:2], cards[:1], inside[:1])).collect()
+    assert all(r.by_slots == 0 for r in alone)
+    assert {r.page_id: r.text for r in alone}[100] == f"{text(0, 15)}\nteaser 0"
+
+
+def test_html_of_odd_pages(spark):
+    long = "<p>" + "w " * 100000 + "</p>"
+    same = "<body><div><p>a</p></div></body>"
+    got = collections.Counter((r.text, r.n_chars) for r in html.extract(html_pages(spark, [long, None, "", "<", "<b", "</p></div>", "<div" * 500], [same] * 4)).collect())
+    assert got["w " * 99999 + "w", 199999] == 1 and got["a", 1] == 4 and sum(got.values()) == 11
+
+
 def test_html_articles():
     page = """<body><header>Menu</header><nav><ul><li>a</ul></nav><aside>side</aside><div id="cookie-notice">ok?</div><article><header><h1>Head</h1></header>
     <p>One <b>two\n three</b><p>Four<ul><li>x<li>y</ul><!-- <p>no</p> --><div class="ad">buy</div><pre>a  b</pre><section class="comments"><p>me too</p></section></article><footer>(c)</footer>"""
