@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.parsing import PAIRS
+
 FIELD = "struct<path: string, parent_path: string, key: string, ord: int, json_type: string, value_json: string, text: string, depth: int, in_list: boolean>"
 NODE = "struct<depth: int, under_list: boolean, type: string, n_properties: int, has_keyword: boolean>"
 PROPERTY = "struct<schema_path: string, parent_path: string, key: string, ord: int, type: string, types: array<string>, required: boolean>"
@@ -78,7 +80,7 @@ def _walk(value, depth: int, under_list: bool):
                     yield from _walk(y, depth + 1, True)
 
 
-def _schema(text: str | None) -> dict | None:
+def schema_of(text: str | None) -> dict | None:
     """A schema document; None where it is no JSON object."""
     try:
         found = json.loads(text) if text is not None else None
@@ -89,7 +91,7 @@ def _schema(text: str | None) -> dict | None:
 
 def _nodes_of(schema: pd.Series) -> pd.Series:
     """Every object of a schema document; lists add no level."""
-    return schema.map(lambda x: list(_walk(_schema(x), 0, False)))
+    return schema.map(lambda x: list(_walk(schema_of(x), 0, False)))
 
 
 def _properties(schema, path: str):
@@ -107,7 +109,7 @@ def _properties(schema, path: str):
 
 def _properties_of(schema: pd.Series) -> pd.Series:
     """Properties at every level reached by `properties`, and required names that are none (without a schema_path)."""
-    return schema.map(lambda x: list(_properties(_schema(x) or {}, "")))
+    return schema.map(lambda x: list(_properties(schema_of(x) or {}, "")))
 
 
 def _schema_texts(schema: pd.Series) -> pd.DataFrame:
@@ -117,7 +119,7 @@ def _schema_texts(schema: pd.Series) -> pd.DataFrame:
         return json.dumps(x, indent=1, separators=(",", ":"))
 
     def one(text):
-        s = _schema(text)
+        s = schema_of(text)
         if s is None:
             return dict.fromkeys(("ascii", "dump", "names", "sections"))
         props = s.get("properties")
@@ -137,9 +139,6 @@ def _schema_texts(schema: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in schema], columns=["ascii", "dump", "names", "sections"])
 
 
-_PAIRS = ((r'"(\w+)"\s*:\s*"([^"]*)"'), (r'"(\w+)"\s*:\s*(\d+)'), (r'"(\w+)"\s*:\s*(true|false|null)'))
-
-
 def _parse(content: str | None) -> dict:
     """Data and confidence of a completion: strict, then repaired, then salvaged pair by pair."""
     text = (content or "").strip()
@@ -157,7 +156,7 @@ def _parse(content: str | None) -> dict:
     except ValueError:
         pass
     pairs: dict = {}
-    for pattern in _PAIRS:
+    for pattern in PAIRS:
         for key, value in re.findall(pattern, text):
             if value.isdigit():
                 try:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 CHUNK_WORDS, OVERLAP_WORDS = 4000, 200
 PROMPT_TEXT, PROMPT_SCHEMA = 8000, 3000
 SAMPLE_BYTES = 10 * 1024 * 1024
-#: White space between words, beyond ASCII too.
-BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: White space between words: that of Unicode and four separators.
+BLANK = r"(?U)[\s\x1c-\x1f]+"
 
 #: The prompt and the system prompts of the strategies.
 PROMPT = """Extract structured data from the following text according to the provided JSON schema.
@@ -53,10 +53,13 @@ def n_chunks(n_words: Column, stride: int = CHUNK_WORDS - OVERLAP_WORDS) -> Colu
 def word_chunks(docs: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
     """Add chunk_idx and chunk_text: runs of `size` words that overlap; a text without words is its own chunk."""
     stride = size - overlap
+    # chunks are made before they are exploded, so that no row carries the words of its whole text
     split = docs.withColumn("_w", words(F.col("text")))
-    out = split.withColumn("chunk_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), n_chunks(F.size("_w"), stride) - 1)))
-    part = F.array_join(F.slice("_w", (F.col("chunk_idx") * stride + 1).cast("int"), size), " ")
-    return out.withColumn("chunk_text", F.when(F.size("_w") == 0, F.col("text")).otherwise(part)).drop("_w")
+    runs = F.transform(F.sequence(F.lit(0), n_chunks(F.size("_w"), stride).cast("int") - 1), lambda i: F.array_join(F.slice("_w", i * stride + 1, size), " "))
+    chunks = split.withColumn("_c", F.when(F.size("_w") == 0, F.array("text")).otherwise(runs)).drop("_w")
+    # the outer form: from the other one a filter on the array's size is inferred, which makes all chunks twice
+    exploded = chunks.select(*docs.columns, F.posexplode_outer("_c").alias("chunk_idx", "chunk_text")).where("chunk_idx is not null")
+    return exploded.withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
 
 
 def cut(text: Column, most: int, mark: str) -> Column:

@@ -14,8 +14,9 @@ def api_response(results: DataFrame, *more: str) -> DataFrame:
 
 
 def summary(results: DataFrame, errors: int = 3, low: int = 3) -> DataFrame:
-    """First errors and low fields, and how many there are; a preview of the data."""
-    return results.select("doc_id", "success", "confidence_score", F.slice("validation_errors", 1, errors).alias("first_errors"), F.size("validation_errors").alias("n_errors"), F.slice("low_confidence_fields", 1, low).alias("first_low"), F.greatest(F.size("low_confidence_fields") - low, F.lit(0)).alias("n_more_low"), preview(F.col("extracted_data")).alias("preview"))
+    """First errors and low fields, and how many there are; a preview of the data; costs and ratings, if the results were evaluated."""
+    rated = [c for c in ("token_usage", "estimated_cost", "completeness", "accuracy", "efficiency", "cost_rating", "quality_rating") if c in results.columns]
+    return results.select("doc_id", "success", "confidence_score", *rated, F.slice("validation_errors", 1, errors).alias("first_errors"), F.size("validation_errors").alias("n_errors"), F.slice("low_confidence_fields", 1, low).alias("first_low"), F.greatest(F.size("low_confidence_fields") - low, F.lit(0)).alias("n_more_low"), preview(F.col("extracted_data")).alias("preview"))
 
 
 def review(results: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +87,20 @@ def cost(total: Column) -> Column:
     return tokens_in(total) * F.lit(PRICE_IN) / F.lit(1000.0) + tokens_out(total) * F.lit(PRICE_OUT) / F.lit(1000.0)
 
 
+def _rounded(cost: pd.Series) -> pd.Series:
+    return cost.map(lambda x: round(x, 4), na_action="ignore")
+
+
+def rounded_cost(total: Column) -> Column:
+    """cost() to four places by the double's exact value, which Spark's round() doesn't look at."""
+    return F.pandas_udf(_rounded, "double")(cost(total))
+
+
+def llm_share(llm_seconds: Column, seconds: Column) -> Column:
+    """Share of the time that went to the provider, in percent."""
+    return F.when(seconds > 0, llm_seconds / seconds * F.lit(100.0)).otherwise(0.0)
+
+
 def efficiency(seconds: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - seconds * F.lit(10.0)))
 
@@ -112,10 +127,19 @@ def validate(fields: DataFrame, properties: DataFrame, *keys: str) -> DataFrame:
 
 
 def score_fields(fields: DataFrame, properties: DataFrame, texts: DataFrame, *keys: str) -> DataFrame:
-    """path, seq (the data's order) and confidence of fields reached through declared objects. texts has keys and text_lower."""
-    declared = properties.where("schema_path is not null").select(*keys, F.col("schema_path").alias("parent_path"), F.lit(True).alias("reached"))
-    required = properties.where("required").select(*keys, "parent_path", "key", F.lit(True).alias("required"))
+    """keys and scores, an array of (seq, path, confidence) in the data's order, for fields reached through declared objects.
+
+    texts has keys and text_lower, one row for each. Of fields with equal paths (a dot may stand in
+    a key) the last one counts. The fields of a document meet its text as one list, so that the
+    text is there once.
+    """
+    declared = properties.where("schema_path is not null").select(*keys, F.col("schema_path").alias("parent_path"), F.lit(True).alias("reached")).distinct()
+    required = properties.where("required").select(*keys, "parent_path", "key", F.lit(True).alias("required")).distinct()
     reached = fields.where("not in_list").join(declared, [*keys, "parent_path"], "left").where("depth = 0 or reached")
-    joined = reached.join(required, [*keys, "parent_path", "key"], "left").join(texts, list(keys))
-    confidence = field_confidence(F.coalesce("required", F.lit(False)), found_in(F.col("text"), F.col("text_lower")), is_truthy(F.col("json_type"), F.col("value_json")))
-    return joined.select(*keys, "path", "seq", confidence.alias("confidence"))
+    joined = reached.join(required, [*keys, "parent_path", "key"], "left")
+    about = F.struct("seq", "path", F.coalesce("required", F.lit(False)).alias("required"), F.lower("text").alias("value"), is_truthy(F.col("json_type"), F.col("value_json")).alias("truthy"))
+    last = joined.groupBy(*keys, "path").agg(F.max_by(about, "seq").alias("f"))
+    lists = last.groupBy(*keys).agg(F.array_sort(F.collect_list("f")).alias("f"))
+    found = lambda f: F.coalesce(F.contains(F.col("text_lower"), f["value"]), F.lit(False))
+    scores = F.transform("f", lambda f: F.struct(f["seq"].alias("seq"), f["path"].alias("path"), field_confidence(f["required"], found(f), f["truthy"]).alias("confidence")))
+    return lists.join(texts, list(keys)).select(*keys, scores.alias("scores"))

@@ -1,21 +1,23 @@
 """Completion providers: units in, contents out.
 
-A unit is (doc_id, schema_id, unit_idx, system_prompt, user_prompt, max_tokens); a provider gives
-(doc_id, schema_id, unit_idx, content, total_tokens, error). Answers can differ from call to call,
-so the engine writes them to a table before it goes on.
+A unit is (row, doc_id, schema_id, unit_idx, system_prompt, user_prompt, max_tokens), where `row`
+is a number of its own for each document and schema; a provider gives (row, unit_idx, content,
+total_tokens, error, seconds). Answers can differ from call to call, so the engine writes them to a
+table before it goes on.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ANSWER = "doc_id long, schema_id string, unit_idx int, content string, total_tokens long, error string"
+ANSWER = "row long, unit_idx int, content string, total_tokens long, error string, seconds double"
 
 
 def prompt_key(df: DataFrame) -> DataFrame:
@@ -29,8 +31,10 @@ class Replay:
         self.recorded = recorded
 
     def complete(self, units: DataFrame) -> DataFrame:
-        joined = prompt_key(units).join(self.recorded.select("prompt_key", "content", "total_tokens"), "prompt_key", "left")
-        return joined.select("doc_id", "schema_id", "unit_idx", "content", F.coalesce("total_tokens", F.lit(0)).cast("long").alias("total_tokens"), F.when(F.col("content").isNull(), "no recorded answer").alias("error"))
+        # one answer for each prompt, however often it was recorded
+        known = self.recorded.groupBy("prompt_key").agg(F.min_by(F.struct("content", "total_tokens"), F.struct("content", "total_tokens")).alias("a"))
+        joined = prompt_key(units).join(known, "prompt_key", "left")
+        return joined.select("row", "unit_idx", "a.content", F.coalesce("a.total_tokens", F.lit(0)).cast("long").alias("total_tokens"), F.when(F.col("a.content").isNull(), "no recorded answer").alias("error"), F.lit(0.0).alias("seconds"))
 
 
 class Calls:
@@ -51,18 +55,22 @@ class Calls:
                 for frame in frames:
                     out = []
                     for u in frame.itertuples(index=False):
+                        began = time.perf_counter()
                         try:
                             call = call or make()
                             content, tokens = call(u.system_prompt, u.user_prompt, u.max_tokens)
-                            out.append((u.doc_id, u.schema_id, u.unit_idx, content, tokens, None))
+                            out.append((u.row, u.unit_idx, content, tokens, None, time.perf_counter() - began))
                         except Exception as e:  # one document's failure is its own row
-                            out.append((u.doc_id, u.schema_id, u.unit_idx, None, 0, str(e)))
-                    yield pd.DataFrame(out, columns=["doc_id", "schema_id", "unit_idx", "content", "total_tokens", "error"])
+                            out.append((u.row, u.unit_idx, None, 0, str(e), time.perf_counter() - began))
+                    yield pd.DataFrame(out, columns=["row", "unit_idx", "content", "total_tokens", "error", "seconds"])
             finally:
-                if hasattr(call, "close"):
-                    call.close()
+                try:
+                    if hasattr(call, "close"):
+                        call.close()
+                except Exception:  # the answers are there already
+                    pass
 
-        return units.select("doc_id", "schema_id", "unit_idx", "system_prompt", "user_prompt", "max_tokens").mapInPandas(run, ANSWER)
+        return units.select("row", "unit_idx", "system_prompt", "user_prompt", "max_tokens").mapInPandas(run, ANSWER)
 
 
 def heuristic(system_prompt: str, user_prompt: str, max_tokens: int) -> tuple[str, int]:
@@ -70,13 +78,22 @@ def heuristic(system_prompt: str, user_prompt: str, max_tokens: int) -> tuple[st
     text, _, schema = user_prompt.partition("\n\nJSON SCHEMA:\n")
     text = text.partition("TEXT TO EXTRACT FROM:\n")[2]
     names = re.findall(r'^  ?"([^"\n]+)":\{', schema, re.M)
-    found = {n: m[1].strip() for n in dict.fromkeys(names) if (m := re.search(rf"(?im)^\W*{re.escape(n)}\s*[:=]\s*(.+)$", text))}
+    found = {n: m[1].strip(" \t\r\f") for n in dict.fromkeys(names) if (m := re.search(rf"(?aim)^[^\w\n]*{re.escape(n)}[ \t]*[:=][ \t]*([^\n]+)$", text))}
     if "first_words" in names:
         found["first_words"] = " ".join(text.split()[:3])
     content = json.dumps(found, ensure_ascii=False)
     return content, (len(user_prompt) + len(content)) // 4
 
 
+#: Names under which the environment may hold a provider's key, in order.
+KEY_NAMES = ("OPENAI_API_KEY", "OPENAI_API_KEY_SECRET")
+
+
+def api_key(environment: Mapping[str, str]) -> str | None:
+    """The provider's key in an environment, if there is one. Give it to `make` of Calls; it is never logged or written."""
+    return next((environment[n] for n in KEY_NAMES if environment.get(n)), None)
+
+
 class Heuristic(Calls):
     """The offline stand-in as a provider."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,7 +137,8 @@ def schema_complexity(spark, d):
 
 @_query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def json_field(spark, d):
-    return _t(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    fields = jsonmodel.fields(_t(spark, d, "events").select("event_id", "props"), "props", "event_id")
+    return fields.where("path = 'k'").select("event_id", F.col("value_json").cast("bigint").alias("k"))
 
 
 @_query(r"SELECT page_id, md5(regexp_extract(trim(html), '(?s)\{.*\}', 0)) AS braces FROM pages")
@@ -333,14 +335,62 @@ def strategy_catalogue(spark, d):
 SCHEMA = '{"type":"object","properties":{"first_words":{"type":"string"},"email":{"type":"string"},"token":{"type":"string"}},"required":["first_words","email"]}'
 
 
-@_query()
+#: Fixed facts of SCHEMA, which has 1 object on 2 levels.
+_FACTS = {"nesting_depth": 2, "total_objects": 1, "total_properties": 3}
+_SCORE = _FACTS["nesting_depth"] * 10.0 + _FACTS["total_objects"] * 2.0 + _FACTS["total_properties"] * 0.5 + len(json.dumps(json.loads(SCHEMA), separators=(",", ":"))) // 4 * 0.01
+
+
+def _offline_sql(auto: bool) -> str:
+    """What the offline provider answers, unit by unit, and what becomes of it."""
+    dump = json.dumps(json.loads(SCHEMA), indent=1, separators=(",", ":"))
+    fixed = len(text.PROMPT) - len("{context}{focus}{text}{schema}") + len(dump)
+    value = lambda n: f"CASE WHEN regexp_matches(t, '{_line(n)}') THEN trim(regexp_extract(t, '{_line(n)}', 1), ' ' || chr(9) || chr(13) || chr(12)) END"
+    large = "length(text) > 100000" if auto else "true"
+    return rf"""
+WITH w AS (SELECT doc_id, text, {large} AS large, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT *, CASE WHEN large THEN greatest(1, ceil(len(w) / 3800.0)::BIGINT) ELSE 1 END AS n FROM w),
+c AS (SELECT doc_id, i, CASE WHEN large THEN 'Context: chunk ' || (i + 1) || '/' || n ELSE '' END AS context, CASE WHEN NOT large OR len(w) = 0 THEN text ELSE array_to_string(w[i * 3800 + 1 : i * 3800 + 4000], ' ') END AS t FROM (SELECT *, unnest(range(0, n)) AS i FROM n)),
+u AS (SELECT *, [{value("email")}, {value("token")}, array_to_string(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')[1:3], ' ')] AS v FROM c),
+f AS (SELECT doc_id, i, unnest(['email', 'token', 'first_words']) AS key, unnest(v) AS v, unnest([0, 1, 2]) AS k FROM u),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY k) AS ord FROM f WHERE v IS NOT NULL),
+tokens AS (SELECT doc_id, sum((l + content) // 4)::BIGINT AS token_usage, count(*)::INTEGER AS units FROM (SELECT u.doc_id, u.i, {fixed} + length(any_value(u.context)) + length(any_value(u.t)) AS l, sum(length(p.key) + 4 + length(to_json(p.v)::VARCHAR)) + 2 * count(*) AS content FROM u JOIN p ON p.doc_id = u.doc_id AND p.i = u.i GROUP BY u.doc_id, u.i) GROUP BY doc_id),
+g AS (SELECT doc_id, key, coalesce(min_by(v, i) FILTER (v <> ''), '') AS v, min(i * 10 + ord) AS place FROM p GROUP BY doc_id, key),
+s AS (SELECT g.*, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.7::DOUBLE + CASE WHEN key <> 'token' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(text), lower(v)) THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN v = '' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)) AS score,
+      contains(lower(text), lower(trim(v))) AS found FROM g JOIN documents USING (doc_id)),
+d AS (SELECT doc_id, '{{' || string_agg('"' || key || '":' || to_json(v)::VARCHAR, ',' ORDER BY place) || '}}' AS extracted_data, max(score) FILTER (key = 'first_words') AS first_words_confidence, max(score) FILTER (key = 'email') AS email_confidence,
+      array_to_string(coalesce(list(key ORDER BY place) FILTER (score < 0.6::DOUBLE), []), ',') AS low, count(*) FILTER (key = 'email') = 0 AS lacks, count(*) FILTER (key <> 'token' AND v <> '') AS present, count(*) FILTER (trim(v) <> '') AS strings, count(*) FILTER (trim(v) <> '' AND found) AS found FROM s GROUP BY doc_id),
+r AS (SELECT doc_id, true AS success, extracted_data, CASE WHEN lacks THEN 0.8::DOUBLE * (1.0::DOUBLE - 1 * 0.1::DOUBLE) ELSE 0.8::DOUBLE END AS confidence_score, first_words_confidence, email_confidence, low, CASE WHEN large THEN 'chunked' ELSE 'simple' END AS strategy_used, token_usage, units AS chunks_processed,
+      CASE WHEN lacks THEN 'Missing required field: email' ELSE '' END AS errors, present, strings, d.found AS found, lacks, text FROM d JOIN tokens USING (doc_id) JOIN w USING (doc_id))
+"""
+
+
+def _line(name: str) -> str:
+    """The offline provider's pattern."""
+    return rf"(?im)^[^\w\n]*{name}[ \t]*[:=][ \t]*([^\n]+)$"
+
+
+_RESULT_COLUMNS = "doc_id, success, extracted_data, confidence_score, first_words_confidence, email_confidence, low, strategy_used, token_usage, chunks_processed, errors"
+
+
+def _offline(results: DataFrame, *more) -> DataFrame:
+    confidence = lambda n: F.col("field_confidences")[n].alias(f"{n}_confidence")
+    return results.select("doc_id", "success", "extracted_data", "confidence_score", confidence("first_words"), confidence("email"), F.array_join("low_confidence_fields", ",").alias("low"), "strategy_used", "token_usage", "chunks_processed", F.array_join("validation_errors", ",").alias("errors"), *more)
+
+
+@_query(_offline_sql(False) + f"SELECT {_RESULT_COLUMNS} FROM r")
 def extract_offline(spark, d):
     """Documents through prompts, the offline provider, parsing, folds, validation and scores."""
     schemas = spark.createDataFrame([("sample", SCHEMA)], "schema_id string, schema_json string")
-    return engine.extract(_t(spark, d, "documents").select("doc_id", "text"), schemas, strategy="chunked")
+    return _offline(engine.extract(_t(spark, d, "documents").select("doc_id", "text"), schemas, strategy="chunked", max_text_chars=engine.WHOLE))
 
 
-@_query()
+@_query(
+    _offline_sql(True)
+    + f"""SELECT {_RESULT_COLUMNS}, present / 2::DOUBLE AS completeness, CASE WHEN strings > 0 THEN found / strings::DOUBLE ELSE 1.0::DOUBLE END AS accuracy, CASE WHEN lacks THEN 'validation_error_0' ELSE '' END AS flags,
+floor(token_usage * 0.7::DOUBLE)::BIGINT AS input_tokens, floor(token_usage * 0.3::DOUBLE)::BIGINT AS output_tokens, length(text)::BIGINT AS document_chars, {_SCORE}::DOUBLE AS complexity_score, {_FACTS["nesting_depth"]}::BIGINT AS nesting_depth, {_FACTS["total_objects"]}::BIGINT AS total_objects, {_FACTS["total_properties"]}::BIGINT AS total_properties,
+CASE WHEN confidence_score > 0.85::DOUBLE THEN 'Excellent' WHEN confidence_score > 0.7::DOUBLE THEN 'Good' ELSE 'Needs Review' END AS quality_rating FROM r"""
+)
 def evaluate_offline(spark, d):
     schemas = spark.createDataFrame([("sample", SCHEMA)], "schema_id string, schema_json string")
-    return engine.evaluate(_t(spark, d, "documents").select("doc_id", "text"), schemas)
+    results = engine.evaluate(_t(spark, d, "documents").select("doc_id", "text"), schemas, max_text_chars=engine.WHOLE)
+    return _offline(results, "completeness", "accuracy", F.array_join("flags", ",").alias("flags"), "input_tokens", "output_tokens", "document_chars", "complexity_score", "nesting_depth", "total_objects", "total_properties", "quality_rating")

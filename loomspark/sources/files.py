@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import importlib.util
 import io
-from collections.abc import Iterator
+import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import file_format
+from loomspark.functions import jsonmodel
+from loomspark.functions.text import file_format, stem
 from loomspark.operators.reports import review
 
 #: Fixed value: size from which a file is marked as large.
@@ -42,60 +43,125 @@ def _pdf_text(content: bytes) -> str | None:
     return None
 
 
-def _pdf_texts(content: pd.Series) -> pd.Series:
-    return content.map(_pdf_text)
+def _csv_text(content: bytes) -> str:
+    try:
+        table = pd.read_csv(io.BytesIO(content), index_col=False)
+    except UnicodeDecodeError:
+        table = pd.read_csv(io.BytesIO(content), encoding="latin-1", index_col=False)
+    rows = [f"Row {i + 1}: " + " | ".join(f"{c}: {v}" for c, v in row.items()) for i, (_, row) in enumerate(table.head(10).iterrows())]
+    more = [f"... and {len(table) - 10} more rows"] if len(table) > 10 else []
+    return "\n".join([f"CSV file with {len(table)} rows and {len(table.columns)} columns", f"Columns: {', '.join(map(str, table.columns))}", "\nData sample:", *rows, *more])
 
 
-def _csv(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A CSV file's text: counts, names, first ten rows. A file is one row already, so it is read where it is."""
-    for f in frames:
-        out = []
-        for path, content in zip(f["path"], f["content"], strict=True):
-            try:
-                try:
-                    table = pd.read_csv(io.BytesIO(content), index_col=False)
-                except UnicodeDecodeError:
-                    table = pd.read_csv(io.BytesIO(content), encoding="latin-1", index_col=False)
-                rows = [f"Row {i + 1}: " + " | ".join(f"{c}: {v}" for c, v in row.items()) for i, (_, row) in enumerate(table.head(10).iterrows())]
-                more = [f"... and {len(table) - 10} more rows"] if len(table) > 10 else []
-                out.append((path, "\n".join([f"CSV file with {len(table)} rows and {len(table.columns)} columns", f"Columns: {', '.join(map(str, table.columns))}", "\nData sample:", *rows, *more]), None))
-            except Exception as e:
-                out.append((path, None, f"Could not process CSV file: {e}"))
-        yield pd.DataFrame(out, columns=["path", "text", "error"])
+def _read(content: pd.Series, format_: pd.Series) -> pd.DataFrame:
+    """Text and error of PDF and CSV files; a broken file is one row with an error."""
+
+    def one(x: bytes | None, kind: str) -> tuple[str | None, str | None]:
+        if x is None:
+            return None, None
+        if kind == "pdf":
+            text = _pdf_text(x)
+            return text, None if text is not None else "Could not extract text from PDF" if pdf_available() else "PDF processing not available"
+        try:
+            return _csv_text(x), None
+        except Exception as e:
+            return None, f"Could not process CSV file: {e}"
+
+    return pd.DataFrame([one(x, k) for x, k in zip(content, format_, strict=True)], columns=["text", "error"])
 
 
 def as_documents(files: DataFrame) -> DataFrame:
-    """path, filename, text, size_mb, large and error of binary files, by the format of their names."""
+    """path, filename, text, size_mb, large and error of binary files, by the format of their names. One pass, for streams too."""
     named = files.select("path", "content", "length").withColumn("format", file_format(F.col("path")))
-    plain = named.where("format = 'text'").select("path", decoded(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
-    pdf = named.where("format = 'pdf'").select("path", F.pandas_udf(_pdf_texts, "string")("content").alias("text")).withColumn("error", F.when(F.col("text").isNull(), "Could not extract text from PDF" if pdf_available() else "PDF processing not available"))
-    csv = named.where("format = 'csv'").select("path", "content").mapInPandas(_csv, "path string, text string, error string")
-    sizes = named.select("path", (F.col("length") / 1048576.0).alias("size_mb"), (F.col("length") > WARN_BYTES).alias("large"))
-    return plain.unionByName(pdf).unionByName(csv).join(sizes, "path").withColumn("filename", F.regexp_extract("path", "([^/]*)$", 1))
+    plain = F.col("format") == "text"
+    parsed = F.pandas_udf(_read, "text string, error string")(F.when(~plain, F.col("content")), F.col("format"))
+    return named.withColumn("parsed", parsed).select(
+        "path", F.when(plain, decoded(F.col("content"))).otherwise(F.col("parsed.text")).alias("text"), "parsed.error", (F.col("length") / 1048576.0).alias("size_mb"), (F.col("length") > WARN_BYTES).alias("large"), F.regexp_extract("path", "([^/]*)$", 1).alias("filename")
+    )
+
+
+def _strict(content: pd.Series) -> pd.Series:
+    def one(x: bytes | None) -> str | None:
+        try:
+            x.decode("utf-8") if x is not None else None
+        except UnicodeDecodeError as e:
+            return str(e)
+        return None
 
+    return content.map(one)
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of all files under a path, with a doc_id hashed from their path."""
+
+def read_documents(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Documents of all files under a path, with a doc_id hashed from their path. strict: text that isn't UTF-8 is an error instead of Latin-1."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return as_documents(files).withColumn("doc_id", F.xxhash64("path"))
+    out = as_documents(files)
+    if strict:
+        bad = files.select("path", F.pandas_udf(_strict, "string")("content").alias("bad")).where(F.col("bad").isNotNull() & (file_format(F.col("path")) == "text"))
+        out = out.join(bad, "path", "left").withColumn("error", F.coalesce("error", "bad")).withColumn("text", F.when(F.col("bad").isNull(), F.col("text"))).drop("bad")
+    return out.withColumn("doc_id", F.xxhash64("path"))
+
+
+def read_csv_documents(spark: SparkSession, path: str, head: int = 10) -> DataFrame:
+    """path and text of CSV files, read by Spark in splits: for files too large for one task.
+
+    Files share the header names of the first; rows keep the file's order by their offset in it.
+    """
+    table = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    names = table.columns
+    row = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit("nan"))) for c in names])
+    lines = table.select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("at"), row.alias("line"))
+    first = lines.withColumn("i", F.row_number().over(Window.partitionBy("path").orderBy("at"))).where(F.col("i") <= head)
+    shown = first.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", F.concat(F.lit("Row "), F.col("i").cast("string"), F.lit(": "), "line").alias("x")))).alias("rows"))
+    counted = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n")).join(shown, "path")
+    top = F.concat(F.lit("CSV file with "), F.col("n").cast("string"), F.lit(f" rows and {len(names)} columns"))
+    more = F.when(F.col("n") > head, F.array(F.concat(F.lit("... and "), (F.col("n") - head).cast("string"), F.lit(" more rows")))).otherwise(F.array().cast("array<string>"))
+    parts = F.concat(F.array(top, F.lit("Columns: " + ", ".join(names)), F.lit(""), F.lit("Data sample:")), F.transform("rows", lambda r: r["x"]), more)
+    return counted.select("path", F.array_join(parts, "\n").alias("text"))
+
+
+def _valid(schema: pd.Series) -> pd.Series:
+    return schema.map(lambda x: jsonmodel.schema_of(x) is not None)
 
 
 def read_schemas(spark: SparkSession, path: str) -> DataFrame:
     """schema_id (the path) and schema_json of schema files, one each; those that aren't JSON objects are left to the caller as valid = false."""
     read = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("schema_id"), F.col("value").alias("schema_json"))
-    return read.withColumn("valid", F.try_parse_json("schema_json").isNotNull())
+    return read.withColumn("valid", F.pandas_udf(_valid, "boolean")("schema_json"))
+
+
+def _pretty(data: pd.Series) -> pd.Series:
+    return data.map(lambda x: json.dumps(json.loads(x), indent=2, ensure_ascii=False), na_action="ignore")
+
+
+def pretty(data: Column) -> Column:
+    """JSON text with an indent of two, other characters than ASCII kept."""
+    return F.pandas_udf(_pretty, "string")(data)
+
+
+def output_name(name: Column) -> Column:
+    """The default name of a document's result file."""
+    return F.concat(stem(name), F.lit("_extracted.json"))
 
 
 def write_results(results: DataFrame, path: str) -> None:
     """Three folders: extracted data, metrics, and reviews of flagged documents."""
-    results.select("doc_id", "schema_id", "extracted_data").write.mode("overwrite").json(f"{path}/extracted")
+    results.select("doc_id", "schema_id", "extracted_data", pretty(F.col("extracted_data")).alias("pretty")).write.mode("overwrite").json(f"{path}/extracted")
     results.drop("extracted_data").write.mode("overwrite").json(f"{path}/metrics")
     if "flags" in results.columns:
         review(results).write.mode("overwrite").json(f"{path}/review")
 
 
+#: A small document and a schema to try.
+SAMPLE_TEXT = "name: Ada Lovelace\nemail: ada@example.org\nsummary: Wrote the first published program.\nskills: mathematics, analysis\n"
+SAMPLE_SCHEMA = '{"type":"object","properties":{"name":{"type":"string"},"email":{"type":"string"},"summary":{"type":"string"},"skills":{"type":"string"}},"required":["name","email"]}'
+
+
 def sample(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """A small document and a schema to try."""
-    text = "name: Ada Lovelace\nemail: ada@example.org\nsummary: Wrote the first published program.\nskills: mathematics, analysis\n"
-    schema = '{"type":"object","properties":{"name":{"type":"string"},"email":{"type":"string"},"summary":{"type":"string"},"skills":{"type":"string"}},"required":["name","email"]}'
-    return spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([("person", schema)], "schema_id string, schema_json string")
+    """The sample document and schema as tables."""
+    return spark.createDataFrame([(1, SAMPLE_TEXT)], "doc_id long, text string"), spark.createDataFrame([("person", SAMPLE_SCHEMA)], "schema_id string, schema_json string")
+
+
+def write_sample(spark: SparkSession, path: str) -> None:
+    """The sample as files: a folder with the text, one with the schema."""
+    for name, content in (("content", SAMPLE_TEXT.rstrip("\n")), ("schema", SAMPLE_SCHEMA)):
+        spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomspark.plans.engine import extract
-from loomspark.sources.files import decoded
+from loomspark.sources.files import as_documents
 
 
 def document_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """doc_id, path and text of text files under a path as they arrive."""
+    """doc_id, path, text and error of files under a path as they arrive, read by the format of their names."""
     layout = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.schema(layout).format("binaryFile").option("maxFilesPerTrigger", files_per_trigger).load(path)
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", decoded(F.col("content")).alias("text"))
+    return as_documents(files).select(F.xxhash64("path").alias("doc_id"), "path", "text", "error")
 
 
 def extract_stream(stream: DataFrame, schemas: DataFrame, to: str, checkpoint: str, provider=None) -> StreamingQuery:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from loomspark import queries
 from loomspark.functions import jsonmodel, text
 from loomspark.operators import folding, schema, scoring
+from loomspark.__main__ import main
 from loomspark.plans import completion, engine
+from loomspark.plans.settings import Settings
 from loomspark.sources import files
 from loomspark.streaming import ingest
 
@@ -43,6 +45,11 @@ def test_chunks(spark, n, chunks):
     assert got == ([" ".join(ws[i * 3800 : i * 3800 + 4000]) for i in range(chunks)] if n else [t])
 
 
+def test_words_split_at_any_white_space(spark):
+    t = "".join(f"w{i}{chr(i)}" for i in range(1, 0x3100) if not 0xD800 <= i < 0xE000)
+    assert spark.createDataFrame([(t,)], "t string").select(text.words(F.col("t"))).first()[0] == t.split()
+
+
 @pytest.mark.parametrize("required,found,truthy,want", [(0, 0, 1, 0.7), (1, 0, 1, 0.7999999999999999), (0, 1, 1, 0.85), (1, 1, 1, 0.95), (0, 0, 0, 0.49999999999999994), (1, 0, 0, 0.5999999999999999), (0, 1, 0, 0.6499999999999999), (1, 1, 0, 0.75)])
 def test_field_confidence(spark, required, found, truthy, want):
     got = spark.range(1).select(scoring.field_confidence(F.lit(bool(required)), F.lit(bool(found)), F.lit(bool(truthy)))).first()[0]
@@ -175,3 +182,133 @@ def test_low_fields_keep_the_order_of_the_data(spark):
     replay = _recorded(spark, docs, schemas, lambda u: '{"z": null, "o": {"y": 0, "b": 0}, "a": 0}', strategy="simple")
     r = engine.extract(docs, schemas, "simple", replay).first()
     assert r.low_confidence_fields == ["z", "o.y", "o.b", "a"]
+
+
+def test_repeated_and_null_ids_are_documents(spark):
+    schemas = spark.createDataFrame([("s", '{"type":"object","properties":{"a":{"type":"string"}},"required":["b"]}')], "schema_id string, schema_json string")
+    docs = spark.createDataFrame([(1, "a: one"), (1, "a: two"), (1, "a: two"), (None, "a: three"), (None, "nothing"), (2, None)], "doc_id long, text string")
+    rows = engine.extract(docs, schemas, "simple").collect()
+    want = [("1", '{"a":"one"}'), ("1", '{"a":"two"}'), ("1", '{"a":"two"}'), ("2", ""), ("None", '{"a":"three"}'), ("None", "{}")]
+    assert sorted((str(r.doc_id), r.extracted_data or "") for r in rows) == want
+    assert all(r.chunks_processed <= 1 for r in rows)
+    again = engine.evaluate(docs, schemas, "simple").collect()
+    assert sorted(r.extracted_data or "" for r in again) == sorted(r.extracted_data or "" for r in rows)
+    assert engine.extract(docs.limit(0), schemas).collect() == [] and engine.evaluate(docs, schemas.limit(0)).collect() == []
+
+
+def test_dotted_keys_share_a_path(spark):
+    schemas = spark.createDataFrame([("s", '{"type":"object","properties":{"a":{"type":"object","properties":{"b":{"type":"integer"}}},"a.b":{"type":"integer"}}}')], "schema_id string, schema_json string")
+    docs = spark.createDataFrame([(1, "text"), (2, "other")], "doc_id long, text string")
+    answers = {"text": '{"a":{"b":1},"a.b":0}', "other": '{"a":{"b":0},"a.b":2}'}
+    replay = _recorded(spark, docs, schemas, lambda u: next(a for t, a in answers.items() if f"FROM:\n{t}\n" in u.user_prompt), strategy="simple")
+    rows = {r.doc_id: r for r in engine.extract(docs, schemas, "simple", replay).collect()}
+    assert {k: round(v, 9) for k, v in rows[1].field_confidences.items()} == {"a": 0.7, "a.b": 0.5}  # the last of equal paths counts
+    assert {k: round(v, 9) for k, v in rows[2].field_confidences.items()} == {"a": 0.7, "a.b": 0.7}
+    assert rows[1].low_confidence_fields == ["a.b"] and rows[2].low_confidence_fields == []
+
+
+def test_calls_are_isolated(spark):
+    class _Provider:
+        def __init__(self, broken_close):
+            self.broken_close = broken_close
+
+        def __call__(self, system, user, most):
+            if "fail" in user:
+                raise RuntimeError("no luck")
+            return '{"a":"x"}', most
+
+        def close(self):
+            if self.broken_close:
+                raise RuntimeError("can't close")
+
+    schemas = spark.createDataFrame([("s", '{"type":"object","properties":{"a":{"type":"string"}}}')], "schema_id string, schema_json string")
+    docs = spark.createDataFrame([(i, "fail" if i % 3 == 0 else "fine x") for i in range(9)], "doc_id long, text string")
+    for broken in (False, True):
+        rows = engine.extract(docs, schemas, "simple", completion.Calls(lambda: _Provider(broken))).collect()  # noqa: B023
+        assert all(r.success == (r.doc_id % 3 != 0) and (r.error_message == "no luck") == (r.doc_id % 3 == 0) for r in rows)
+        assert all(r.token_usage == (4000 if r.success else 0) and r.processing_time >= 0 for r in rows)
+
+    def none():
+        raise ValueError("no client")
+
+    rows = engine.extract(docs, schemas, "simple", completion.Calls(none)).collect()
+    assert all(not r.success and r.error_message == "no client" for r in rows)
+    assert completion.api_key({"OPENAI_API_KEY": "", "OPENAI_API_KEY_SECRET": "k"}) == "k" and completion.api_key({}) is None
+    assert engine.health() == {"status": "no_provider"} and engine.health(_Provider(False)) == {"status": "healthy"}
+
+
+def test_many_schemas_for_each_document(spark):
+    schemas = spark.range(2500).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("schema_id"), F.lit('{"type":"object"}').alias("schema_json"))
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    met = engine.pairs(docs, schemas)
+    assert met.count() == 5000 and met.select("doc_id", "schema_id").distinct().count() == 5000 and met.select("row").distinct().count() == 5000
+
+
+@pytest.mark.parametrize("tokens,cost", [(10, 0.0004), (999, 0.0389), (1000, 0.039), (3000, 0.117), (12345, 0.4814)])
+def test_costs(spark, tokens, cost):
+    t = F.lit(tokens)
+    got = spark.range(1).select(scoring.rounded_cost(t), scoring.llm_share(F.lit(1.0), F.lit(4.0)), scoring.llm_share(F.lit(1.0), F.lit(0.0))).first()
+    assert tuple(got) == (cost, 25.0, 0.0)
+
+
+def test_rounding_is_by_exact_value(spark):
+    rows = spark.range(5000).select(scoring.cost(F.col("id")).alias("c"), scoring.rounded_cost(F.col("id")).alias("r")).collect()
+    assert all(x.r == round(x.c, 4) for x in rows)
+
+
+@pytest.mark.parametrize("text_,valid", [('{"a":1}', True), ('{"a":NaN}', True), ('{"a":1,"a":2}', True), ('{"a":1} x', False), ("[1]", False), ("{", False)])
+def test_schema_files(spark, tmp_path, text_, valid):
+    (tmp_path / "s.json").write_text(text_)
+    assert [r.valid for r in files.read_schemas(spark, str(tmp_path)).collect()] == [valid]
+
+
+def test_strict_files_and_large_csv(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("é".encode("latin-1"))
+    (tmp_path / "b.txt").write_text("fine é", encoding="utf-8")
+    got = {r.filename: r for r in files.read_documents(spark, str(tmp_path), strict=True).collect()}
+    assert got["a.txt"].text is None and "utf-8" in got["a.txt"].error and got["b.txt"].text == "fine é" and got["b.txt"].error is None
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv/c.csv").write_text("x,y\n" + "\n".join(f"{i},v{i}" for i in range(12)) + "\n")
+    whole = files.read_documents(spark, str(tmp_path / "csv")).first().text
+    assert files.read_csv_documents(spark, str(tmp_path / "csv")).first().text == whole
+
+
+def test_stream_reads_by_format(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "in/b.pdf").write_bytes(b"%PDF-broken")
+    q = ingest.document_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.path[-5:]: r for r in spark.table("arrived").collect()}
+    assert got["a.csv"].text.startswith("CSV file with 1 rows") and got["b.pdf"].text is None and got["b.pdf"].error
+
+
+def test_settings_and_command_line(spark, tmp_path):
+    spark.conf.set("spark.loomspark.max_text_chars", "123")
+    try:
+        assert Settings.of(spark).max_text_chars == 123 and Settings.of(spark).strategy == "auto"
+    finally:
+        spark.conf.unset("spark.loomspark.max_text_chars")
+    assert main(["sample", str(tmp_path / "sample")]) == 0
+    assert main(["evaluate", str(tmp_path / "sample/content"), str(tmp_path / "sample/schema"), str(tmp_path / "out"), "--strategy", "simple"]) == 0
+    out = [r for r in spark.read.json(str(tmp_path / "out/extracted")).collect() if "Ada" in r.extracted_data]
+    assert out and json.loads(out[0].pretty)["name"] == "Ada Lovelace" and out[0].pretty.startswith('{\n  "name"')
+    assert {r.suffix for r in engine.file_types(spark, False).collect()} == {".txt", ".md", ".json", ".csv", ".bib"}
+    named = spark.createDataFrame([("a/b.txt",), ("c.tar.gz",)], "n string").select(files.output_name(F.col("n"))).collect()
+    assert [r[0] for r in named] == ["b_extracted.json", "c.tar_extracted.json"]
+
+
+def test_sample_facts(spark):
+    """The shapes that the schema analysis was specified on: a depth, objects, properties and score each."""
+    s = {"type": "object", "properties": {"p": {"type": "object", "properties": {"n": {"type": "string"}, "e": {"type": "string"}}}, "w": {"type": "array", "items": {"type": "object", "properties": {"c": {"type": "array", "items": {"type": "string"}}}}}}, "required": ["p"]}
+    r = schema.analyze(spark.createDataFrame([("s", json.dumps(s))], "schema_id string, schema_json string")).first()
+    assert (r.nesting_depth, r.total_objects, r.total_properties) == plain_facts(s) and not r.has_complex_types
+    assert [x.name for x in r.sections] == ["main"]
+
+
+def test_offline_lines_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    prompt = "TEXT TO EXTRACT FROM:\n" + "\n" * 200_000 + "email: x\n\nJSON SCHEMA:\n{\n \"email\":{"
+    assert json.loads(completion.heuristic("", prompt, 1)[0]) == {"email": "x"} and time.perf_counter() - began < 2
