@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, dedup, mixing, quality
-from loomspark.llm.common import written
+from loomspark.sources.tables import written
 
 #: No contract binds this stage: shingles of five words, 80 % in common.
 WIDTH, PERCENT = 5, 80
@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that score 0.5 or more."""
+    """Operator 8: documents that score 0.5 or more; null and empty texts are scored like others."""
     trees = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     others = [c for c in COLUMNS if c not in ("doc_id", "text")]
     scored = quality.score(docs, trees, others).where("predicted = 1")
@@ -33,16 +33,18 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the first row of each component, whatever the rows' ids."""
+    """Operator 2: the first row of each component, whatever the rows' ids. Rows without words are linked with nothing and stay."""
     rows = numbered(docs)
     judged = dedup.near_duplicates(rows.select(F.col("number").alias("doc_id"), "text"), percent=PERCENT, width=WIDTH)
     return rows.join(judged.where("kept").select(F.col("doc_id").alias("number")), "number", "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: each row as often as the mixture takes it, whatever its id."""
-    rows = numbered(docs).withColumnRenamed("doc_id", "id").withColumnRenamed("number", "doc_id")
-    return mixing.take(rows).drop("doc_id").withColumnRenamed("id", "doc_id").select(*COLUMNS)
+    """Operator 3: each row as often as the mixture takes it, whatever its id, shard after shard and shuffled within.
+
+    Null texts and texts without words stay once each; a null source is a source of its own.
+    """
+    return mixing.take(docs.select(*COLUMNS))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

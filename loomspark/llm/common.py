@@ -1,16 +1,13 @@
-"""Helpers shared by the training-data operators: shared-folder tables, size-checked joins,
-and numpy views of Arrow text columns."""
+"""Helpers shared by the training-data operators: size-checked joins and numpy views of Arrow text columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; every use is of narrow rows (under about 100 bytes).
@@ -21,23 +18,6 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write a Parquet table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join a table to a side that is usually small and has one row for each key.
 

@@ -25,7 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import BROADCAST_ROWS, LOWER, hashes, mix, slices, words, written
+from loomspark.llm.common import BROADCAST_ROWS, LOWER, hashes, mix, slices, words
+from loomspark.sources.tables import written
 
 #: Minwise tokens of a signature; independent trees; classes of a node that are compared with all of it; pivots of a large node.
 TOKENS, TREES, FEW, PIVOTS = 64, 12, 256, 4

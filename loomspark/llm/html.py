@@ -31,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import BROADCAST_ROWS, join_small, written
+from loomspark.llm.common import BROADCAST_ROWS, join_small
 from loomspark.llm.urlrules import host
+from loomspark.sources.tables import written
 
 #: Elements whose text is no page text, elements without an end, those that end no block, and page regions that are no article (fixed values of HTML).
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noframes", "xmp"}

@@ -1,13 +1,16 @@
 """Operator 3: mixing sources to target weights, in DataFrame functions only.
 
-Every source gets a target of words and is dealt by a hash into blocks (a power of two, about
-`block_words` words each). A source is passed over as many whole times as fit its target; of one
-more pass it gives the blocks at the head of a permuted order, and of the block at the edge the
-documents at its head. That makes exact block quotas. A splitting tree halves the range of output
-shards again and again and draws for the left half, without replacement, as many blocks as it has
-room for: the count of each source is hypergeometric given those before it, so the counts are
-multivariate hypergeometric. Leaves get runs of the permuted blocks of each source that no other
-leaf gets, and order their documents by a hash.
+Every source gets a target of words and is dealt by a hash into blocks (a power of two). A source is
+passed over as many whole times as fit its target; of one more pass it gives the blocks at the head
+of a permuted order, and of the next blocks the documents that fit what is left. That makes exact
+block quotas. A splitting tree halves the range of output shards again and again and draws for the
+left half, without replacement, as many blocks as it has room for: the count of each source is
+hypergeometric given those before it, so the counts are multivariate hypergeometric. Leaves get
+runs of the permuted blocks of each source that no other leaf gets, and order their documents by a
+hash.
+
+Blocks grow with the mixture so that there are at most about `BLOCKS` of them: what is known of
+blocks stays small (it is one row's array at the root of the tree), and goes to the documents.
 """
 
 from __future__ import annotations
@@ -15,10 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import WORD, join_small, written
+from loomspark.llm.common import WORD, join_small
+from loomspark.sources.tables import written
 
 #: No document is taken more often.
 MOST = 3
+#: Blocks of the whole table, about, at most; words of a block and of a shard, at least; blocks of a shard, at least.
+BLOCKS, BLOCK_WORDS, SHARD_WORDS, SHARD_BLOCKS = 1 << 18, 256, 1 << 22, 16
+#: Words, at least, of the blocks from which the end of a source's target is filled; shards, where there are blocks for them.
+FILL_WORDS, SHARDS = 1 << 16, 8
 
 
 def _uniform(*of: Column) -> Column:
@@ -26,9 +34,10 @@ def _uniform(*of: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*of), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def sizes(documents: DataFrame) -> DataFrame:
-    """doc_id, source and size (words of the whole text; null: 0)."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """row (a number of its own), doc_id, source, size (words of the whole text; null: 0), content (its hash), and columns to keep, named keep_."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("content"), *(F.col(c).alias("keep_" + c) for c in keep or []))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -55,49 +64,50 @@ def targets(sized: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", "n_docs", "ord", "weight", F.when(F.col("stops"), most.cast("double")).otherwise(F.least(most.cast("double"), F.col("weight") * F.col("level"))).alias("target"))
 
 
-def plan(documents: DataFrame, seed: int = 0, block_words: int = 1 << 16) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents with their block and copies; the sources with their quotas; the blocks taken.
+def plan(documents: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents with their block and copies; the sources with their quotas.
 
-    Documents: doc_id, source, size, source_size, target, block, copies, taken. Sources: source,
-    ord, n_blocks, passes (whole ones), head (further blocks, the one at the edge included).
+    Documents: row, doc_id, source, size, source_size, target, block, copies, taken. Sources: source,
+    ord, n_blocks, passes (whole ones), head (further blocks, those at the edge included).
     """
-    sized = written(sizes(documents).withColumn("row", F.monotonically_increasing_id()))
-    by_source = targets(sized)
-    n_sources = by_source.count()
+    sized = written(sizes(documents, keep))
+    by_source = written(targets(sized).coalesce(1))
+    n_sources, total = by_source.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    block_words = max(block_words, -(-total // BLOCKS))
+    fill = max(FILL_WORDS, SHARD_BLOCKS * block_words)
     passes = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
     # a power of two, so that an odd multiplier permutes the blocks
     n_blocks = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("source_size").cast("double") / F.lit(float(block_words)) + F.lit(1e-9))))).cast("long")
-    by_source = by_source.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("n_blocks", n_blocks)
-    by_source = written(by_source.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))).coalesce(1))
-    keyed = sized.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))).drop("source")
-    placed = join_small(keyed, by_source, ["key"], rows=n_sources).withColumn("order", F.xxhash64(F.lit(seed), "key", "doc_id", "size")).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "key"), F.col("n_blocks")))
-    # the head of the further pass: blocks while the words before them are under the rest
+    key = lambda: F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
+    by_source = by_source.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("n_blocks", n_blocks).withColumn("key", key())
+    keyed = sized.withColumn("key", key()).drop("source")
+    placed = join_small(keyed, by_source, ["key"], rows=n_sources).withColumn("order", F.xxhash64(F.lit(seed), "key", "content", "size")).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "content", "key"), F.col("n_blocks")))
     odd = F.xxhash64(F.lit(seed + 2), "key").bitwiseOR(F.lit(1))
-    multiplied = F.pmod(F.pmod(odd, F.col("n_blocks")) * F.col("block") + F.pmod(F.xxhash64(F.lit(seed + 3), "key"), F.col("n_blocks")), F.col("n_blocks"))
-    blocks = placed.groupBy("key", "source", "ord", "n_blocks", "rest", "block").agg(F.sum("size").alias("block_words")).withColumn("place", multiplied)
-    upto = F.sum("block_words").over(Window.partitionBy("key").orderBy("place"))
-    blocks = blocks.withColumn("words_before", upto - F.col("block_words")).withColumn("further", F.when(F.col("words_before") + F.col("block_words") <= F.col("rest"), F.lit(2)).when(F.col("words_before") < F.col("rest"), F.lit(1)).otherwise(0))
-    blocks = written(blocks.where("further > 0").select("key", "block", "place", "words_before", "further"))
-    at = lambda n, c: F.max(F.when(F.col("further") == n, F.col(c)))
-    edge = blocks.groupBy("key").agg(at(2, "place").alias("full_place"), at(1, "block").alias("edge_block"), at(1, "words_before").alias("words_before"))
-    placed = join_small(placed, edge, ["key"], "left", rows=n_sources).withColumn("place", multiplied)
-    # In the block at the edge documents are taken in order while they fit, then of the others
-    # those that fit what is left, and so on; what is missing in the end is less than a document.
-    at_edge = F.col("block").eqNullSafe(F.col("edge_block"))
-    block = Window.partitionBy("key", "edge_block")
-    order = block.orderBy("order", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shared = ["row", "doc_id", "key", "source", "ord", "size", "source_size", "target", "passes", "order", "block", "place", "n_blocks"]
+    placed = placed.withColumn("place", F.pmod(F.pmod(odd, F.col("n_blocks")) * F.col("block") + F.pmod(F.xxhash64(F.lit(seed + 3), "key"), F.col("n_blocks")), F.col("n_blocks")))
+    # the head of the further pass: whole blocks while they are well within the rest, then blocks that are looked through
+    blocks = placed.groupBy("key", "rest", "place").agg(F.sum("size").alias("block_words"))
+    blocks = blocks.withColumn("upto", F.sum("block_words").over(Window.partitionBy("key").orderBy("place")))
+    whole, looked = F.col("upto") + fill <= F.col("rest"), (F.col("upto") - F.col("block_words") < F.col("rest") + fill) & (F.col("rest") > 0)
+    edge = blocks.where(whole | looked).groupBy("key").agg(F.max(F.when(whole, F.col("place"))).alias("full_place"), F.max("place").alias("last_place"), F.max(F.when(whole, F.col("upto"))).alias("words_before"))
+    edge = written(edge.select("key", F.coalesce("full_place", F.lit(-1)).alias("full_place"), F.when(F.col("last_place") > F.coalesce("full_place", F.lit(-1)), F.col("last_place")).alias("last_place"), F.coalesce("words_before", F.lit(0)).alias("words_before")))
+    placed = join_small(placed, edge, ["key"], "left", rows=n_sources)
+    # In the blocks at the edge three of four documents are taken in order while they fit, then of all
+    # others that fit what is left the largest, and so on, so that small ones come last and fill it.
+    at_edge = F.coalesce((F.col("place") > F.col("full_place")) & (F.col("place") <= F.col("last_place")) & (F.col("size") > 0), F.lit(False))
+    source = Window.partitionBy("key")
+    order = lambda *by: source.orderBy(*by, "place", "order", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_edge = placed.where(at_edge).withColumn("more", F.lit(0)).withColumn("gap", F.col("rest") - F.col("words_before"))
-    for _ in range(4):
-        fits = (F.col("more") == 0) & (F.col("size") <= F.col("gap"))
-        in_edge = in_edge.withColumn("until", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order)).withColumn("now", (fits & (F.col("until") <= F.col("gap"))).cast("int"))
-        in_edge = in_edge.withColumn("gap", F.col("gap") - F.sum(F.col("now") * F.col("size")).over(block)).withColumn("more", F.col("more") + F.col("now"))
+    for by in ((), *[(F.desc("size"),)] * 4):
+        fits = (F.col("more") == 0) & (F.col("size") <= F.col("gap")) & (F.lit(bool(by)) | (F.pmod("order", F.lit(4)) > 0))
+        in_edge = in_edge.withColumn("until", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order(*by))).withColumn("now", (fits & (F.col("until") <= F.col("gap"))).cast("int"))
+        in_edge = in_edge.withColumn("gap", F.col("gap") - F.sum(F.col("now") * F.col("size")).over(source)).withColumn("more", F.col("more") + F.col("now"))
     others = placed.where(~at_edge).withColumn("more", F.coalesce((F.col("place") <= F.col("full_place")).cast("int"), F.lit(0)))
-    docs = others.select(*shared, "more").unionByName(in_edge.select(*shared, "more"))
-    docs = docs.withColumn("copies", F.col("passes") + F.when(F.col("size") > 0, F.col("more")).otherwise(F.when(F.col("passes") == 0, 1).otherwise(0))).withColumn("taken", F.col("copies") * F.col("size"))
-    head = blocks.groupBy("key").agg((F.max("place") + 1).alias("head"))
-    quotas = by_source.join(head, "key", "left").select("key", "source", "ord", "n_blocks", "passes", F.coalesce("head", F.lit(0)).alias("head"))
-    return docs, quotas, blocks
+    shared = ["row", "doc_id", "source", "ord", "size", "source_size", "target", "passes", "order", "place", "n_blocks", *("keep_" + c for c in keep or []), "more"]
+    docs = others.select(*shared).unionByName(in_edge.select(*shared))
+    docs = docs.withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + F.col("more")).otherwise(1)).withColumn("taken", F.col("copies") * F.col("size"))
+    head = F.greatest(F.coalesce("last_place", F.lit(-1)), F.coalesce("full_place", F.lit(-1))) + 1
+    quotas = by_source.join(edge, "key", "left").select("key", "source", "ord", "n_blocks", "passes", head.alias("head"))
+    return docs, quotas
 
 
 def shard_counts(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
@@ -134,51 +144,52 @@ def shard_counts(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return node.select(F.col("lo").alias("shard"), F.explode(F.arrays_zip("ords", "counts")).alias("c")).select("shard", F.col("c.ords").alias("ord"), F.col("c.counts").alias("n"))
 
 
-def mix(documents: DataFrame, seed: int = 0, shard_words: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
-    """The documents with what the mixture takes of them, and the mixture itself.
+def mix(documents: DataFrame, seed: int = 0, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The documents with what the mixture takes of them, the mixture itself, and its number of shards.
 
     Documents, one row for each of the table's: row (a number of its own), doc_id, source (null
     too), size, source_size, target, copies, taken (copies times size). Mixture, a row for each
     time a document is taken: row, doc_id, copy (from 0), shard and position (its order within
-    the shard).
+    the shard), and columns of the table to keep, named keep_.
 
     Null texts have size 0; a null source is a source; rows with a null doc_id and repeated rows
     are documents like others. Documents of size 0 are kept once and take 0 words; a source
     without words has target 0. An empty table gives empty tables. Other columns are ignored.
     Each source's words come within a document of its target, never over.
     """
-    docs, quotas, _ = plan(documents, seed)
-    docs = written(docs)
-    words = docs.agg(F.sum("taken")).first()[0] or 0
-    shards = max(1, -(-words // shard_words))
+    docs, quotas = plan(documents, seed, keep=keep)
+    docs = docs if keep else written(docs)
+    quotas = written(quotas)
+    about = quotas.agg(F.coalesce(F.sum(F.col("passes") * F.col("n_blocks") + F.col("head")), F.lit(0)).alias("blocks")).first()
+    words = docs.agg(F.coalesce(F.sum("taken"), F.lit(0))).first()[0]
+    shards = max(1, min(about["blocks"] // SHARD_BLOCKS, max(SHARDS, -(-words // SHARD_WORDS))))
     leaves = shard_counts(quotas, shards, seed)
     run = Window.partitionBy("ord").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = leaves.withColumn("start", F.coalesce(F.sum("n").over(run), F.lit(0))).where("n > 0")
     drawn = runs.select("shard", "ord", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at"))
     # whole passes stand one after another in a source's permuted blocks, then the further pass
     each = docs.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("at", F.col("copy") * F.col("n_blocks") + F.col("place"))
-    out = each.join(drawn, ["ord", "at"], "left")
-    anywhere = F.pmod(F.xxhash64(F.lit(seed + 5), "doc_id"), F.lit(shards))  # documents without words, past the last block drawn
-    return docs, out.select("row", "doc_id", "copy", F.coalesce("shard", anywhere).alias("shard"), F.xxhash64(F.lit(seed + 4), "doc_id", "copy", "order").alias("position"))
+    # what no leaf draws is in no shard: a wrong tree shows in the counts
+    out = join_small(each.where("size > 0"), drawn, ["ord", "at"], rows=about["blocks"])
+    # documents without words may stand past the last block drawn
+    none = each.where("size = 0").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 5), "order", "row"), F.lit(shards)))
+    columns = ["row", "doc_id", "copy", F.col("shard"), F.xxhash64(F.lit(seed + 4), "copy", "order").alias("position"), *("keep_" + c for c in keep or [])]
+    return docs, out.select(*columns).unionByName(none.select(*columns)), shards
 
 
 def taken(documents: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and shards (number of output shards a document went to), counted in the mixture."""
-    docs, mixture = mix(documents, seed)
+    docs, mixture, _ = mix(documents, seed)
     counted = mixture.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("shard").alias("shards"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     return docs.join(counted, "row", "left").select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), F.coalesce("shards", F.lit(0)).alias("shards"))
 
 
 def take(documents: DataFrame, seed: int = 0) -> DataFrame:
-    """The documents, each as often as the mixture takes it, with all their columns.
+    """The documents, each row as often as the mixture takes it, with all their columns: shard after shard, shuffled within.
 
-    Rows with equal doc_id and source share one number of copies (the largest).
+    Texts are shuffled once, by shard.
     """
-    key = lambda: F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
-    docs, mixture = mix(documents, seed)
-    counted = mixture.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    copies = docs.join(counted, "row").groupBy(F.col("doc_id").alias("c_id"), F.col("key").alias("c_key")).agg(F.max("n").cast("int").alias("c_copies"))
-    keyed = documents.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", key())
-    joined = keyed.join(copies, keyed["_id"].eqNullSafe(copies["c_id"]) & (keyed["_key"] == copies["c_key"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("c_copies")))).select(*[documents[c] for c in documents.columns])
+    _, mixture, shards = mix(documents, seed, keep=documents.columns)
+    ordered = mixture.repartition(shards, "shard").sortWithinPartitions("shard", "position", "row")
+    return ordered.select(*(F.col("keep_" + c).alias(c) for c in documents.columns))

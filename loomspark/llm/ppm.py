@@ -32,8 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import LOWER, hashes, mix, once, slices, utf8, words, written
+from loomspark.llm.common import LOWER, hashes, mix, once, slices, utf8, words
 from loomspark.llm.quality import remainder
+from loomspark.sources.tables import written
 
 #: Bytes that a modelled text can hold: all but four kinds of white space.
 ALPHABET = 252

@@ -200,6 +200,48 @@ def test_mixing(spark):
     assert {r.doc_id: r["count"] for r in mixed} == {r.doc_id: r.copies for r in rows if r.copies}
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_mixing_draws_each_copy_once(spark, scale):
+    documents = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    docs_, mixture, shards = mixing.mix(documents)
+    assert shards > 1
+    rows = mixture.collect()
+    want = collections.Counter({r.row: r.copies for r in docs_.collect() if r.copies})
+    assert collections.Counter(r.row for r in rows) == want and len({(r.row, r.copy) for r in rows}) == len(rows)
+    assert len({r.shard for r in rows}) == shards
+    quotas = mixing.plan(documents)[1].collect()
+    assert sum(r.n_blocks > 1 for r in quotas) > 1
+
+
+def test_mixing_of_repeated_and_null_ids(spark):
+    rows = [(None, f"w{k} " * 20, s) for k in range(30) for s in ("s", "t", "u")] + [(7, f"w{k} " * 20, "u") for k in range(30)]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCS)
+    # weights 1, 2, 3 of 2,400 words
+    assert {(r.target, r.source_size) for r in mixing.taken(df).collect()} == {(400.0, 600), (800.0, 600), (1200.0, 1200)}
+    assert sum(r.taken for r in mixing.taken(df).collect()) == 2400
+    assert collections.Counter(r.source for r in mixing.take(df).collect()) == {"s": 20, "t": 40, "u": 60}
+
+
+def test_mixing_fills_up_past_a_long_document(spark):
+    texts = ["w " * 3000] * 6 + ["w " * 10] * 900 + ["v " * 10] * 300
+    df = docs(spark, *texts, sources=["a"] * 6 + ["b"] * 900 + ["a"] * 300)
+    by = collections.Counter()
+    target = {}
+    for r in mixing.taken(df).collect():
+        s = "b" if 6 <= r.doc_id < 906 else "a"
+        by[s] += r.taken
+        target[s] = r.target
+    assert all(0 <= target[s] - by[s] <= 10 for s in target)
+
+
+def test_take_shuffles_shard_by_shard(spark):
+    texts = [f"{s}{i} " * 20 for s in "ab" for i in range(400)]
+    df = docs(spark, *texts, sources=["a"] * 400 + ["b"] * 400)
+    got = [r.source for r in mixing.take(df).collect()]
+    halves = [got[: len(got) // 2].count("b") / (len(got) // 2), got[len(got) // 2 :].count("b") / (len(got) // 2)]
+    assert min(halves) > 0.5 and max(halves) < 0.85  # sources mixed everywhere
+
+
 def test_splitting_tree_keeps_the_quotas(spark):
     quotas = spark.createDataFrame([("a", 0, 8, 2, 3), ("b", 1, 64, 0, 40), ("c", 2, 1, 0, 0)], "key string, ord int, n_blocks long, passes int, head long")
     rows = mixing.shard_counts(quotas, 5, seed=1).collect()
