@@ -30,7 +30,7 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner
     salts = 16
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in on] or [F.lit(0)]), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from loomspark.sources.tables import written
 #: No document is taken more often.
 MOST = 3
 #: Blocks of the whole table, about, at most; words of a block and of a shard, at least; blocks of a shard, at least.
-BLOCKS, BLOCK_WORDS, SHARD_WORDS, SHARD_BLOCKS = 1 << 18, 256, 1 << 22, 16
+BLOCKS, BLOCK_WORDS, SHARD_WORDS, SHARD_BLOCKS = 1 << 16, 256, 1 << 22, 16
 #: Words, at least, of the blocks from which the end of a source's target is filled; shards, where there are blocks for them.
 FILL_WORDS, SHARDS = 1 << 16, 8
 
@@ -85,8 +85,11 @@ def plan(documents: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, ke
     odd = F.xxhash64(F.lit(seed + 2), "key").bitwiseOR(F.lit(1))
     placed = placed.withColumn("place", F.pmod(F.pmod(odd, F.col("n_blocks")) * F.col("block") + F.pmod(F.xxhash64(F.lit(seed + 3), "key"), F.col("n_blocks")), F.col("n_blocks")))
     # the head of the further pass: whole blocks while they are well within the rest, then blocks that are looked through
-    blocks = placed.groupBy("key", "rest", "place").agg(F.sum("size").alias("block_words"))
-    blocks = blocks.withColumn("upto", F.sum("block_words").over(Window.partitionBy("key").orderBy("place")))
+    blocks = written(placed.groupBy("key", "rest", "place").agg(F.sum("size").alias("block_words")).withColumn("lot", F.shiftright("place", 8)))
+    lots = blocks.groupBy("key", "lot").agg(F.sum("block_words").alias("lot_words"))
+    lots = lots.select("key", "lot", (F.sum("lot_words").over(Window.partitionBy("key").orderBy("lot")) - F.col("lot_words")).alias("before"))
+    within = F.sum("block_words").over(Window.partitionBy("key", "lot").orderBy("place"))
+    blocks = join_small(blocks.withColumn("within", within), lots, ["key", "lot"], rows=n_sources + 2 * BLOCKS // 256).withColumn("upto", F.col("before") + F.col("within"))
     whole, looked = F.col("upto") + fill <= F.col("rest"), (F.col("upto") - F.col("block_words") < F.col("rest") + fill) & (F.col("rest") > 0)
     edge = blocks.where(whole | looked).groupBy("key").agg(F.max(F.when(whole, F.col("place"))).alias("full_place"), F.max("place").alias("last_place"), F.max(F.when(whole, F.col("upto"))).alias("words_before"))
     edge = written(edge.select("key", F.coalesce("full_place", F.lit(-1)).alias("full_place"), F.when(F.col("last_place") > F.coalesce("full_place", F.lit(-1)), F.col("last_place")).alias("last_place"), F.coalesce("words_before", F.lit(0)).alias("words_before")))
@@ -144,8 +147,8 @@ def shard_counts(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return node.select(F.col("lo").alias("shard"), F.explode(F.arrays_zip("ords", "counts")).alias("c")).select("shard", F.col("c.ords").alias("ord"), F.col("c.counts").alias("n"))
 
 
-def mix(documents: DataFrame, seed: int = 0, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """The documents with what the mixture takes of them, the mixture itself, and its number of shards.
+def mix(documents: DataFrame, seed: int = 0, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, int, int]:
+    """The documents with what the mixture takes of them, the mixture itself, its number of shards and its words.
 
     Documents, one row for each of the table's: row (a number of its own), doc_id, source (null
     too), size, source_size, target, copies, taken (copies times size). Mixture, a row for each
@@ -174,12 +177,12 @@ def mix(documents: DataFrame, seed: int = 0, keep: list[str] | None = None) -> t
     # documents without words may stand past the last block drawn
     none = each.where("size = 0").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 5), "order", "row"), F.lit(shards)))
     columns = ["row", "doc_id", "copy", F.col("shard"), F.xxhash64(F.lit(seed + 4), "copy", "order").alias("position"), *("keep_" + c for c in keep or [])]
-    return docs, out.select(*columns).unionByName(none.select(*columns)), shards
+    return docs, out.select(*columns).unionByName(none.select(*columns)), shards, words
 
 
 def taken(documents: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and shards (number of output shards a document went to), counted in the mixture."""
-    docs, mixture, _ = mix(documents, seed)
+    docs, mixture, *_ = mix(documents, seed)
     counted = mixture.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("shard").alias("shards"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     return docs.join(counted, "row", "left").select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), F.coalesce("shards", F.lit(0)).alias("shards"))
@@ -188,8 +191,11 @@ def taken(documents: DataFrame, seed: int = 0) -> DataFrame:
 def take(documents: DataFrame, seed: int = 0) -> DataFrame:
     """The documents, each row as often as the mixture takes it, with all their columns: shard after shard, shuffled within.
 
-    Texts are shuffled once, by shard.
+    Texts are shuffled once, by shard; shards of more than about SHARD_WORDS words are cut into
+    parts along their order, so that no task gets more.
     """
-    _, mixture, shards = mix(documents, seed, keep=documents.columns)
-    ordered = mixture.repartition(shards, "shard").sortWithinPartitions("shard", "position", "row")
+    _, mixture, shards, words = mix(documents, seed, keep=documents.columns)
+    parts = max(1, -(-words // (shards * SHARD_WORDS)))
+    part = F.floor(F.shiftrightunsigned(F.col("position"), 11).cast("double") / F.lit(float(1 << 53)) * parts)
+    ordered = mixture.withColumn("part", part).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", F.shiftrightunsigned(F.col("position"), 11), "row")
     return ordered.select(*(F.col("keep_" + c).alias(c) for c in documents.columns))

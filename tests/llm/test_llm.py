@@ -203,7 +203,7 @@ def test_mixing(spark):
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
 def test_mixing_draws_each_copy_once(spark, scale):
     documents = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
-    docs_, mixture, shards = mixing.mix(documents)
+    docs_, mixture, shards, _ = mixing.mix(documents)
     assert shards > 1
     rows = mixture.collect()
     want = collections.Counter({r.row: r.copies for r in docs_.collect() if r.copies})
