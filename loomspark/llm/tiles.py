@@ -7,18 +7,17 @@ each query; lists are merged by a tree, `FAN` shards at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.sources.tables import written
 
-#: Vectors in a shard, about; queries in a block, about; shards whose lists are merged at once.
-SHARD, BLOCK, FAN = 16_384, 1_024, 16
+#: Vectors in a shard, about; queries in a block, about (every vector is copied for each block, every query for each shard); shards whose lists are merged at once; queries of a tile.
+SHARD, BLOCK, FAN, TILE = 32_768, 32_768, 16, 512
 
 
 def clean(embeddings: DataFrame) -> DataFrame:
@@ -28,34 +27,45 @@ def clean(embeddings: DataFrame) -> DataFrame:
     return embeddings.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def matrix(rows: list) -> np.ndarray:
-    """Vectors as rows of one matrix; shorter ones count as filled with zeros."""
-    rows = [np.asarray(x, np.float64) for x in rows]
-    out = np.zeros((len(rows), max(map(len, rows), default=0)))
-    for r, x in zip(out, rows, strict=True):
-        r[: len(x)] = x
+def matrix(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """Vectors as rows of a matrix for each column, all of one width; shorter ones count as filled with zeros."""
+    lists = [c.combine_chunks() for c in columns]
+    sizes = [np.diff(c.offsets.to_numpy()) for c in lists]
+    width = max((int(n.max()) for n in sizes if len(n)), default=0)
+    out = []
+    for c, n in zip(lists, sizes, strict=True):
+        flat = c.flatten().to_numpy(zero_copy_only=False)
+        if (n == width).all():
+            out.append(flat.reshape(len(n), width).astype(np.float64, copy=False))
+        else:
+            x = np.zeros((len(n), width))
+            x[np.arange(width)[None, :] < n[:, None]] = flat
+            out.append(x)
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, task: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], score: str, k: int, shard_rows: int = SHARD, block_rows: int = BLOCK, order: list[Column] | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, task: Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], score: str, k: int, shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score: the k best of all shards, as found by `task` in each.
 
-    task(queries, shard) gets two frames with the columns of the inputs and returns query_id,
-    vec_id and score of at most a bounded number of rows for each query.
+    vectors is a written table; its rows are dealt by their places, so that no id or vector draws
+    rows together. task(queries, shard) gets two tables with the columns of the inputs and returns
+    query_id, vec_id and score of at most a bounded number of rows for each query.
     """
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
     # every block meets every shard: the block is one key, the shard another
-    left = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    right = vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = task(a, b) if len(a) and len(b) else None
-        if out is None:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "shard": []}).astype("int64")
-        return out.assign(shard=key[1])
-
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(run, f"query_id long, vec_id long, score {score}, shard long")
+    numbers = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    left = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks))).withColumn("shard", numbers(shards))
+    right = vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(2), F.monotonically_increasing_id()), F.lit(shards))).withColumn("block", numbers(blocks))
+    layout = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64() if score == "long" else pa.float64()), ("shard", pa.int64())])
+
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            return layout.empty_table()
+        q, v, s = task(a, b)
+        return pa.table([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, layout.field("score").type), pa.array(np.full(len(q), key[1].as_py()), pa.int64())], schema=layout)
+
+    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(run, f"query_id long, vec_id long, score {score}, shard long")
     best = lambda *by: Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id")
     while shards > FAN:
         found = found.withColumn("shard", F.floor(F.col("shard") / FAN)).withColumn("rank", F.row_number().over(best("shard"))).where(F.col("rank") <= k).drop("rank")
@@ -63,11 +73,11 @@ def search(vectors: DataFrame, queries: DataFrame, task: Callable[[pd.DataFrame,
     return found.withColumn("rank", F.row_number().over(best())).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _head(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _head(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of each row's k largest, ties to smaller ids; columns come in order of id. own: places that don't count."""
     q, c = scores.shape
     if c > k:
-        held = scores if scores.dtype == object else np.where(own, np.iinfo(np.int64).min if scores.dtype.kind == "i" else -np.inf, scores)
+        held = np.where(own, np.iinfo(np.int64).min, scores)
         edge = np.partition(held, c - k, axis=1)[:, c - k]
         over = ~own & (scores > edge[:, None])
         level = ~own & (scores == edge[:, None])
@@ -94,25 +104,32 @@ def exact_top_k(embeddings: DataFrame, is_query: Column, k: int = 10, scale: flo
     whole = written(whole)
     asked = written(whole.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
 
-    def task(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("vec_id", kind="stable")
-        both = matrix([*a["v"], *b["v"]])
-        x, y = both[: len(a)], both[len(a) :]
-        bound = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(1, both.shape[1])
-        if bound < 2**53:
-            scores = (x @ y.T).astype(np.int64)
-        elif bound < 2**63 and np.abs(both).max(initial=0) < 2**63:
-            scores = x.astype(np.int64) @ y.astype(np.int64).T
-        else:
-            scores = np.array([[int(v) for v in r] for r in x], object).reshape(x.shape) @ np.array([[int(v) for v in r] for r in y], object).reshape(y.shape).T
-            scores = np.clip(scores, 1 - 2**63, 2**63 - 1).astype(np.int64)
-        own = a["vec_id"].to_numpy()[:, None] == b["vec_id"].to_numpy()[None, :]
-        i, j = _head(scores, b["vec_id"].to_numpy(), own, k)
-        return pd.DataFrame({"query_id": a["vec_id"].to_numpy()[i], "vec_id": b["vec_id"].to_numpy()[j], "score": scores[i, j]})
+    def task(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        asked, ids = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        x, y = matrix(a["v"], b["v"])
+        ids, y = ids[order], y[order]
+        out = [_tile(asked[i : i + TILE], x[i : i + TILE], ids, y, k) for i in range(0, len(x), TILE)]
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     return search(whole, asked, task, "long", k, shard_rows, block_rows)
 
 
+def _tile(asked: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id and score of the k best of some queries among vectors in order of id."""
+    most_x, most_y = float(np.abs(x).max(initial=0)), float(np.abs(y).max(initial=0))
+    bound = most_x * most_y * max(1, x.shape[1])
+    if bound < 2**53:
+        scores = (x @ y.T).astype(np.int64)
+    elif bound < 2**63 and max(most_x, most_y) < 2**63:
+        scores = x.astype(np.int64) @ y.astype(np.int64).T
+    else:
+        scores = np.array([[int(v) for v in r] for r in x], object).reshape(x.shape) @ np.array([[int(v) for v in r] for r in y], object).reshape(y.shape).T
+        scores = np.clip(scores, 1 - 2**63, 2**63 - 1).astype(np.int64)
+    i, j = _head(scores, asked[:, None] == ids[None, :], k)
+    return asked[i], ids[j], scores[i, j]
+
+
 class Codes:
     """Learned rotated binary codes: principal axes, then rotations that bring the signs closest (several, for longer codes)."""
 
@@ -138,41 +155,37 @@ class Codes:
 
 
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+#: All substrings by their number of ones, and how many have at most so many.
+_MASKS = np.argsort(_ONES, kind="stable").astype(np.uint16)
+_UPTO = np.cumsum(np.bincount(_ONES))
 
 
 class Index:
-    """A shard's substring tables: for each substring its values in order, with the rows of each."""
+    """A shard's substring tables: for each substring the rows in order of its value, and where each value begins."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.tables = []
-        for s in codes.T:
-            order = np.argsort(s, kind="stable")
-            values, first = np.unique(s[order], return_index=True)
-            self.tables.append((order, values, np.append(first, len(s))))
+        self.tables = [(np.argsort(s, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(s, minlength=1 << 16))])) for s in codes.T]
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows within a Hamming radius of a code.
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows in the buckets that may hold codes within a Hamming radius, in order.
 
         By the pigeonhole principle such a row is within r div m of the code in one of the first
-        r mod m + 1 substrings, or within one less in one of the others (m in all); those buckets
-        are probed, and their rows' whole codes compared.
+        r mod m + 1 substrings, or within one less in one of the others (m in all).
         """
-        near = np.zeros(len(self.codes), bool)
-        m = len(self.tables)
-        for s, (order, values, first) in enumerate(self.tables):
-            r = radius // m - (s > radius % m)
-            if r < 0:
-                continue
-            hit = np.flatnonzero(_ONES[values ^ code[s]] <= r)
-            for a, b in zip(first[hit], first[hit + 1], strict=True) if len(hit) < 64 else ():
-                near[order[a:b]] = True
-            if len(hit) >= 64:
-                inside = np.zeros(len(order) + 1, np.int8)
-                np.add.at(inside, first[hit], 1)
-                np.add.at(inside, first[hit + 1], -1)
-                near[order[np.cumsum(inside[:-1]) > 0]] = True
-        rows = np.flatnonzero(near)
+        near, m = np.zeros(len(self.codes), bool), len(self.tables)
+        for s, (order, first) in enumerate(self.tables):
+            r = min(radius // m - (s > radius % m), 16)
+            if r >= 0:
+                buckets = (_MASKS[: _UPTO[r]] ^ code[s]).astype(np.int64)
+                a, n = first[buckets], first[buckets + 1] - first[buckets]
+                a, n = a[n > 0], n[n > 0]
+                near[order[np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)]] = True
+        return np.flatnonzero(near)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """All rows within a Hamming radius of a code: those probed whose whole codes are."""
+        rows = self.probed(code, radius)
         return rows[_ONES[self.codes[rows] ^ code].sum(1, dtype=np.int32) <= radius]
 
 
@@ -181,15 +194,22 @@ def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would overflow or vanish brought to about 1."""
+    most = np.abs(x).max(1, keepdims=True)
+    odd = (most > 1e100) | (most < 1e-100)
+    return x / np.where(odd, most, 1.0) if odd.any() else x
+
+
 def fit(vectors: DataFrame, k: int, sample_rows: int, recall: float) -> tuple[Codes, int] | None:
     """Codes and the Hamming radius, from at most `sample_rows` vectors.
 
-    The radius holds the share `recall` of the k nearest in the sample. Nearest neighbours among
-    all rows are nearer than those in a sample, so it holds at least that share of them, about.
+    The k nearest of all rows are as near as that part of k which falls to the sample (one at
+    least); the radius holds the share `recall` of those.
     """
     n = vectors.count()
-    rows = vectors.where(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 20)) < int(min(1.0, 1.2 * sample_rows / max(n, 1)) * (1 << 20))).limit(sample_rows).select("v").toPandas()["v"] if n else []
-    x = matrix(list(rows))
+    rows = vectors.where(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 20)) < int(min(1.0, 1.2 * sample_rows / max(n, 1)) * (1 << 20))).limit(sample_rows).select("v").toArrow()["v"] if n else None
+    x = matrix(rows)[0] if rows is not None and len(rows) else np.zeros((0, 0))
     x = x[(np.abs(x) > 0).any(1)] if x.size else x
     if len(x) < 2:
         return None
@@ -198,13 +218,13 @@ def fit(vectors: DataFrame, k: int, sample_rows: int, recall: float) -> tuple[Co
     asked = np.arange(0, len(x), max(1, len(x) // 500))
     cos = unit[asked] @ unit.T
     cos[np.arange(len(asked)), asked] = -2
-    kk = min(k, len(x) - 1)
+    kk = min(max(1, -(-k * len(x) // n)), len(x) - 1)
     top = np.argpartition(-cos, kk - 1, axis=1)[:, :kk]
     far = _ONES[c[asked][:, None, :] ^ c[top]].sum(2, dtype=np.int32)
     return codes, int(np.quantile(far, recall))
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, sample_rows: int = 8_192, recall: float = 0.98, shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, sample_rows: int = 8_192, recall: float = 0.96, shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
     """Operator 5: approximate nearest neighbours by multi-index hashing, reranked by cosine.
 
     Codes and the radius are learned on a sample of at most `sample_rows`; every row is indexed.
@@ -215,41 +235,44 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, sample_rows: in
 
     Vectors that are null, zero or hold null or non-finite components and rows without a vec_id
     take no part; shorter vectors count as filled with zeros; a query that stands in several rows
-    asks once, with the first of its vectors in order. Other columns are ignored. Returns
-    query_id, rank (from 1), vec_id, score.
+    asks once, with the first of its vectors in order; repeated rows count once. Other columns are
+    ignored; an empty table gives no rows. Returns query_id, rank (from 1), vec_id, score.
     """
     rows = clean(embeddings).where(F.exists("v", lambda x: x != 0)).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    # copies: their smallest ids by rank within the group, dealt by a salt first so that no task gets them all
-    by_salt = Window.partitionBy("v", "salt").orderBy("vec_id")
-    headed = rows.distinct().withColumn("salt", F.pmod(F.xxhash64(F.lit(4), "vec_id"), F.lit(64))).withColumn("r", F.row_number().over(by_salt)).where(F.col("r") <= k + 1)
-    classes = written(headed.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids")).withColumn("vec_id", F.col("ids")[0]))
+    # copies are told by two hashes of the vector, so that the vectors are shuffled once
+    rows = rows.withColumns({"one": F.xxhash64("v"), "two": F.xxhash64(F.lit(7), "v")})
+    copies = ["one", "two"]
+    # their smallest ids by rank within the group, dealt by a salt first so that no task gets them all
+    by_salt = Window.partitionBy(*copies, "salt").orderBy("vec_id")
+    ids = rows.select(*copies, "vec_id").distinct().withColumn("salt", F.pmod(F.xxhash64(F.lit(4), "vec_id"), F.lit(64)))
+    ids = ids.withColumn("r", F.row_number().over(by_salt)).where(F.col("r") <= k + 1).groupBy(*copies).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
+    classes = written(rows.groupBy(*copies).agg(F.first("v").alias("v")).join(ids, copies).select("v", "ids", F.col("ids")[0].alias("vec_id")))
     asked = written(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
     fitted = fit(classes, k, sample_rows, recall)
 
-    def task(a: pd.DataFrame, b: pd.DataFrame, probe: bool = True) -> pd.DataFrame:
-        both = matrix([*a["v"], *b["v"]])
-        most = np.abs(both).max(1, keepdims=True)
-        both /= np.where((most > 1e100) | (most < 1e-100), most, 1.0)  # else squares could overflow or vanish
-        x, y = both[: len(a)], both[len(a) :]
-        probe = probe and fitted is not None and fitted[0].rotation.shape[0] == both.shape[1]
+    def task(a: pa.Table, b: pa.Table, probe: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y = (_scaled(z) for z in matrix(a["v"], b["v"]))
+        probe = probe and fitted is not None and fitted[0].rotation.shape[0] == x.shape[1]
         index = Index(fitted[0](y)) if probe else None
         codes = fitted[0](x) if probe else None
-        members = [np.asarray(i, np.int64) for i in b["ids"]]
-        out = []
-        for i, q in enumerate(a["vec_id"]):
+        norm_y = np.sqrt((y * y).sum(1))
+        lists = b["ids"].combine_chunks()
+        members, first = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for i, q in enumerate(a["vec_id"].to_numpy()):
             near = index.within(codes[i], fitted[1]) if probe else np.arange(len(y))
             if not len(near):
                 continue
+            if len(near) > k + 1:  # the query's own class is one of them at most; rounding can't drop one of the k + 1
+                rough = (y[near] @ x[i]) / norm_y[near]
+                near = near[rough >= (cut := np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]) - 1e-9 * abs(cut) - 1e-300]
             score = cosine(np.broadcast_to(x[i], (len(near), x.shape[1])), y[near])
-            if len(near) > k + 1:  # the query's own class is one of them at most
-                keep = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-                near, score = near[keep], score[keep]
-            ids = [members[j] for j in near]
-            flat, s = np.concatenate(ids), np.repeat(score, [len(j) for j in ids])
+            n = first[near + 1] - first[near]
+            flat, s = members[np.arange(n.sum()) + np.repeat(first[near] - np.cumsum(n) + n, n)], np.repeat(score, n)
             s, flat = s[flat != q], flat[flat != q]
             top = np.lexsort((flat, -s))[:k]
-            out.append(pd.DataFrame({"query_id": np.full(len(top), q), "vec_id": flat[top], "score": s[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            out.append((np.full(len(top), q), flat[top], s[top]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     found = written(search(classes, asked, task, "double", k, shard_rows, block_rows))
     short = asked.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("query_id") == F.col("vec_id"), "left_anti")

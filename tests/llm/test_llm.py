@@ -98,6 +98,43 @@ def test_nearest(spark):
     assert tiles.nearest(df.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+def test_searches_of_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 8))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(60)]
+    rows += [(7, rows[3][1])] * 40 + [(0, rows[1][1]), (5, [float("inf")] * 8), (6, [float("-inf")] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids, y = np.array([r[0] for r in rows[:-2]]), np.array([r[1] for r in rows[:-2]])
+    want, z = [], np.floor(1024 * y)
+    for q in (0, 20, 40):
+        own = z[ids == q]
+        asked = own[np.lexsort(own.T[::-1])[0]]
+        s = (z @ asked).astype(np.int64)
+        want += [(q, n + 1, ids[i], s[i]) for n, i in enumerate([i for i in np.lexsort((ids, -s)) if ids[i] != q][:10])]
+    got = tiles.exact_top_k(df, F.col("vec_id") % 20 == 0, shard_rows=7, block_rows=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    near = tiles.nearest(df, F.col("vec_id") == 3, shard_rows=20, block_rows=2).orderBy("rank").collect()
+    assert near[0].vec_id == 7 and abs(near[0].score - 1) < 1e-12 and len({r.vec_id for r in near}) == 5
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_on_driver_tables(spark, scale):
+    rows = [r for r in spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").select("vec_id", "embedding").collect() if r.embedding and all(v is not None and math.isfinite(v) for v in r.embedding) and any(r.embedding)]
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([r.vec_id for r in rows])
+    got = collections.defaultdict(set)
+    for r in queries.op5_nearest_neighbours(spark, f"/root/testdata/{scale}").collect():
+        got[r.query_id].add(r.vec_id)
+    hits = n = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[i]
+        top = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:5]
+        hits += len(got[ids[i]] & set(ids[top].tolist()))
+        n += len(top)
+    assert n and hits >= 0.9 * n
+
+
 def test_pigeonhole_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 16, (300, 4), dtype=np.uint16)
