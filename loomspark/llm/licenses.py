@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -26,27 +27,26 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 MEMBER = np.zeros(256, bool)
 MEMBER[48:58] = MEMBER[97:123] = MEMBER[128:] = True
 
-#: Label, and template. `match=a-b` bounds the free words.
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license<<beginOptional>> ,<<endOptional>> version 2.0<<beginOptional>> the license you may not use this file except in compliance with the license<<endOptional>>"),
-    ("apache-2.0", "apache license version 2.0 january 2004<<beginOptional>> http www.apache.org licenses<<endOptional>>"),
-    ("gpl-2.0", "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 2"),
-    ("gpl-3.0", "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 3"),
-    ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("mit", "<<beginOptional>>licensed <<endOptional>>under the <<beginOptional>>terms of the <<endOptional>>mit license"),
-    (
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of <<var;name=what;match=1-8>> and associated documentation files the software to deal in the software without restriction"
-        "<<beginOptional>> including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software<<endOptional>>",
-    ),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>><<beginOptional>>creative commons <<endOptional>>cc by <<beginOptional>>license <<endOptional>>4.0"),
-    ("cc-by-nc-4.0", "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>><<beginOptional>>creative commons <<endOptional>>cc by nc <<beginOptional>>license <<endOptional>>4.0"),
-    ("cc-by", "creative commons attribution <<var;name=version;match=0-2>> international license"),
+#: Short statements that name a license, and their labels. `match=a-b` bounds the free words.
+NOTICES = [
+    ("apache-2.0-notice", "licensed under the apache license version 2.0"),
+    ("gpl-2.0-notice", "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 2"),
+    ("gpl-3.0-notice", "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 3"),
+    ("mit-notice", "<<beginOptional>>licensed <<endOptional>><<beginOptional>>released <<endOptional>>under the <<beginOptional>>terms of the <<endOptional>>mit license"),
+    ("cc-by-4.0-notice", "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>><<beginOptional>>creative commons <<endOptional>>cc by <<beginOptional>>license <<endOptional>>4.0"),
+    ("cc-by-nc-4.0-notice", "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>><<beginOptional>>creative commons <<endOptional>>cc by nc <<beginOptional>>license <<endOptional>>4.0"),
+    ("cc-by-notice", "creative commons attribution <<var;name=version;match=0-2>> international license"),
     ("all-rights-reserved", "<<beginOptional>>copyright <<var;name=holder;match=0-12>> <<endOptional>>all rights reserved"),
 ]
 
+
+def templates() -> list[tuple[str, str]]:
+    """Labels and templates: the whole wording of the licenses and standard grants in `license_texts` (a file each, named by its label), and short notices, whose labels say so."""
+    found = files("loomspark.llm").joinpath("license_texts")
+    texts = sorted((f.name, f.read_text(encoding="utf-8")) for f in found.iterdir() if f.name.endswith(".txt"))
+    return [*((name.removesuffix(".txt"), text) for name, text in texts), *NOTICES]
+
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -164,8 +164,8 @@ class Scanner:
         return out
 
 
-def scan(documents: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """License labels of every row of documents.
+def scan(documents: DataFrame, phrases: dict[str, str] | None = None, markup: list[tuple[str, str]] | None = None) -> DataFrame:
+    """License labels of every row of documents, by `markup`, else by templates().
 
     doc_id; n_words; n_base: places of base phrases; first_word, last_word: their smallest and
     largest start, null without any; base_labels; labels: the templates' too (both distinct,
@@ -174,7 +174,7 @@ def scan(documents: DataFrame, phrases: dict[str, str] | None = None, templates:
     (word, label). Reads doc_id and text. Null and empty texts have no words. Repeated rows each
     give a row; other columns are ignored; nothing is shuffled.
     """
-    scanner_of = (phrases or PHRASES, templates or TEMPLATES)
+    scanner_of = (phrases or PHRASES, markup or templates())
     place = pa.struct([("word", pa.int64()), ("label", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
