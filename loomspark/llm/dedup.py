@@ -25,11 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import BROADCAST_ROWS, LOWER, hashes, mix, slices, words
+from loomspark.llm.common import BROADCAST_ROWS, LOWER, hashes, join_small, mix, slices, words
 from loomspark.sources.tables import written
 
 #: Minwise tokens of a signature; independent trees; classes of a node that are compared with all of it; pivots of a large node.
 TOKENS, TREES, FEW, PIVOTS = 64, 12, 256, 4
+#: Pairs that are confirmed at once in any case; pairs for each class from which on they are confirmed in rounds; rounds; tasks over which an end of many links is dealt.
+MANY, MANY_EACH, ROUNDS, SALTS = 10_000, 4, 4, 8
+#: Chunks of a node that meet its probes in one task.
+STRIP = 16
+#: A group of copies of the share 1 / HEAVY of all rows joins by a broadcast.
+HEAVY = 1_000
 #: Bins of a sketch (a power of two).
 BINS = 512
 _ODD = np.random.default_rng(11).integers(1, 1 << 62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,7 +120,7 @@ def _alike(nodes: DataFrame, j: float) -> DataFrame:
         for batch in (b.slice(i, 48) for b in batches for i in range(0, b.num_rows, 48)):  # as many pairs of lists at a time
             a_cls, a_comp, a_n, a_bins, a_mine, a_at, a_ends = columns(batch.column("members"))
             b_cls, b_comp, b_n, b_bins, b_mine, b_at, b_ends = columns(batch.column("probes"))
-            out = []
+            out: dict[tuple[int, int], float] = {}
             for i, (node, settled) in enumerate(zip(batch.column("node").to_pylist(), batch.column("settled").to_pylist(), strict=True)):
                 a, b = slice(a_ends[i], a_ends[i + 1]), slice(b_ends[i], b_ends[i + 1])
                 low, high = np.minimum(a_n[a, None], b_n[None, b]), np.maximum(a_n[a, None], b_n[None, b])
@@ -124,14 +130,15 @@ def _alike(nodes: DataFrame, j: float) -> DataFrame:
                     x, y = a_bins[r], b_bins[c]
                     some = np.maximum(((x | y) > 0).sum(1), 1)
                     whole = np.maximum((a_n[r] + b_n[c]) / (1 + j), some + 1)
-                    near = ((x == y) & (x > 0)).sum(1) / some >= j - 4 * np.sqrt(j * (1 - j) / some * (1 - some / whole)) - 1 / some
-                    for p, q in zip(r[near], c[near], strict=True):
+                    share = ((x == y) & (x > 0)).sum(1) / some
+                    near = share >= j - 4 * np.sqrt(j * (1 - j) / some * (1 - some / whole)) - 1 / some
+                    for p, q, e in zip(r[near], c[near], share[near], strict=True):
                         if not settled or node == min(set(a_mine[a_at[p] : a_at[p + 1]].tolist()).intersection(b_mine[b_at[q] : b_at[q + 1]].tolist())):
-                            out.append((min(a_cls[p], b_cls[q]), max(a_cls[p], b_cls[q])))
-            out = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+                            out[min(a_cls[p], b_cls[q]), max(a_cls[p], b_cls[q])] = e
+            found = np.array(list(out), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(list(out.values()), pa.float64())], ["a", "b", "share"])
 
-    return nodes.mapInArrow(run, "a long, b long")
+    return nodes.mapInArrow(run, "a long, b long, share double")
 
 
 def _confirm(documents: DataFrame, pairs: DataFrame, numerator: int, width: int) -> DataFrame:
@@ -164,7 +171,9 @@ def components(links: DataFrame) -> DataFrame:
     def star(edges: DataFrame, small: bool) -> DataFrame:
         near = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        met = near.join(least, "u")
+        # an end of many links is dealt over tasks
+        salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+        met = near.withColumn("salt", salt).join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"]).drop("salt")
         out = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")) if small else met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return (out.unionByName(least.select("u", F.col("m").alias("v"))) if small else out).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
@@ -181,13 +190,39 @@ def _join_components(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components so far, joined by further links between classes."""
     if comps is None:
         return written(components(links))
-    at = lambda c: comps.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp"))
-    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-    merged = components(between).select(F.col("cls").alias("comp"), F.col("comp").alias("root"))
-    old = comps.join(merged, "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp"))
+    n = comps.count()
+    between = links
+    for c in ("a", "b"):
+        between = join_small(between, comps.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp")), [c], "left", rows=n)
+    merged = written(components(between.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))).select(F.col("cls").alias("comp"), F.col("comp").alias("root")))
+    old = join_small(comps, merged, ["comp"], "left").select("cls", F.coalesce("root", "comp").alias("comp"))
     return written(old.unionByName(merged.select(F.col("comp").alias("cls"), F.col("root").alias("comp"))).distinct())
 
 
+def _linked(documents: DataFrame, pairs: DataFrame, comps: DataFrame | None, numerator: int, width: int) -> DataFrame:
+    """Components so far, joined by those of the pairs (a, b, share) that are links.
+
+    Where there are many pairs for each class, the likeliest pair of each class is confirmed first,
+    and pairs whose classes are in one component by then need no look. What is left after some
+    rounds is confirmed as it is.
+    """
+    for _ in range(ROUNDS):
+        n = pairs.count()
+        if n <= MANY:
+            break
+        best = [pairs.groupBy(x).agg(F.max_by(y, F.struct("share", y)).alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
+        first = written(best[0].unionByName(best[1]).distinct())
+        if n <= MANY_EACH * first.count():
+            break
+        comps = _join_components(comps, written(_confirm(documents, first, numerator, width)))
+        rest = pairs.join(first, ["a", "b"], "left_anti")
+        count = comps.count()
+        for c in ("a", "b"):
+            rest = join_small(rest, comps.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp")), [c], "left", rows=count)
+        pairs = written(rest.where("coalesce(a_comp, a) <> coalesce(b_comp, b)").select("a", "b", "share"))
+    return _join_components(comps, written(_confirm(documents, pairs.select("a", "b"), numerator, width)))
+
+
 def _node(parent: Column, coordinate: Column) -> Column:
     """The child to which a minwise token leads."""
     return F.xxhash64(parent, coordinate, F.element_at("tokens", (coordinate + 1).cast("int")))
@@ -201,7 +236,7 @@ def _children(node: Column, second: int) -> Column:
     return F.when(F.pmod(F.xxhash64(F.lit(4), node), F.lit(100)) < second, F.concat(one, F.array(_node(node, other)))).otherwise(one)
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, trees: int = TREES, few: int = FEW, deepest: int = 8) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, trees: int = TREES, few: int = FEW, deepest: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of documents.
 
     Links are pairs of texts with 100 * intersection >= percent * union of their shingle sets.
@@ -214,7 +249,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
     that lie outside the largest component with the whole node, however many.
     """
     read = written(sketches(documents, width))
-    classes = read.where("doc_id is not null and n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("cls"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"))
+    classes = read.where("doc_id is not null and n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("cls"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes)
     fingerprint = ["one", "two", "n_shingles"]
     # an id that stands in rows of different texts ties them together
@@ -244,26 +279,29 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
         by_comp = with_comp.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
         nodes = by_comp.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("n_comps")).where("n_comps > 1")
         outside = F.col("n") - F.col("major.c")
-        nodes = written(nodes.select("node", F.col("major.comp").alias("major"), "n", (F.lit(last) | (outside <= (1 if first else few))).alias("settled")))
+        nodes = written(nodes.select("node", F.col("major.comp").alias("major"), "n", outside.alias("outside"), (F.lit(last) | (outside <= (1 if first else few))).alias("settled")))
         if not first and nodes.isEmpty():
             break
-        at = with_comp.join(nodes, "node").select("cls", F.struct("node", "tree", "comp", "settled", (F.col("comp") == F.col("major")).alias("inner"), F.col("n").alias("n_node")).alias("at"))
+        at = join_small(with_comp, nodes, ["node"]).select("cls", F.struct("node", "tree", "comp", "settled", (F.col("comp") == F.col("major")).alias("inner"), F.col("n").alias("n_node"), "outside").alias("at"))
         at = at.groupBy("cls").agg(F.collect_list("at").alias("at"))  # as many as a class has nodes: some for each tree
         mine = F.array_sort(F.transform(F.filter("at", lambda x: x["settled"]), lambda x: x["node"]))
         active = written(at.join(classes.select("cls", F.col("n_shingles").alias("n"), "sketch"), "cls").select("cls", "n", "sketch", mine.alias("mine"), F.explode("at").alias("at")).select("at.*", "cls", "n", "sketch", "mine"))
         # probes: all outside the largest component where they are few (at the last level in lots, however many); else some pivots
         outer = active.where(~F.col("inner"))
-        lots = F.pmod(F.xxhash64("cls"), F.lit(1_000_003)) if last else F.lit(0).cast("long")
+        lots = F.pmod(F.xxhash64("cls"), F.ceil(F.col("outside") / F.lit(few))) if last else F.lit(0).cast("long")
         pivot_lot = F.pmod(F.xxhash64(F.lit(3), "comp"), F.lit(1 if first else PIVOTS))
-        pivots = outer.where(~F.col("settled")).groupBy("node", pivot_lot.alias("lot")).agg(F.min(F.struct(F.xxhash64("cls").alias("h"), probe.alias("p"))).alias("m")).select("node", F.lit(0).cast("long").alias("lot"), F.col("m.p").alias("p"))
-        chosen = outer.where("settled").select("node", lots.alias("lot"), probe.alias("p")).unionByName(pivots)
-        probes = chosen.groupBy("node", "lot").agg(F.collect_list("p").alias("probes")).drop("lot")
+        pivots = outer.where(~F.col("settled")).groupBy("node", pivot_lot.alias("lot")).agg(F.min(F.struct(F.xxhash64("cls").alias("h"), probe.alias("p"))).alias("m"), F.max("n_node").alias("n_node")).select("node", F.lit(0).cast("long").alias("lot"), F.col("m.p").alias("p"), "n_node")
+        chosen = outer.where("settled").select("node", lots.alias("lot"), probe.alias("p"), "n_node").unionByName(pivots)
+        # the probes of a node with many members go to several tasks
+        strips = F.sequence(F.lit(0).cast("long"), F.floor(F.ceil(F.max("n_node") / F.lit(few)) / F.lit(STRIP)))
+        probes = chosen.groupBy("node", "lot").agg(F.collect_list("p").alias("probes"), strips.alias("strips")).select("node", "probes", F.explode("strips").alias("strip"))
         lots_of_members = F.pmod(F.xxhash64(F.lit(5), "cls"), F.ceil(F.col("n_node") / F.lit(few)))
         chunks = active.groupBy("node", "settled", lots_of_members.alias("chunk")).agg(F.collect_list(probe).alias("members"))
-        pairs = _alike(chunks.join(probes, "node").select("node", "settled", "members", "probes"), j).distinct()
+        met = chunks.withColumn("strip", F.floor(F.col("chunk") / F.lit(STRIP))).join(probes, ["node", "strip"])
+        pairs = _alike(met.select("node", "settled", "members", "probes"), j).groupBy("a", "b").agg(F.max("share").alias("share"))
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)  # no pair is confirmed twice
-        comps = _join_components(comps, written(_confirm(documents, pairs, percent, width)))
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))  # no pair is confirmed twice
+        comps = _linked(documents, pairs, comps, percent, width)
         if first:
             continue
         # on to children, three levels at once: pivots have met all of their node and stay behind
@@ -277,10 +315,17 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
             break
 
     # classes of the documents: the smallest id of each set, then of each component
-    ends = classes.select("cls", *fingerprint)
+    ends = classes.select("cls", *fingerprint, "copies")
     if comps is not None:
         ends = ends.join(comps, "cls", "left").withColumn("cls", F.coalesce("comp", "cls")).drop("comp")
-    joined = read.drop("tokens", "sketch").join(ends, fingerprint, "left")
+    # sets of many copies are few, and their rows don't go to one task; empty sets and rows without an id meet nothing
+    documents_ = read.select("doc_id", "n_shingles", "one", "two")
+    least = max(1, read.count() // HEAVY)
+    heavy = written(ends.where(F.col("copies") >= least).drop("copies"))
+    linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    some = documents_.where(linkable).join(F.broadcast(heavy.withColumnRenamed("cls", "found")), fingerprint, "left")
+    light = some.where("found is null").drop("found").join(ends.where(F.col("copies") < least).drop("copies"), fingerprint, "left")
+    joined = some.where("found is not null").withColumnRenamed("found", "cls").unionByName(light).unionByName(documents_.where(~linkable).withColumn("cls", F.lit(None).cast("long")))
     own = F.when(F.col("n_shingles") > 0, F.coalesce("cls", "doc_id")).otherwise(F.col("doc_id"))
     out = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

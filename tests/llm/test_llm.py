@@ -188,6 +188,22 @@ def test_near_duplicates_equal_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in rows.values())
 
 
+def test_near_duplicates_of_a_family_at_the_threshold(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for n in range(250):
+        t = list(base)
+        for k in rng.sample(range(2, 298), 4):
+            t[k] = f"x{n}y{k}"
+        texts.append(" ".join(t))
+    _, want = brute_components(texts)
+    confirmed, plain = [], dedup._confirm
+    monkeypatch.setattr(dedup, "_confirm", lambda d, pairs, *more: confirmed.append(pairs.count()) or plain(d, pairs, *more))
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(docs(spark, *texts)).collect()}
+    assert [got[i] for i in range(250)] == want and sum(confirmed) < 250 * 249 / 4
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 150)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
