@@ -30,8 +30,10 @@ from loomspark.sources.tables import written
 
 #: Minwise tokens of a signature; independent trees; classes of a node that are compared with all of it; pivots of a large node.
 TOKENS, TREES, FEW, PIVOTS = 64, 12, 256, 4
-#: Pairs that are confirmed at once in any case; pairs for each class from which on they are confirmed in rounds; rounds; tasks over which an end of many links is dealt.
-MANY, MANY_EACH, ROUNDS, SALTS = 10_000, 4, 4, 8
+#: Tasks over which an end of many links is dealt.
+SALTS = 8
+#: Trees that are gone through with one pivot a node before all others.
+FIRST = 2
 #: Chunks of a node that meet its probes in one task.
 STRIP = 16
 #: A group of copies of the share 1 / HEAVY of all rows joins by a broadcast.
@@ -120,7 +122,7 @@ def _alike(nodes: DataFrame, j: float) -> DataFrame:
         for batch in (b.slice(i, 48) for b in batches for i in range(0, b.num_rows, 48)):  # as many pairs of lists at a time
             a_cls, a_comp, a_n, a_bins, a_mine, a_at, a_ends = columns(batch.column("members"))
             b_cls, b_comp, b_n, b_bins, b_mine, b_at, b_ends = columns(batch.column("probes"))
-            out: dict[tuple[int, int], float] = {}
+            out: set[tuple[int, int]] = set()
             for i, (node, settled) in enumerate(zip(batch.column("node").to_pylist(), batch.column("settled").to_pylist(), strict=True)):
                 a, b = slice(a_ends[i], a_ends[i + 1]), slice(b_ends[i], b_ends[i + 1])
                 low, high = np.minimum(a_n[a, None], b_n[None, b]), np.maximum(a_n[a, None], b_n[None, b])
@@ -130,15 +132,14 @@ def _alike(nodes: DataFrame, j: float) -> DataFrame:
                     x, y = a_bins[r], b_bins[c]
                     some = np.maximum(((x | y) > 0).sum(1), 1)
                     whole = np.maximum((a_n[r] + b_n[c]) / (1 + j), some + 1)
-                    share = ((x == y) & (x > 0)).sum(1) / some
-                    near = share >= j - 4 * np.sqrt(j * (1 - j) / some * (1 - some / whole)) - 1 / some
-                    for p, q, e in zip(r[near], c[near], share[near], strict=True):
+                    near = ((x == y) & (x > 0)).sum(1) / some >= j - 4 * np.sqrt(j * (1 - j) / some * (1 - some / whole)) - 1 / some
+                    for p, q in zip(r[near], c[near], strict=True):
                         if not settled or node == min(set(a_mine[a_at[p] : a_at[p + 1]].tolist()).intersection(b_mine[b_at[q] : b_at[q + 1]].tolist())):
-                            out[min(a_cls[p], b_cls[q]), max(a_cls[p], b_cls[q])] = e
-            found = np.array(list(out), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(list(out.values()), pa.float64())], ["a", "b", "share"])
+                            out.add((min(a_cls[p], b_cls[q]), max(a_cls[p], b_cls[q])))
+            found = np.array(sorted(out), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    return nodes.mapInArrow(run, "a long, b long, share double")
+    return nodes.mapInArrow(run, "a long, b long")
 
 
 def _confirm(documents: DataFrame, pairs: DataFrame, numerator: int, width: int) -> DataFrame:
@@ -199,30 +200,6 @@ def _join_components(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(old.unionByName(merged.select(F.col("comp").alias("cls"), F.col("root").alias("comp"))).distinct())
 
 
-def _linked(documents: DataFrame, pairs: DataFrame, comps: DataFrame | None, numerator: int, width: int) -> DataFrame:
-    """Components so far, joined by those of the pairs (a, b, share) that are links.
-
-    Where there are many pairs for each class, the likeliest pair of each class is confirmed first,
-    and pairs whose classes are in one component by then need no look. What is left after some
-    rounds is confirmed as it is.
-    """
-    for _ in range(ROUNDS):
-        n = pairs.count()
-        if n <= MANY:
-            break
-        best = [pairs.groupBy(x).agg(F.max_by(y, F.struct("share", y)).alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
-        first = written(best[0].unionByName(best[1]).distinct())
-        if n <= MANY_EACH * first.count():
-            break
-        comps = _join_components(comps, written(_confirm(documents, first, numerator, width)))
-        rest = pairs.join(first, ["a", "b"], "left_anti")
-        count = comps.count()
-        for c in ("a", "b"):
-            rest = join_small(rest, comps.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp")), [c], "left", rows=count)
-        pairs = written(rest.where("coalesce(a_comp, a) <> coalesce(b_comp, b)").select("a", "b", "share"))
-    return _join_components(comps, written(_confirm(documents, pairs.select("a", "b"), numerator, width)))
-
-
 def _node(parent: Column, coordinate: Column) -> Column:
     """The child to which a minwise token leads."""
     return F.xxhash64(parent, coordinate, F.element_at("tokens", (coordinate + 1).cast("int")))
@@ -271,10 +248,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
     probe = F.struct("cls", "comp", "n", "sketch", "mine")
     tested: DataFrame | None = None
     for level in range(-1, deepest + 1):
-        # First the nodes of two trees are linked through a pivot each, so that dense groups are
+        # First the nodes of some trees are linked through a pivot each, so that dense groups are
         # components before their pairs could be listed; then all trees are gone through.
         first, last = level < 0, level == deepest
-        with_comp = members.where("tree < 2") if first else members
+        with_comp = members.where(F.col("tree") < FIRST) if first else members
         with_comp = with_comp.withColumn("comp", F.col("cls")) if comps is None else with_comp.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         by_comp = with_comp.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
         nodes = by_comp.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("n_comps")).where("n_comps > 1")
@@ -298,10 +275,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 3, tre
         lots_of_members = F.pmod(F.xxhash64(F.lit(5), "cls"), F.ceil(F.col("n_node") / F.lit(few)))
         chunks = active.groupBy("node", "settled", lots_of_members.alias("chunk")).agg(F.collect_list(probe).alias("members"))
         met = chunks.withColumn("strip", F.floor(F.col("chunk") / F.lit(STRIP))).join(probes, ["node", "strip"])
-        pairs = _alike(met.select("node", "settled", "members", "probes"), j).groupBy("a", "b").agg(F.max("share").alias("share"))
+        pairs = _alike(met.select("node", "settled", "members", "probes"), j).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))  # no pair is confirmed twice
-        comps = _linked(documents, pairs, comps, percent, width)
+        tested = pairs if tested is None else tested.unionByName(pairs)  # no pair is confirmed twice
+        comps = _join_components(comps, written(_confirm(documents, pairs, percent, width)))
         if first:
             continue
         # on to children, three levels at once: pivots have met all of their node and stay behind
