@@ -506,6 +506,47 @@ def test_quality_is_learned(spark):
     assert len(out) > 50 and sum(r.predicted == r.quality for r in out) >= 0.95 * len(out) and all(0 <= r.score <= 1 for r in out)
 
 
+def test_trees_equal_plain_traversal():
+    rng = np.random.default_rng(1)
+    x, y = rng.random((500, 4)), (rng.random(500) > 0.4).astype(float)
+    trees = quality.train(x, y, rounds=12, depth=3)
+    for row, got in zip(x[:60], trees.margin(x[:60]), strict=True):
+        want = trees.base
+        for features, thresholds, values in zip(trees.features, trees.thresholds, trees.values, strict=True):
+            node = 0
+            while node < len(features):
+                node = 2 * node + (2 if row[features[node]] > thresholds[node] else 1)
+            want += values[node - len(features)]
+        assert abs(want - got) < 1e-9
+
+
+def test_statistics_equal_plain_ones():
+    texts = ["Hello WORLD hello, a1 $$x$$ | wow!\nSecond line.\nSecond line.", "", None, "x", "é é ü\n\n---", "a b a b a b " * 400]
+    data, off = utf8(pa.array(texts))
+    names = {n: k for k, n in enumerate(quality.STATISTICS)}
+    for t, got in zip(texts, quality.statistics(data, off), strict=True):
+        raw = (t or "").encode()
+        ws = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+        lines = [x for x in raw.split(b"\n") if x]
+        want = {
+            "log_bytes": math.log1p(len(raw)), "log_words": math.log1p(len(ws)), "word_bytes": sum(map(len, ws)) / max(len(ws), 1), "digit": sum(48 <= b < 58 for b in raw) / max(len(raw), 1),
+            "exclamation": raw.count(b"!") / max(len(raw), 1), "bar": raw.count(b"|") / max(len(raw), 1), "non_ascii": sum(b >= 128 for b in raw) / max(len(raw), 1), "lines": len(lines) / max(len(ws), 1),
+            "distinct_words": len({w.lower() for w in ws}) / max(len(ws), 1), "distinct_lines": sum(map(len, set(lines))) / max(sum(map(len, lines)), 1), "top_word": max(collections.Counter(w.lower() for w in ws).values(), default=0) / max(len(ws), 1),
+            "long_words": sum(len(w) > 20 for w in ws) / max(len(ws), 1), "ended_lines": sum(x[-1:] in b".!?" for x in lines) / max(len(lines), 1), "distinct_bytes": len(set(raw)) / 256,
+        }
+        for n, v in want.items():
+            assert abs(got[names[n]] - v) < 1e-9, (t, n)
+
+
+def test_several_labels_and_texts_of_one_id(spark):
+    rows = [(i, ("good words of a text number %d here " % i) * 5 if i % 2 else "$$$ ### !!! " * 9) for i in range(200)]
+    documents = docs(spark, *[t for _, t in rows]).unionByName(docs(spark, "zzz later text", "zzz later text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(0, 0), (4, None), (None, 1), (5, 1), (900, 1), (6, 7)], "doc_id long, quality int")
+    trees = quality.fit(documents, labels)
+    got = {r.doc_id: r for r in quality.score(documents.where("doc_id > 1"), trees).collect()}
+    assert all(r.predicted == r.doc_id % 2 for r in got.values() if r.held_out)
+
+
 def test_trees_fit_a_threshold():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))
@@ -583,7 +624,10 @@ def test_url_rules_equal_plain_ones(spark):
     urls = [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/p', '/p/q', '/pq'])}{rng.choice(['', '?x=/p', '#p'])}" for _ in range(150)]
     rules = [("c", "/", "block"), ("b.c", "/p", "allow"), ("a.b.c", "", "block"), ("a.b.c", "/p/", "allow"), ("b.c", "/", "allow"), ("b", "/", "block")]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    for r in urlrules.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), sweep_rows=20).collect():
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    found = [r for most in (10, 2) for r in urlrules.judge(pages, table, sweep_rows=20, max_rules=most).collect()]  # in one lot of rules, and in several
+    assert len(found) == 300
+    for r in found:
         rest = urls[r.page_id].split("://", 1)[1]
         h = re.split("[/?#]", rest, maxsplit=1)[0]
         p = re.split("[?#]", rest[len(h) :], maxsplit=1)[0]
