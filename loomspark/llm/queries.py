@@ -1,4 +1,4 @@
-"""The ten operators as queries on the driver's tables, and their SQL where there is one."""
+"""The thirteen operators as queries on the driver's tables, and their SQL where there is one."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, dedup, html, licenses, mixing, ppm, quality, tiles, urlrules
+from loomspark.llm import bpe, dedup, html, licenses, mixing, negatives, pieces, ppm, quality, tiles, urlrules, whitening
 
 #: Fixed values of the contract of operator 9.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -61,8 +61,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_minhash_near_dedup, op3_source_mixing, op4_lm_scoring, op5_nearest_neighbours, op6_byte_bpe, op7_html_extraction, op8_quality_classifier, op9_url_filters, op10_license_scan)}
+    ten = (op1_exact_top_k, op2_minhash_near_dedup, op3_source_mixing, op4_lm_scoring, op5_nearest_neighbours, op6_byte_bpe, op7_html_extraction, op8_quality_classifier, op9_url_filters, op10_license_scan)
+    return {f.__name__: f for f in (*ten, op11_sentencepiece, op12_embedding_whitening, op13_hard_negatives)}
 
 
 OP1 = """
@@ -96,5 +110,16 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 """
 
 
+OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same),
+n AS (SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score WHERE k <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1, "op2_minhash_near_dedup": OP2, "op9_url_filters": OP9}
+    return {"op1_exact_top_k": OP1, "op2_minhash_near_dedup": OP2, "op9_url_filters": OP9, "op13_hard_negatives": OP13}
