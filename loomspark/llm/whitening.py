@@ -72,10 +72,13 @@ def fit(distinct: DataFrame, pairs: int = PAIRS) -> Whitening | None:
         raise ValueError(f"vectors of {width} dimensions are wider than {WIDEST}")
     sums: list[int] = []
     for first in range(0, width, 1024):
-        row = distinct.agg(*[F.try_sum(_at(i)) for i in range(first, min(first + 1024, width))]).first()
-        if None in row:  # beyond 63 bits
-            row = distinct.agg(*[F.sum(_at(i).cast("decimal(19,0)")) for i in range(first, min(first + 1024, width))]).first()
-        sums += map(int, row)
+        some = range(first, min(first + 1024, width))
+        row = list(distinct.agg(*[F.try_sum(_at(i)) for i in some]).first())
+        if None in row:  # beyond 63 bits: in three parts of 21 bits, the upper one with the sign
+            parts = lambda x: (F.shiftright(x, 42), F.shiftright(x, 21).bitwiseAND((1 << 21) - 1), x.bitwiseAND((1 << 21) - 1))
+            found = list(distinct.agg(*[F.sum(p) for i in some for p in parts(_at(i))]).first())
+            row = [(a << 42) + (b << 21) + c for a, b, c in zip(*[iter(found)] * 3, strict=True)]
+        sums += row
     # centred once for each row, so that a pair is one product
     centred = distinct.select(*[(_at(i).cast("double") - F.lit(s / n)).alias(f"c{i}") for i, s in enumerate(sums)])
     upper = [(i, j) for i in range(width) for j in range(i, width)]
