@@ -13,7 +13,8 @@ it links, how much of it template. From the root the main region is found by goi
 within that has most of the text, as long as one has. In it, slots of links or of template text are
 dropped; outside it, slots with little text of their own. What statistics leave open (a region
 beside the main one, or in it, with varied text of its own, like reader comments or an aside) is
-decided by the names of tags and classes. Pages of hosts without a template and pages whose main
+decided by the names of tags and classes. A region that clearly holds the page's varied text is
+gone on to whatever its names. Pages of hosts without a template and pages whose main
 region is empty are judged in the same way by the text of that page alone.
 
 Vectors are never gathered: a sum over pages of a hash of page and count stands for the vector,
@@ -42,7 +43,7 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "
 REGIONS = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "svg", "canvas", "object", "audio", "video"}
 #: Elements that hold blocks rather than being one.
 HOLDERS = {"html", "body", "div", "section", "article", "main", "center", "fieldset", "details"} | REGIONS
-#: Words of class, id and role for what the contract leaves out; they decide only what slots leave open.
+#: Words of class, id and role for what the contract leaves out; they decide only what slots leave open. A name says what its last word says, as `user-comments` but not `comments-open`.
 MARKS = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "comment", "comments", "consent", "cookie", "cookies", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "notice", "notices",
     "replies", "respond", "sidebar", "sponsor", "sponsored",
@@ -52,10 +53,15 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"optio
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
+#: Last words that say how something is laid out, so that the word before counts; names of text, beside which those of MARKS don't count.
+LAYOUT = {"area", "bar", "block", "box", "container", "form", "holder", "inner", "left", "list", "outer", "right", "section", "slot", "unit", "widget", "wrap", "wrapper"}
+TEXT = {"article", "body", "content", "entry", "hentry", "main", "page", "post", "story", "text"}
 #: Class names that begin with one of these say what is beside or absent, like `no-sidebar`.
 _BESIDE = {"has", "no", "with", "without"}
 #: A region with more than this share of what its parent holds is gone on to; one with less than the other share of the main region's text has little text.
 MOST, LITTLE = 0.5, 0.2
+#: A region with more than this share of the page's varied text is no aside, whatever its names.
+CLEAR = 0.75
 #: Of a region: an article; no article by its tag; no article by its class, id or role.
 ARTICLE, BY_TAG, BY_MARK = 1, 2, 4
 
@@ -67,6 +73,19 @@ def _marks(attributes: str) -> list[str]:
     return [x for words in split if words and words[0] not in _BESIDE for x in words]
 
 
+def _says_aside(attributes: str, article: bool) -> bool:
+    """Whether the names of class, id and role are those of MARKS, and none is one of TEXT. A header of the article itself is no aside."""
+    heads = set()
+    for a in _NAMED.finditer(attributes):
+        for name in (a[2] or a[3] or a[4] or "").lower().split():
+            words = [x for x in re.split(r"[^a-z]+", name) if x]
+            while len(words) > 1 and words[-1] in LAYOUT:
+                words.pop()
+            if words and words[0] not in _BESIDE:
+                heads.add(words[-1])
+    return bool(heads & (MARKS - {"header"} if article else MARKS)) and not heads & TEXT
+
+
 def token(path: str, kind: int, text: str = "") -> int:
     """A 63-bit hash of a token. kind: 1 opens, -1 closes, 0 text."""
     return xxhash.xxh3_64_intdigest(f"{kind}\n{path}\n{text}".encode("utf-8", "surrogatepass")) >> 1
@@ -170,7 +189,7 @@ class Page:
         flags = ARTICLE * (name in ("article", "main") or "article" in marks)
         # a header of the article itself may hold its heading; that of the page doesn't
         flags |= BY_TAG * (name in REGIONS and not (name == "header" and article))
-        flags |= BY_MARK * (name not in ("article", "main", "body", "html") and any(x in MARKS and not (x == "header" and article) for x in marks))
+        flags |= BY_MARK * (name not in ("article", "main", "body", "html") and bool(marks) and _says_aside(attributes, article))
         if flags or name in HOLDERS:
             self.regions.append((inner, region, flags))
             region = len(self.regions) - 1
@@ -206,12 +225,12 @@ def judge(regions: dict[int, tuple[int, int, float, float]]) -> dict[int, bool]:
     mass = {t: r[2] for t, r in regions.items()}
     mass.setdefault(0, sum(mass[t] for t in inner.get(0, ())))
     flags = lambda t: regions[t][1]
-    aside = BY_TAG | BY_MARK
+    aside = {t for t in regions if _aside(flags(t), mass[t], mass[0])}
     main, above = 0, set()
     while True:
-        open_ = [t for t in inner.get(main, ()) if not flags(t) & aside]
+        open_ = [t for t in inner.get(main, ()) if t not in aside]
         best = max(open_, key=lambda t: (mass[t], flags(t) & ARTICLE, -t), default=None)
-        rest = mass[main] - sum(mass[t] for t in inner.get(main, ()) if flags(t) & aside)
+        rest = mass[main] - sum(mass[t] for t in inner.get(main, ()) if t in aside)
         if best is None or mass[best] <= MOST * rest:
             break
         above.add(main)
@@ -230,14 +249,19 @@ def judge(regions: dict[int, tuple[int, int, float, float]]) -> dict[int, bool]:
             if x == main or x in above:
                 todo.append((x, True, x == main))
             elif within:  # in the main region
-                todo.append((x, keep and share <= 0.5 and not f & aside, True))
+                todo.append((x, keep and share <= 0.5 and x not in aside, True))
             elif t in above:  # beside it
-                todo.append((x, (mass[x] >= LITTLE * mass[main] or bool(f & ARTICLE)) and share <= 0.5 and not f & aside, False))
+                todo.append((x, (mass[x] >= LITTLE * mass[main] or bool(f & ARTICLE)) and share <= 0.5 and x not in aside, False))
             else:  # in a region beside it
-                todo.append((x, keep and share <= 0.5 and not f & aside, False))
+                todo.append((x, keep and share <= 0.5 and x not in aside, False))
     return out
 
 
+def _aside(flags: int, own: float, page: float) -> bool:
+    """Whether a region is an aside by its names, which don't count if it clearly holds the page's text."""
+    return bool(flags & (BY_TAG | BY_MARK)) and own <= CLEAR * page
+
+
 class Template:
     """A host's template: its text tokens, and the verdicts on its slots.
 
@@ -268,10 +292,10 @@ def decided(page: Page, template: Template) -> list[tuple[str, str]]:
         for path, parent, flags in page.regions:
             known = template.slots.get(token(path, 1) if path else 0)
             if known is None:  # a region of this page alone: as its slot, but for its own name
-                known = (verdict[parent] if parent >= 0 else False) and not flags & (BY_TAG | BY_MARK)
+                known = (verdict[parent] if parent >= 0 else False) and not _aside(flags, mass[len(verdict)], mass[0])
             verdict.append(known and (parent < 0 or verdict[parent] or template.slots.get(token(path, 1)) is True))
         found = [(text, "slots") for (_, text, region, _), ok in zip(page.blocks, live, strict=True) if ok and verdict[region]]
-        aside = _within(page, BY_TAG | BY_MARK)
+        aside = _within(page, mass)
         others = sum(len(text) for (_, text, region, _), ok in zip(page.blocks, live, strict=True) if ok and not aside[region])
         if found and sum(len(text) for text, _ in found) >= LITTLE * others:
             return found
@@ -287,10 +311,11 @@ def decided(page: Page, template: Template) -> list[tuple[str, str]]:
     return found
 
 
-def _within(page: Page, flags: int) -> list[bool]:
+def _within(page: Page, mass: list[float]) -> list[bool]:
+    """Whether each region is an aside or in one."""
     out: list[bool] = []
-    for _, parent, own in page.regions:
-        out.append(bool(own & flags) or (parent >= 0 and out[parent]))
+    for (_, parent, flags), own in zip(page.regions, mass, strict=True):
+        out.append(_aside(flags, own, mass[0]) or (parent >= 0 and out[parent]))
     return out
 
 
