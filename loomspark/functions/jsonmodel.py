@@ -1,30 +1,68 @@
 """JSON as rows: strict parsing, canonical text, fields of data, nodes and properties of schemas.
 
 JSON text stays canonical (compact, order kept). Parsing and flattening are Arrow-batched helpers;
-all that works on the resulting rows is DataFrame operations.
+all that works on the resulting rows is DataFrame operations. What a row holds never fails the
+others: values are walked with a stack of their own, and a text that can't be used gives its row an
+error. Halves of surrogate pairs, which no UTF-8 text holds, stay escapes in JSON and are
+replacement characters in plain text.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.parsing import PAIRS
-
 FIELD = "struct<path: string, parent_path: string, key: string, ord: int, json_type: string, value_json: string, text: string, depth: int, in_list: boolean>"
 NODE = "struct<depth: int, under_list: boolean, type: string, n_properties: int, has_keyword: boolean>"
 PROPERTY = "struct<schema_path: string, parent_path: string, key: string, ord: int, type: string, types: array<string>, required: boolean>"
+#: Levels that a value may have: the paths and texts of its members grow with the square of them, so deeper values are errors.
+DEPTH = 256
+#: Patterns of salvaged pairs, in order of precedence (later wins).
+PAIRS = (r'"(\w+)"\s*:\s*"([^"]*)"', r'"(\w+)"\s*:\s*(\d+)', r'"(\w+)"\s*:\s*(true|false|null)')
 #: Keywords that make a schema complex, and the types there are.
 KEYWORDS = ("anyOf", "oneOf", "allOf", "if", "then", "else", "$ref")
 TYPES = ("string", "number", "integer", "boolean", "array", "object", "null")
 
 
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 def dumps(value) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    found = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", found)
+
+
+def _plain(text: str) -> str:
+    """Text that UTF-8 can hold."""
+    return _HALF.sub("\ufffd", text)
+
+
+class Unusable(ValueError):
+    """A text that is no JSON value, or one that is nested too deeply."""
+
+
+def loads(text: str):
+    """A JSON value of at most DEPTH levels; else Unusable, with a message for the row's error."""
+    deep = f"nested more than {DEPTH} levels deep"
+    try:
+        value = json.loads(text)
+    except RecursionError as e:
+        raise Unusable(deep) from e
+    except ValueError as e:
+        raise Unusable(str(e)) from e
+    level = [value]
+    for _ in range(DEPTH):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return value
+    if any(isinstance(v, (dict, list)) for v in level):
+        raise Unusable(deep)
+    return value
 
 
 def json_type(value) -> str:
@@ -34,24 +72,36 @@ def json_type(value) -> str:
     return {int: "integer", float: "number", str: "string", list: "array", dict: "object"}.get(type(value), "null")
 
 
-def _fields(value, path: str, depth: int, in_list: bool):
-    items = value.items() if isinstance(value, dict) else ((str(i), x) for i, x in enumerate(value))
-    for i, (key, x) in enumerate(items):
+def _members(value) -> Iterator[tuple[int, str, object]]:
+    pairs = value.items() if isinstance(value, dict) else ((str(i), x) for i, x in enumerate(value))
+    return ((i, _plain(key), x) for i, (key, x) in enumerate(pairs))
+
+
+def _fields(value: dict) -> Iterator[dict]:
+    """Members at any depth, each before its own members."""
+    stack = [(_members(value), "", False)]
+    while stack:
+        members, path, in_list = stack[-1]
+        member = next(members, None)
+        if member is None:
+            stack.pop()
+            continue
+        i, key, x = member
         at = f"{path}.{key}" if path else key
-        yield {"path": at, "parent_path": path, "key": key, "ord": i, "json_type": json_type(x), "value_json": dumps(x), "text": x if isinstance(x, str) else None, "depth": depth, "in_list": in_list or isinstance(value, list)}
+        yield {"path": at, "parent_path": path, "key": key, "ord": i, "json_type": json_type(x), "value_json": dumps(x), "text": _plain(x) if isinstance(x, str) else None, "depth": len(stack) - 1, "in_list": in_list}
         if isinstance(x, (dict, list)):
-            yield from _fields(x, at, depth + 1, in_list or isinstance(value, list))
+            stack.append((_members(x), at, in_list or isinstance(x, list)))
 
 
 def _fields_of(data: pd.Series) -> pd.Series:
-    """All members of an object at any depth, list items too (by their number)."""
+    """All members of an object at any depth, list items too (by their number); none of what is no object."""
 
     def one(x):
         try:
-            found = json.loads(x) if x is not None else None
-        except ValueError:
+            found = loads(x) if x is not None else None
+        except Unusable:
             return []
-        return list(_fields(found, "", 0, False)) if isinstance(found, dict) else []
+        return list(_fields(found)) if isinstance(found, dict) else []
 
     return data.map(one)
 
@@ -68,60 +118,82 @@ def is_truthy(json_type: Column, value_json: Column) -> Column:
     return ~(value_json.isin("null", "false", '""', "[]", "{}") | (json_type.isin("integer", "number") & zero))
 
 
-def _walk(value, depth: int, under_list: bool):
-    if isinstance(value, dict):
+def _walk(schema: dict) -> Iterator[dict]:
+    """Every object; lists add no level, and lists within lists hold none."""
+    stack = [(schema, 0, False)]
+    while stack:
+        value, depth, under_list = stack.pop()
         kind, props = value.get("type"), value.get("properties")
-        yield {"depth": depth, "under_list": under_list, "type": kind if isinstance(kind, str) else None, "n_properties": len(props) if isinstance(props, dict) else 0, "has_keyword": any(k in value for k in KEYWORDS)}
+        yield {"depth": depth, "under_list": under_list, "type": _plain(kind) if isinstance(kind, str) else None, "n_properties": len(props) if isinstance(props, dict) else 0, "has_keyword": any(k in value for k in KEYWORDS)}
         for x in value.values():
             if isinstance(x, dict):
-                yield from _walk(x, depth + 1, under_list)
+                stack.append((x, depth + 1, under_list))
             elif isinstance(x, list):
-                for y in x:
-                    yield from _walk(y, depth + 1, True)
+                stack += [(y, depth + 1, True) for y in x if isinstance(y, dict)]
+
+
+def schema_of(text: str | None) -> dict:
+    """A schema document; else Unusable."""
+    try:
+        found = loads(text) if text is not None else None
+    except Unusable as e:
+        raise Unusable(f"the schema is {e}" if str(e).startswith("nested") else "the schema is no JSON object") from e
+    if not isinstance(found, dict):
+        raise Unusable("the schema is no JSON object")
+    return found
 
 
-def schema_of(text: str | None) -> dict | None:
-    """A schema document; None where it is no JSON object."""
+def is_schema(text: str | None) -> bool:
     try:
-        found = json.loads(text) if text is not None else None
-    except (ValueError, RecursionError):
-        return None
-    return found if isinstance(found, dict) else None
+        return schema_of(text) is not None
+    except Unusable:
+        return False
 
 
 def _nodes_of(schema: pd.Series) -> pd.Series:
-    """Every object of a schema document; lists add no level."""
-    return schema.map(lambda x: list(_walk(schema_of(x), 0, False)))
+    """Every object of a schema document; none of what is no schema."""
+    return schema.map(lambda x: list(_walk(schema_of(x))) if is_schema(x) else [])
 
 
-def _properties(schema, path: str):
-    props, required = schema.get("properties"), schema.get("required")
-    required = required if isinstance(required, list) else []
-    names = list(props) if isinstance(props, dict) else []
-    for i, key in enumerate([*names, *(r for r in required if r not in names)]):
-        sub = props.get(key) if key in names else None
-        kind = sub.get("type") if isinstance(sub, dict) else None
-        at = f"{path}.{key}" if path else key
-        yield {"schema_path": at if key in names else None, "parent_path": path, "key": key, "ord": required.index(key) if key in required else i, "type": kind if isinstance(kind, str) else None, "types": kind if isinstance(kind, list) else None, "required": key in required}
-        if isinstance(sub, dict):
-            yield from _properties(sub, at)
+def _names(value) -> list[str]:
+    """The names of a list; what is no text names nothing."""
+    return [_plain(x) for x in value if isinstance(x, str)] if isinstance(value, list) else []
+
+
+def _properties(schema: dict) -> Iterator[dict]:
+    stack = [(schema, "")]
+    while stack:
+        level, path = stack.pop()
+        props, required = level.get("properties"), _names(level.get("required"))
+        subs = {_plain(k): x for k, x in props.items()} if isinstance(props, dict) else {}
+        inner = []
+        for i, key in enumerate([*subs, *dict.fromkeys(r for r in required if r not in subs)]):
+            sub = subs.get(key)
+            kind = sub.get("type") if isinstance(sub, dict) else None
+            at = f"{path}.{key}" if path else key
+            yield {"schema_path": at if key in subs else None, "parent_path": path, "key": key, "ord": required.index(key) if key in required else i, "type": _plain(kind) if isinstance(kind, str) else None, "types": _names(kind) or None, "required": key in required}
+            if isinstance(sub, dict):
+                inner.append((sub, at))
+        stack += reversed(inner)
 
 
 def _properties_of(schema: pd.Series) -> pd.Series:
     """Properties at every level reached by `properties`, and required names that are none (without a schema_path)."""
-    return schema.map(lambda x: list(_properties(schema_of(x) or {}, "")))
+    return schema.map(lambda x: list(_properties(schema_of(x))) if is_schema(x) else [])
 
 
 def _schema_texts(schema: pd.Series) -> pd.DataFrame:
-    """Compact ASCII text, the dump that prompts show, top-level names, and sections of five properties each."""
+    """Compact ASCII text, the dump that prompts show, top-level names, and sections of five properties each; else an error."""
+    columns = ["ascii", "dump", "names", "sections", "error"]
 
     def dump(x) -> str:
         return json.dumps(x, indent=1, separators=(",", ":"))
 
     def one(text):
-        s = schema_of(text)
-        if s is None:
-            return dict.fromkeys(("ascii", "dump", "names", "sections"))
+        try:
+            s = schema_of(text)
+        except Unusable as e:
+            return dict.fromkeys(columns) | {"error": str(e)}
         props = s.get("properties")
         props = props if isinstance(props, dict) else {}
         required = s.get("required")
@@ -134,44 +206,71 @@ def _schema_texts(schema: pd.Series) -> pd.DataFrame:
             for i in range(0, len(names), 5):
                 group = names[i : i + 5]
                 parts.append((f"section_{i // 5 + 1}", {"type": "object", "properties": {k: props[k] for k in group}, "required": [k for k in required if k in group]}))
-        return {"ascii": json.dumps(s, separators=(",", ":")), "dump": dump(s), "names": names, "sections": [{"name": n, "json": dumps(p), "dump": dump(p)} for n, p in parts]}
+        return {"ascii": json.dumps(s, separators=(",", ":")), "dump": dump(s), "names": list(map(_plain, names)), "sections": [{"name": n, "json": dumps(p), "dump": dump(p)} for n, p in parts], "error": None}
 
-    return pd.DataFrame([one(x) for x in schema], columns=["ascii", "dump", "names", "sections"])
+    return pd.DataFrame([one(x) for x in schema], columns=columns)
 
 
-def _parse(content: str | None) -> dict:
-    """Data and confidence of a completion: strict, then repaired, then salvaged pair by pair."""
-    text = (content or "").strip()
-    found = re.search(r"\{.*\}", text, re.S)
-    try:
-        return {"data": dumps(json.loads(found.group() if found else text)), "confidence": 0.8, "error": None}
-    except ValueError:
-        pass
-    text = re.sub(r'\\(?!["\\/bfnrt])', r"\\\\", text.replace("\\n", "\\\\n").replace("\n", " "))
-    found = re.search(r"\{.*\}", text, re.S)
-    try:
-        if found:
-            data = json.loads(found.group())
-            return {"data": dumps(data), "confidence": 0.3 if data else 0.1, "error": None}
-    except ValueError:
-        pass
+def _braced(text: str) -> str:
+    """From the first `{` to the last `}`, else an empty string."""
+    a, b = text.find("{"), text.rfind("}")
+    return text[a : b + 1] if 0 <= a < b else ""
+
+
+def _salvaged(text: str) -> dict:
+    """Value of the last pair for each key: patterns in order, then places. A number beyond what Python reads raises ValueError."""
     pairs: dict = {}
     for pattern in PAIRS:
         for key, value in re.findall(pattern, text):
-            if value.isdigit():
-                try:
-                    pairs[key] = int(value)
-                except ValueError as e:
-                    return {"data": None, "confidence": 0.0, "error": str(e)}
-            else:
-                pairs[key] = {"true": True, "false": False, "null": None}.get(value, value)
-    return {"data": dumps(pairs), "confidence": 0.3 if pairs else 0.1, "error": None}
+            pairs[key] = int(value) if value.isdigit() else {"true": True, "false": False, "null": None}.get(value, value)
+    return pairs
+
+
+def _parse(content: str | None) -> dict:
+    """Data and confidence of a completion: strict, then repaired, then salvaged pair by pair; or an error."""
+    text = (content or "").strip()
+    try:
+        try:
+            return {"data": dumps(loads(_braced(text) or text)), "confidence": 0.8, "error": None}
+        except Unusable as e:
+            if str(e).startswith("nested"):
+                raise
+        text = re.sub(r'\\(?!["\\/bfnrt])', r"\\\\", text.replace("\\n", "\\\\n").replace("\n", " "))
+        try:
+            if found := _braced(text):
+                data = loads(found)
+                return {"data": dumps(data), "confidence": 0.3 if data else 0.1, "error": None}
+        except Unusable as e:
+            if str(e).startswith("nested"):
+                raise
+        pairs = _salvaged(text)
+        return {"data": dumps(pairs), "confidence": 0.3 if pairs else 0.1, "error": None}
+    except ValueError as e:
+        return {"data": None, "confidence": 0.0, "error": f"the completion is {e}" if isinstance(e, Unusable) else str(e)}
 
 
 def _parse_completion(content: pd.Series) -> pd.DataFrame:
-    """Canonical JSON of a completion's first `{` to last `}` (or all of it), repaired or salvaged where needed."""
+    """Canonical JSON of a completion's first `{` to last `}` (or all of it), repaired or salvaged where needed; else an error."""
     return pd.DataFrame([_parse(x) for x in content], columns=["data", "confidence", "error"])
 
+
+def _braced_of(content: pd.Series) -> pd.Series:
+    return content.map(lambda x: _braced(x.strip()), na_action="ignore")
+
+
+def _salvaged_of(content: pd.Series) -> pd.Series:
+    """Key, type and value of each salvaged pair; a text with a number that can't be read has none."""
+
+    def one(x):
+        try:
+            pairs = _salvaged(x or "")
+        except ValueError:
+            return []
+        return [{"key": k, "type": json_type(v), "value": None if v is None else v if isinstance(v, str) else dumps(v)} for k, v in pairs.items()]
+
+    return content.map(one)
+
+
 # The UDFs are made where they are used: types are parsed by the session, which workers lack.
 
 
@@ -192,9 +291,19 @@ def properties_of(column: Column | str) -> Column:
 
 def schema_texts(column: Column | str) -> Column:
     """See _schema_texts."""
-    return F.pandas_udf(_schema_texts, "struct<ascii: string, dump: string, names: array<string>, sections: array<struct<name: string, json: string, dump: string>>>")(column)
+    return F.pandas_udf(_schema_texts, "struct<ascii: string, dump: string, names: array<string>, sections: array<struct<name: string, json: string, dump: string>>, error: string>")(column)
 
 
 def parse_completion(column: Column | str) -> Column:
     """See _parse_completion."""
     return F.pandas_udf(_parse_completion, "struct<data: string, confidence: double, error: string>")(column)
+
+
+def braced_of(column: Column | str) -> Column:
+    """See _braced, of a trimmed text."""
+    return F.pandas_udf(_braced_of, "string")(column)
+
+
+def salvaged_of(column: Column | str) -> Column:
+    """See _salvaged_of."""
+    return F.pandas_udf(_salvaged_of, "array<struct<key: string, type: string, value: string>>")(column)

@@ -13,6 +13,11 @@ def api_response(results: DataFrame, *more: str) -> DataFrame:
     return results.select("doc_id", *more, F.col("extracted_data").alias("data"), F.col("confidence_score").alias("confidence"), "field_confidences", "low_confidence_fields", "processing_time", "strategy_used")
 
 
+def file_response(results: DataFrame) -> DataFrame:
+    """The response that names the content's and the schema's file, which are columns of the results."""
+    return api_response(results, "content_filename", "schema_filename").withColumnRenamed("data", "extracted_data")
+
+
 def summary(results: DataFrame, errors: int = 3, low: int = 3) -> DataFrame:
     """First errors and low fields, and how many there are; a preview of the data; costs and ratings, if the results were evaluated."""
     rated = [c for c in ("token_usage", "estimated_cost", "completeness", "accuracy", "efficiency", "cost_rating", "quality_rating") if c in results.columns]

@@ -30,12 +30,12 @@ def complexity(nodes: DataFrame, tokens: DataFrame, key: str = "schema_id") -> D
 
 
 def analyze(schemas: DataFrame) -> DataFrame:
-    """schemas (schema_id, schema_json) with texts, sections and complexity, which are null for a schema that is no JSON object."""
+    """schemas (schema_id, schema_json) with texts, sections and complexity, which are null where schema_error says why a schema can't be used."""
     read = schemas.withColumn("t", jsonmodel.schema_texts("schema_json"))
     tokens = read.select("schema_id", F.floor(F.length("t.ascii") / 4).alias("estimated_tokens"))
     # the root is level 0 and a dict without dicts inside is the depth itself
     nodes = schemas.select("schema_id", F.explode(jsonmodel.nodes_of("schema_json")).alias("n")).select("schema_id", "n.*")
-    return read.select("schema_id", "schema_json", F.col("t.dump").alias("schema_dump"), F.col("t.sections").alias("sections")).join(complexity(nodes, tokens), "schema_id", "left")
+    return read.select("schema_id", "schema_json", F.col("t.dump").alias("schema_dump"), F.col("t.sections").alias("sections"), F.col("t.error").alias("schema_error")).join(complexity(nodes, tokens), "schema_id", "left")
 
 
 def properties(schemas: DataFrame) -> DataFrame:
@@ -55,7 +55,3 @@ def select_strategy(n_bytes: Column, complex_: Column, override: Column | None =
 def recommend_strategy(n_chars: Column, score_: Column, large: int = LARGE_CHARS, huge: int = HUGE_CHARS) -> Column:
     return F.when((n_chars > huge) & (score_ > 50), "hierarchical").when((n_chars > large) | (score_ > 50), "chunked").otherwise("simple")
 
-
-def section_name(ord_: Column, total: Column) -> Column:
-    """Section of the property at a place (from 0), of so many properties."""
-    return F.when(total <= 5, "main").otherwise(F.concat(F.lit("section_"), (F.floor(ord_ / 5) + 1).cast("string")))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.jsonmodel import TYPES, is_truthy
+from loomspark.functions.matching import found_of
 
 #: The confidence under which a field is flagged; price of 1,000 tokens in and out; the advice of a review.
 LOW = 0.6
@@ -131,7 +132,7 @@ def score_fields(fields: DataFrame, properties: DataFrame, texts: DataFrame, *ke
 
     texts has keys and text_lower, one row for each. Of fields with equal paths (a dot may stand in
     a key) the last one counts. The fields of a document meet its text as one list, so that the
-    text is there once.
+    text is there once, and their strings are found in one pass over it.
     """
     declared = properties.where("schema_path is not null").select(*keys, F.col("schema_path").alias("parent_path"), F.lit(True).alias("reached")).distinct()
     required = properties.where("required").select(*keys, "parent_path", "key", F.lit(True).alias("required")).distinct()
@@ -140,6 +141,7 @@ def score_fields(fields: DataFrame, properties: DataFrame, texts: DataFrame, *ke
     about = F.struct("seq", "path", F.coalesce("required", F.lit(False)).alias("required"), F.lower("text").alias("value"), is_truthy(F.col("json_type"), F.col("value_json")).alias("truthy"))
     last = joined.groupBy(*keys, "path").agg(F.max_by(about, "seq").alias("f"))
     lists = last.groupBy(*keys).agg(F.array_sort(F.collect_list("f")).alias("f"))
-    found = lambda f: F.coalesce(F.contains(F.col("text_lower"), f["value"]), F.lit(False))
-    scores = F.transform("f", lambda f: F.struct(f["seq"].alias("seq"), f["path"].alias("path"), field_confidence(f["required"], found(f), f["truthy"]).alias("confidence")))
-    return lists.join(texts, list(keys)).select(*keys, scores.alias("scores"))
+    met = lists.join(texts, list(keys)).withColumn("hits", found_of(F.col("text_lower"), F.transform("f", lambda f: f["value"])))
+    hit = lambda i: F.coalesce(F.get("hits", i), F.lit(False))
+    scores = F.transform("f", lambda f, i: F.struct(f["seq"].alias("seq"), f["path"].alias("path"), field_confidence(f["required"], hit(i), f["truthy"]).alias("confidence")))
+    return met.select(*keys, scores.alias("scores"))

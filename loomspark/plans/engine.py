@@ -14,9 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions import jsonmodel, text
+from loomspark.functions import jsonmodel, matching, text
 from loomspark.operators import folding, schema, scoring
-from loomspark.plans.completion import Heuristic
+from loomspark.plans.completion import Heuristic, Missing
+from loomspark.plans.phases import Phases
 from loomspark.sources.tables import written
 
 KEYS = ("doc_id", "schema_id")
@@ -48,15 +49,17 @@ def _with_schema_id(docs: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def pairs(docs: DataFrame, schemas: DataFrame, strategy: str | None = None) -> DataFrame:
-    """Documents with a row number, their schema's facts and a strategy. docs may have a schema_id (else each meets all) and a strategy of its own."""
+    """Documents with a row number, their schema's facts and a strategy. docs may have a schema_id (else each meets all), a strategy of its own, and an error for documents that couldn't be read."""
     met = _with_schema_id(docs, schemas).join(_small(schemas, schema.analyze(schemas)), "schema_id")
     own = F.col("strategy") if "strategy" in docs.columns else F.lit(strategy).cast("string")
+    met = met.withColumn("doc_error", F.when(F.col("error").isNotNull(), F.col("error")) if "error" in docs.columns else F.lit(None).cast("string"))
+    met = met.withColumn("doc_error", F.coalesce("doc_error", F.when(F.col("text").isNull(), "the document has no text")))
     return met.withColumn("row", F.monotonically_increasing_id()).withColumn("asked", own).withColumn("strategy_used", F.when(F.col("schema_dump").isNotNull(), schema.select_strategy(F.octet_length("text"), F.col("is_complex"), own)))
 
 
 def units(met: DataFrame, max_text_chars: int = text.PROMPT_TEXT) -> DataFrame:
     """Prompts: one for a document, for each chunk, or for each section of the schema."""
-    keys = ("row", *KEYS)
+    keys, met = ("row", *KEYS), met.where("doc_error is null")
     prompt = lambda *of, **how: text.prompt(*of, most=max_text_chars, **how).alias("user_prompt")
     most = lambda strategy: F.lit(MAX_TOKENS[strategy]).alias("max_tokens")
     simple = met.where("strategy_used = 'simple'").select(*keys, F.lit(0).alias("unit_idx"), F.lit(text.SYSTEM["simple"]).alias("system_prompt"), prompt(F.col("text"), F.col("schema_dump")), most("simple"))
@@ -74,29 +77,38 @@ def totals(units_: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFr
     return units_.groupBy(*keys).agg(F.sum("total_tokens").alias("token_usage"), F.count(F.lit(1)).cast("int").alias("chunks_processed"), *more)
 
 
-def extract(docs: DataFrame, schemas: DataFrame, strategy: str | None = None, provider=None, threshold: float = scoring.LOW, max_text_chars: int = text.PROMPT_TEXT) -> DataFrame:
+def _keeper(phases: Phases | None):
+    """How a phase's result is written: as a phase of the run, if there is one to note them in."""
+    return phases.written if phases is not None else lambda name, df: written(df)
+
+
+def extract(docs: DataFrame, schemas: DataFrame, strategy: str | None = None, provider=None, threshold: float = scoring.LOW, max_text_chars: int = text.PROMPT_TEXT, phases: Phases | None = None) -> DataFrame:
     """One row for each document and schema: success, extracted_data, scores, errors, flags.
 
+    Documents that have an error or no text aren't asked about and fail with it.
     Schemas that are no JSON objects, unknown strategies and failed completions give success = false
-    and an error_message; no document's text or answer fails the others. Rows with repeated or null
-    ids are documents of their own. processing_time is the seconds that the provider took.
+    and an error_message, as do schemas and answers nested more than jsonmodel.DEPTH levels deep; no
+    document's text, schema or answer fails the others. Rows with repeated or null
+    ids are documents of their own. processing_time is the seconds that the provider took. phases
+    gets what each phase took.
     """
-    return _extract(written(pairs(docs, schemas, strategy)), schemas, provider, threshold, max_text_chars).drop("row")
+    keep = _keeper(phases)
+    return _extract(keep("schemas and strategies", pairs(docs, schemas, strategy)), schemas, provider, threshold, max_text_chars, keep).drop("row")
 
 
-def _extract(met: DataFrame, schemas: DataFrame, provider, threshold: float, max_text_chars: int) -> DataFrame:
-    answers = written((provider or Heuristic()).complete(units(met, max_text_chars)))
+def _extract(met: DataFrame, schemas: DataFrame, provider, threshold: float, max_text_chars: int, keep) -> DataFrame:
+    answers = keep("answers", (provider or Heuristic()).complete(units(met, max_text_chars)))
     parsed = answers.withColumn("p", jsonmodel.parse_completion("content"))
-    parsed = written(parsed.select("row", "unit_idx", "total_tokens", "seconds", F.coalesce("error", "p.error").alias("error"), F.col("p.data").alias("data"), F.col("p.confidence").alias("parse_confidence")))
-    about = met.select("row", *KEYS, "strategy_used", "asked", F.col("schema_dump").isNull().alias("no_schema"))
+    parsed = keep("parsing", parsed.select("row", "unit_idx", "total_tokens", "seconds", F.coalesce("error", "p.error").alias("error"), F.col("p.data").alias("data"), F.col("p.confidence").alias("parse_confidence")))
+    about = met.select("row", *KEYS, "strategy_used", "asked", "schema_error", "doc_error")
     per_doc = totals(parsed, "row", more=[F.sum("seconds").alias("processing_time"), F.max("error").alias("error"), F.min_by("parse_confidence", "unit_idx").alias("parse_confidence"), F.bool_or(F.col("data").startswith("{")).alias("has_object")])
 
     top = jsonmodel.fields(parsed, "data", "row", "unit_idx").where("depth = 0").join(about.select("row", "strategy_used"), "row")
     chunked = folding.fold_chunks(top.where("strategy_used <> 'hierarchical'"), "row")
     sections = folding.fold_sections(top.where("strategy_used = 'hierarchical'"), "row")
-    data = written(folding.objects(chunked.unionByName(sections), "row"))
+    data = keep("folding", folding.objects(chunked.unionByName(sections), "row"))
 
-    fields = written(jsonmodel.fields(data, "data", "row"))
+    fields = keep("fields", jsonmodel.fields(data, "data", "row"))
     properties = about.select("row", "schema_id").join(_small(schemas, schema.properties(schemas)), "schema_id")
     errors = scoring.validate(fields, properties, "row")
     lower = met.select("row", F.lower("text").alias("text_lower"))
@@ -105,7 +117,7 @@ def _extract(met: DataFrame, schemas: DataFrame, provider, threshold: float, max
 
     out = about.join(per_doc, "row", "left").join(data, "row", "left").join(errors, "row", "left").join(confidences, "row", "left")
     none = lambda c, t: F.coalesce(c, F.array().cast(t))
-    problem = F.when(F.col("no_schema"), "the schema is no JSON object").when(F.col("strategy_used").isNull(), F.concat(F.lit("unknown strategy: "), "asked")).when(F.col("error").isNotNull(), F.col("error")).when((F.col("strategy_used") == "simple") & ~F.col("has_object"), "the completion is no object")
+    problem = F.when(F.col("doc_error").isNotNull(), F.col("doc_error")).when(F.col("schema_error").isNotNull(), F.col("schema_error")).when(F.col("strategy_used").isNull(), F.concat(F.lit("unknown strategy: "), "asked")).when(F.col("error").isNotNull(), F.col("error")).when((F.col("strategy_used") == "simple") & ~F.col("has_object"), "the completion is no object")
     out = out.withColumn("error_message", problem).withColumn("success", problem.isNull())
     base = F.when(F.col("strategy_used") == "simple", F.col("parse_confidence")).when(F.col("strategy_used") == "chunked", BASE["chunked"]).otherwise(BASE["hierarchical"])
     # an object without members has no fields, and yet lacks what is required
@@ -117,7 +129,7 @@ def _extract(met: DataFrame, schemas: DataFrame, provider, threshold: float, max
     )
 
 
-def evaluate(docs: DataFrame, schemas: DataFrame, strategy: str | None = "auto", provider=None, threshold: float = scoring.LOW, max_text_chars: int = text.PROMPT_TEXT) -> DataFrame:
+def evaluate(docs: DataFrame, schemas: DataFrame, strategy: str | None = "auto", provider=None, threshold: float = scoring.LOW, max_text_chars: int = text.PROMPT_TEXT, phases: Phases | None = None) -> DataFrame:
     """extract() with sizes, costs, completeness, accuracy, flags and ratings.
 
     `auto` takes the recommended strategy; a long text that goes in one call is sampled for it,
@@ -125,15 +137,16 @@ def evaluate(docs: DataFrame, schemas: DataFrame, strategy: str | None = "auto",
     """
     given = _with_schema_id(docs, schemas).join(_small(schemas, schema.analyze(schemas).select("schema_id", "complexity_score")), "schema_id")
     chosen = schema.recommend_strategy(F.length("text"), F.col("complexity_score")) if strategy in (None, "", "auto") else F.lit(strategy)
-    met = written(pairs(given.drop("strategy").withColumn("strategy", chosen).drop("complexity_score"), schemas))
+    keep = _keeper(phases)
+    met = keep("schemas and strategies", pairs(given.drop("strategy").withColumn("strategy", chosen).drop("complexity_score"), schemas))
     sampled = met.withColumn("text", text.strategic_sample(F.col("text"), F.col("strategy")))
-    results = written(_extract(sampled, schemas, provider, threshold, max_text_chars))
+    results = keep("scores", _extract(sampled, schemas, provider, threshold, max_text_chars, keep))
 
-    # strings of the answer meet the text as one list, so that the text is there once
+    # strings of the answer meet the text as one list, so that the text is there once and is read once
     strings = jsonmodel.fields(results.select("row", "extracted_data"), "extracted_data", "row").where(F.trim("text") != "")
-    strings = strings.groupBy("row").agg(F.collect_list(F.trim("text")).alias("values"))
+    strings = strings.groupBy("row").agg(F.collect_list(F.lower(F.trim("text"))).alias("values"))
     about = met.join(strings, "row", "left")
-    n_found = F.size(F.filter("values", lambda v: scoring.found_in(v, F.lower("text"))))
+    n_found = F.size(F.filter(matching.found_of(F.when(F.col("values").isNotNull(), F.lower("text")), F.col("values")), lambda hit: hit))
     sizes = about.select("row", F.length("text").cast("bigint").alias("document_chars"), (F.octet_length("text") / F.lit(1048576.0)).alias("document_mb"), "complexity_score", "nesting_depth", "total_objects", "total_properties", F.size("values").alias("n_strings"), n_found.alias("n_found"))
     fields = jsonmodel.fields(results.select("row", "extracted_data"), "extracted_data", "row").where("depth = 0")
     required = _small(schemas, schema.properties(schemas).where("parent_path = '' and required").select("schema_id", "key"))
@@ -159,7 +172,7 @@ def evaluate(docs: DataFrame, schemas: DataFrame, strategy: str | None = "auto",
 
 def health(provider=None) -> dict[str, str]:
     """Whether a provider other than the offline stand-in is set."""
-    return {"status": "healthy" if provider is not None else "no_provider"}
+    return {"status": "no_provider" if provider is None or isinstance(provider, Missing) else "healthy"}
 
 
 #: Strategies and what they are for; the default; suffixes of supported files by kind.

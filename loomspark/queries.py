@@ -8,15 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions import jsonmodel, parsing, text
+from loomspark.functions import jsonmodel, text
 from loomspark.functions.jsonmodel import is_truthy
 from loomspark.operators import folding, reports, schema, scoring
 from loomspark.plans import engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: Names of a schema's top-level properties, for the query on sections.
-NAMES = [f"field_{i:02d}" for i in range(14)]
 
 
 def _query(sql: str | None = None):
@@ -117,22 +115,76 @@ def csv_render(spark, d):
     return reports.csv_text(_t(spark, d, "nation"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])
 
 
-@_query("SELECT i::BIGINT AS ord, n AS name, 'section_' || (i // 5 + 1) AS section FROM (SELECT unnest(range(0, 14)) AS i, unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS n)")
+@_query("""WITH n AS (SELECT p_partkey AS schema_id, (p_partkey % 14)::BIGINT AS n FROM part),
+p AS (SELECT schema_id, n, i, 'f' || i AS name, '"f' || i || '":{"type":"string"}' AS prop, CASE WHEN i % 2 = 0 THEN '"f' || i || '"' END AS req FROM (SELECT *, unnest(range(0, n)) AS i FROM n)),
+g AS (SELECT schema_id, CASE WHEN n <= 5 THEN 0 ELSE i // 5 END AS ord, n, count(*) AS k, string_agg(prop, ',' ORDER BY i) AS props, coalesce(string_agg(req, ',' ORDER BY i), '') AS req FROM p GROUP BY ALL)
+SELECT schema_id, ord::BIGINT AS ord, CASE WHEN n <= 5 THEN 'main' ELSE 'section_' || (ord + 1) END AS section, '{"type":"object","properties":{' || props || '},"required":[' || req || ']}' AS json FROM g
+UNION ALL SELECT schema_id, 0, 'main', '{"type":"object","properties":{},"required":[]}' FROM n WHERE n = 0""")
 def section_groups(spark, d):
-    names = spark.range(1).select(F.posexplode(F.array(*map(F.lit, NAMES))).alias("ord", "name"))
-    return names.select(F.col("ord").cast("bigint").alias("ord"), "name", schema.section_name(F.col("ord"), F.lit(len(NAMES))).alias("section"))
+    """Sections of schemas of up to 13 properties, one for each part, half of them required."""
+    n = F.col("p_partkey") % 14
+    places = F.filter(F.sequence(F.lit(0), F.lit(13)), lambda i: i < n)
+    name = lambda i: F.concat(F.lit('"f'), i.cast("string"), F.lit('"'))
+    props = F.array_join(F.transform(places, lambda i: F.concat(name(i), F.lit(':{"type":"string"}'))), ",")
+    required = F.array_join(F.transform(F.filter(places, lambda i: i % 2 == 0), name), ",")
+    schemas = _t(spark, d, "part").select(F.col("p_partkey").alias("schema_id"), F.concat(F.lit('{"type": "object", "properties": {'), props, F.lit('}, "required": ['), required, F.lit("]}")).alias("schema_json"))
+    parts = schema.analyze(schemas).select("schema_id", F.posexplode("sections").alias("ord", "s"))
+    return parts.select("schema_id", F.col("ord").cast("bigint").alias("ord"), F.col("s.name").alias("section"), F.col("s.json").alias("json"))
+
+
+#: A nested schema for each part, in the words that Spark's and DuckDB's SQL share: up to six levels, lists, lists within lists, unions.
+_SCHEMA_OF_PART = """repeat('{"type":"object","properties":{"inner":', p_size % 6) || '{"title":"' || p_name || '","type":"object","properties":{"name":{"type":"string"},"size":{"type":' || CASE WHEN p_size % 2 = 0 THEN '"integer"' ELSE '["integer","null"]' END || '}'
+|| CASE WHEN p_partkey % 3 = 0 THEN ',"type":{"type":"array","items":[{"type":"object","properties":{"a":{},"b":{"if":{}}}},[{"type":"object"}]]}' ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN ',"kind":{"anyOf":[{"type":"object"},{"$ref":"#"}]}' ELSE '' END
+|| CASE WHEN p_partkey % 5 = 0 THEN ',"list":{"items":[{"properties":{"c":{"oneOf":[]}}}]}' ELSE '' END || '},"required":["name"]}' || repeat('},"required":["inner","missing"]}', p_size % 6)"""
+
+
+@_query(f"""WITH RECURSIVE s AS (SELECT p_partkey AS schema_id, {_SCHEMA_OF_PART} AS doc FROM part), t AS (SELECT schema_id, j.id, j.parent, j.type, j.value FROM s, json_tree(s.doc) j),
+n AS (SELECT schema_id, id, type, value, 0 AS depth, false AS under_list FROM t WHERE parent IS NULL
+      UNION ALL SELECT t.schema_id, t.id, t.type, t.value, n.depth + CASE WHEN t.type = 'OBJECT' THEN 1 ELSE 0 END, n.under_list OR t.type = 'ARRAY' FROM n JOIN t ON t.schema_id = n.schema_id AND t.parent = n.id WHERE NOT (n.type = 'ARRAY' AND t.type = 'ARRAY')),
+f AS (SELECT schema_id, max(depth)::BIGINT AS nesting_depth, count(*) FILTER (json_type(value, '$.type') = 'VARCHAR' AND json_extract_string(value, '$.type') = 'object')::BIGINT AS total_objects,
+      coalesce(sum(len(json_keys(value, '$.properties'))) FILTER (json_type(value, '$.properties') = 'OBJECT'), 0)::BIGINT AS total_properties,
+      bool_or(NOT under_list AND list_has_any(json_keys(value), ['anyOf', 'oneOf', 'allOf', 'if', 'then', 'else', '$ref'])) AS has_complex_types FROM n WHERE type = 'OBJECT' GROUP BY schema_id),
+r AS (SELECT f.*, (length(doc) // 4)::BIGINT AS estimated_tokens FROM f JOIN s USING (schema_id)),
+x AS (SELECT *, nesting_depth * 10.0::DOUBLE + total_objects * 2.0::DOUBLE + total_properties * 0.5::DOUBLE + CASE WHEN has_complex_types THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END + estimated_tokens * 0.01::DOUBLE AS complexity_score FROM r)
+SELECT *, nesting_depth > 3 OR total_objects > 20 OR complexity_score > 50 AS is_complex FROM x""")
+def schema_complexity(spark, d):
+    schemas = _t(spark, d, "part").select(F.col("p_partkey").alias("schema_id"), F.expr(_SCHEMA_OF_PART).alias("schema_json"))
+    return schema.analyze(schemas).select("schema_id", "nesting_depth", "total_objects", "total_properties", "has_complex_types", "estimated_tokens", "complexity_score", "is_complex")
 
 
-@_query("""SELECT l_orderkey AS schema_id, max(l_linenumber)::BIGINT AS nesting_depth, count(*) FILTER (l_returnflag = 'N')::BIGINT AS total_objects, sum(l_linenumber * 2)::BIGINT AS total_properties,
-bool_or(l_linestatus = 'O' AND l_linenumber % 2 = 0) AS has_complex_types, (max(l_linenumber) * 100)::BIGINT AS estimated_tokens,
-max(l_linenumber) * 10.0::DOUBLE + count(*) FILTER (l_returnflag = 'N') * 2.0::DOUBLE + sum(l_linenumber * 2) * 0.5::DOUBLE + CASE WHEN bool_or(l_linestatus = 'O' AND l_linenumber % 2 = 0) THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END + max(l_linenumber) * 100 * 0.01::DOUBLE AS complexity_score,
-max(l_linenumber) > 3 OR count(*) FILTER (l_returnflag = 'N') > 20 OR max(l_linenumber) * 10.0::DOUBLE + count(*) FILTER (l_returnflag = 'N') * 2.0::DOUBLE + sum(l_linenumber * 2) * 0.5::DOUBLE + CASE WHEN bool_or(l_linestatus = 'O' AND l_linenumber % 2 = 0) THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END + max(l_linenumber) * 100 * 0.01::DOUBLE > 50 AS is_complex
-FROM lineitem GROUP BY l_orderkey""")
-def schema_complexity(spark, d):
-    lines = _t(spark, d, "lineitem")
-    nodes = lines.select(F.col("l_orderkey").alias("schema_id"), F.col("l_linenumber").alias("depth"), (F.col("l_linenumber") % 2 == 1).alias("under_list"), F.when(F.col("l_returnflag") == "N", "object").alias("type"), (F.col("l_linenumber") * 2).alias("n_properties"), (F.col("l_linestatus") == "O").alias("has_keyword"))
-    tokens = nodes.groupBy("schema_id").agg((F.max("depth") * 100).cast("bigint").alias("estimated_tokens"))
-    return schema.complexity(nodes, tokens)
+#: A nested answer for each document, in the words that both SQLs share, and the schema it is held against.
+_ANSWER = """'{"lang":"' || lang || '","about":{"source":"' || source || '","size":' || CAST(n_chars AS VARCHAR(20)) || ',"none":"","deep":{"x":0}},"tags":["' || lang || '"]' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ',"extra":null' END || '}'"""
+_ANSWER_SCHEMA = """{"type":"object","properties":{"lang":{"type":"string"},"about":{"type":"object","properties":{"source":{"type":"integer"},"none":{"type":"string"},"deep":{"type":"object","properties":{"x":{}}}},"required":["source","none","gone"]},"tags":{"type":"object"},"extra":{"type":"string"}},"required":["lang","extra","about"]}"""
+
+
+def _answers(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, fields of their answers, and the schema's properties for each."""
+    docs = _t(spark, d, "documents").where("lang is not null and source is not null and n_chars is not null").withColumn("data", F.expr(_ANSWER))
+    schemas = spark.createDataFrame([("s", _ANSWER_SCHEMA)], "schema_id string, schema_json string")
+    properties = docs.select("doc_id", F.lit("s").alias("schema_id")).join(F.broadcast(schema.properties(schemas)), "schema_id")
+    return docs, jsonmodel.fields(docs, "data", "doc_id"), properties
+
+
+_KNOWN = "(SELECT * FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL)"
+
+
+@_query(f"""SELECT doc_id, path, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.7::DOUBLE + CASE WHEN required THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN found THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN truthy THEN 0.0::DOUBLE ELSE 0.2::DOUBLE END)) AS confidence
+FROM (SELECT doc_id, 'lang' AS path, true AS required, contains(lower(text), lower(lang)) AS found, lang <> '' AS truthy FROM {_KNOWN}
+UNION ALL SELECT doc_id, 'about', true, false, true FROM {_KNOWN} UNION ALL SELECT doc_id, 'about.source', true, contains(lower(text), lower(source)), source <> '' FROM {_KNOWN} UNION ALL SELECT doc_id, 'about.size', false, false, n_chars <> 0 FROM {_KNOWN}
+UNION ALL SELECT doc_id, 'about.none', true, true, false FROM {_KNOWN} UNION ALL SELECT doc_id, 'about.deep', false, false, true FROM {_KNOWN} UNION ALL SELECT doc_id, 'about.deep.x', false, false, false FROM {_KNOWN}
+UNION ALL SELECT doc_id, 'tags', false, false, true FROM {_KNOWN} UNION ALL SELECT doc_id, 'extra', true, false, false FROM {_KNOWN} WHERE doc_id % 3 <> 0) WHERE required IS NOT NULL""")
+def nested_confidence(spark, d):
+    """Confidences of fields within declared objects, by their paths; items of lists have none."""
+    docs, fields, properties = _answers(spark, d)
+    scored = scoring.score_fields(fields, properties, docs.select("doc_id", F.lower("text").alias("text_lower")), "doc_id")
+    return scored.select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.path", "s.confidence")
+
+
+@_query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Missing required field: extra|Type mismatch for tags: expected object' ELSE 'Type mismatch for tags: expected object|Type mismatch for extra: expected string' END AS errors FROM {_KNOWN}""")
+def nested_errors(spark, d):
+    """Missing fields in the schema's order, then wrong types in the data's; only the top level is checked."""
+    _, fields, properties = _answers(spark, d)
+    return scoring.validate(fields, properties, "doc_id").select("doc_id", F.array_join("validation_errors", "|").alias("errors"))
 
 
 @_query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -143,7 +195,7 @@ def json_field(spark, d):
 
 @_query(r"SELECT page_id, md5(regexp_extract(trim(html), '(?s)\{.*\}', 0)) AS braces FROM pages")
 def brace_extract(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.md5(parsing.brace_text(F.col("html"))).alias("braces"))
+    return _t(spark, d, "pages").select("page_id", F.md5(jsonmodel.braced_of("html")).alias("braces"))
 
 
 @_query(r"""WITH c AS (SELECT event_id, props || ' "k": 5, "name": "' || event_type || '", "flag": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END || ', "name": 7' AS c FROM events),
@@ -154,7 +206,7 @@ l AS (SELECT *, row_number() OVER (PARTITION BY event_id, key ORDER BY pat DESC,
 SELECT event_id, key, CASE WHEN regexp_matches(raw, '^[0-9]+$') THEN 'integer' WHEN raw IN ('true', 'false') THEN 'boolean' WHEN raw = 'null' THEN 'null' ELSE 'string' END AS type, nullif(raw, 'null') AS value FROM l WHERE r = 1""")
 def kv_salvage(spark, d):
     content = F.concat("props", F.lit(' "k": 5, "name": "'), "event_type", F.lit('", "flag": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("null"), F.lit(', "name": 7'))
-    return parsing.salvaged(_t(spark, d, "events").select("event_id", content.alias("c")), "c", "event_id")
+    return _t(spark, d, "events").select("event_id", F.inline(jsonmodel.salvaged_of(content)))
 
 
 @_query("SELECT conv_id, md5('[' || string_agg(turn || ',' || (turn * 2), ',' ORDER BY turn) || ']') AS value, count(*)::BIGINT AS units FROM conversations GROUP BY conv_id")
@@ -299,6 +351,13 @@ def api_response(spark, d):
     return r.select("doc_id", "filename", F.md5("data").alias("data"), "confidence", F.col("field_confidences")["a"].alias("a"), F.array_join("low_confidence_fields", ",").alias("low"), "strategy_used")
 
 
+@_query(f"SELECT doc_id, md5(extracted_data) AS extracted_data, confidence_score AS confidence, 0.7::DOUBLE AS a, array_to_string(l, ',') AS low, 'simple' AS strategy_used, 'doc' || doc_id || '.txt' AS content_filename, 'schema_' || (doc_id % 3) || '.json' AS schema_filename FROM {_RESULT}")
+def file_response(spark, d):
+    """The response to an extraction of two files, which names both."""
+    r = reports.file_response(_results(spark, d).withColumns({"content_filename": F.col("filename"), "schema_filename": F.concat(F.lit("schema_"), (F.col("doc_id") % 3).cast("string"), F.lit(".json"))}))
+    return r.select("doc_id", F.md5("extracted_data").alias("extracted_data"), "confidence", F.col("field_confidences")["a"].alias("a"), F.array_join("low_confidence_fields", ",").alias("low"), "strategy_used", "content_filename", "schema_filename")
+
+
 @_query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 0.8::DOUBLE WHEN 2 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS confidence,
 CASE event_id % 4 WHEN 2 THEN '{"n":' || event_id || ',"ok":true}' WHEN 3 THEN '{}' ELSE '{"k":' || json_extract_string(props, '$.k') || '}' END AS data FROM events""")
 def parse_confidence(spark, d):
@@ -326,9 +385,23 @@ def unit_totals(spark, d):
     return engine.totals(units, "conv_id").withColumn("confidence", F.lit(engine.BASE["chunked"]))
 
 
-@_query("SELECT * FROM (VALUES ('simple', 'Direct extraction for simple documents', false), ('chunked', 'Process large documents in chunks', false), ('hierarchical', 'Multi-level processing for complex schemas', false), ('auto', 'Automatically choose the best strategy', true)) t(strategy, description, is_default)")
+@_query("""WITH c(strategy, description, is_default) AS (VALUES ('simple', 'Direct extraction for simple documents', false), ('chunked', 'Process large documents in chunks', false), ('hierarchical', 'Multi-level processing for complex schemas', false), ('auto', 'Automatically choose the best strategy', true)),
+s AS (SELECT CASE WHEN strlen(text) > 4000 AND doc_id % 2 = 0 THEN 'hierarchical' WHEN strlen(text) > 4000 OR doc_id % 2 = 0 THEN 'chunked' ELSE 'simple' END AS strategy FROM documents)
+SELECT c.strategy, description, is_default, count(s.strategy) AS n_documents FROM c LEFT JOIN s ON s.strategy = c.strategy GROUP BY ALL""")
 def strategy_catalogue(spark, d):
-    return engine.strategies(spark)
+    """The strategies, and for how many documents each is chosen."""
+    chosen = _t(spark, d, "documents").select(schema.select_strategy(F.octet_length("text"), F.col("doc_id") % 2 == 0, large=4000).alias("strategy")).groupBy("strategy").agg(F.count(F.lit(1)).alias("n_documents"))
+    return engine.strategies(spark).join(chosen, "strategy", "left").select("strategy", "description", "is_default", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+
+
+@_query(r"""WITH t(kind, suffix) AS (VALUES ('text', '.txt'), ('text', '.md'), ('text', '.json'), ('pdf', '.pdf'), ('data', '.csv'), ('bibliography', '.bib')),
+p AS (SELECT page_id, lower(regexp_extract('page' || page_id || CASE page_id % 7 WHEN 0 THEN '.PDF' WHEN 1 THEN '.csv' WHEN 2 THEN '.md' WHEN 3 THEN '.x.bib' WHEN 4 THEN '.Json' WHEN 5 THEN '.txt' ELSE '.html' END, '(\.[^./]*)$', 1)) AS suffix FROM pages)
+SELECT page_id, p.suffix, kind FROM p LEFT JOIN t ON t.suffix = p.suffix""".replace("\\\\", "\\"))
+def supported_types(spark, d):
+    """The kind of file that each page would be under another name, null for kinds that aren't known."""
+    end = F.element_at(F.array(*map(F.lit, (".PDF", ".csv", ".md", ".x.bib", ".Json", ".txt", ".html"))), (F.col("page_id") % 7 + 1).cast("int"))
+    suffix = F.lower(F.regexp_extract(F.concat(F.lit("page"), F.col("page_id").cast("string"), end), r"(\.[^./]*)$", 1))
+    return _t(spark, d, "pages").select("page_id", suffix.alias("suffix")).join(F.broadcast(engine.file_types(spark, True)), "suffix", "left").select("page_id", "suffix", "kind")
 
 
 #: The schema of the end-to-end queries.

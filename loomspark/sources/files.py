@@ -7,12 +7,15 @@ import io
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import jsonmodel
 from loomspark.functions.text import file_format, stem
 from loomspark.operators.reports import review
+from loomspark.operators.scoring import RECOMMENDATION
+from loomspark.sources.csvtext import read_csv_texts, whole_text
+from loomspark.sources.named import write_named
 
 #: Fixed value: size from which a file is marked as large.
 WARN_BYTES = 50 * 1024 * 1024
@@ -43,16 +46,6 @@ def _pdf_text(content: bytes) -> str | None:
     return None
 
 
-def _csv_text(content: bytes) -> str:
-    try:
-        table = pd.read_csv(io.BytesIO(content), index_col=False)
-    except UnicodeDecodeError:
-        table = pd.read_csv(io.BytesIO(content), encoding="latin-1", index_col=False)
-    rows = [f"Row {i + 1}: " + " | ".join(f"{c}: {v}" for c, v in row.items()) for i, (_, row) in enumerate(table.head(10).iterrows())]
-    more = [f"... and {len(table) - 10} more rows"] if len(table) > 10 else []
-    return "\n".join([f"CSV file with {len(table)} rows and {len(table.columns)} columns", f"Columns: {', '.join(map(str, table.columns))}", "\nData sample:", *rows, *more])
-
-
 def _read(content: pd.Series, format_: pd.Series) -> pd.DataFrame:
     """Text and error of PDF and CSV files; a broken file is one row with an error."""
 
@@ -63,7 +56,7 @@ def _read(content: pd.Series, format_: pd.Series) -> pd.DataFrame:
             text = _pdf_text(x)
             return text, None if text is not None else "Could not extract text from PDF" if pdf_available() else "PDF processing not available"
         try:
-            return _csv_text(x), None
+            return whole_text(x), None
         except Exception as e:
             return None, f"Could not process CSV file: {e}"
 
@@ -91,36 +84,41 @@ def _strict(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-def read_documents(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Documents of all files under a path, with a doc_id hashed from their path. strict: text that isn't UTF-8 is an error instead of Latin-1."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def too_large(files: DataFrame, max_file_size: int) -> DataFrame:
+    """Rows, as of as_documents, for the files beyond a size. Their content isn't read: the size is known from the listing, and no column needs more."""
+    error = F.format_string(f"the file has %d bytes, more than {max_file_size}", "length")
+    return files.where(F.col("length") > max_file_size).select("path", F.lit(None).cast("string").alias("text"), error.alias("error"), (F.col("length") / 1048576.0).alias("size_mb"), (F.col("length") > WARN_BYTES).alias("large"), F.regexp_extract("path", "([^/]*)$", 1).alias("filename"))
+
+
+def read_documents(spark: SparkSession, path: str, strict: bool = False, max_file_size: int | None = None) -> DataFrame:
+    """Documents of all files under a path, with a doc_id hashed from their path. strict: text that isn't UTF-8 is an error instead of Latin-1. Files beyond max_file_size bytes are rows with an error."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # the source leaves files out by their length before it opens them
+    files = every if max_file_size is None else every.where(F.col("length") <= max_file_size)
     out = as_documents(files)
     if strict:
         bad = files.select("path", F.pandas_udf(_strict, "string")("content").alias("bad")).where(F.col("bad").isNotNull() & (file_format(F.col("path")) == "text"))
         out = out.join(bad, "path", "left").withColumn("error", F.coalesce("error", "bad")).withColumn("text", F.when(F.col("bad").isNull(), F.col("text"))).drop("bad")
+    if max_file_size is not None:
+        out = out.unionByName(too_large(every, max_file_size))
     return out.withColumn("doc_id", F.xxhash64("path"))
 
 
-def read_csv_documents(spark: SparkSession, path: str, head: int = 10) -> DataFrame:
-    """path and text of CSV files, read by Spark in splits: for files too large for one task.
+def read_csv_documents(spark: SparkSession, path: str) -> DataFrame:
+    """path and text of the CSV files under a path, read by Spark in splits: for files too large for one task.
 
-    Files share the header names of the first; rows keep the file's order by their offset in it.
+    Each file has its own header and encoding. Files whose cells hold line ends are read whole.
     """
-    table = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    names = table.columns
-    row = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit("nan"))) for c in names])
-    lines = table.select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("at"), row.alias("line"))
-    first = lines.withColumn("i", F.row_number().over(Window.partitionBy("path").orderBy("at"))).where(F.col("i") <= head)
-    shown = first.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", F.concat(F.lit("Row "), F.col("i").cast("string"), F.lit(": "), "line").alias("x")))).alias("rows"))
-    counted = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n")).join(shown, "path")
-    top = F.concat(F.lit("CSV file with "), F.col("n").cast("string"), F.lit(f" rows and {len(names)} columns"))
-    more = F.when(F.col("n") > head, F.array(F.concat(F.lit("... and "), (F.col("n") - head).cast("string"), F.lit(" more rows")))).otherwise(F.array().cast("array<string>"))
-    parts = F.concat(F.array(top, F.lit("Columns: " + ", ".join(names)), F.lit(""), F.lit("Data sample:")), F.transform("rows", lambda r: r["x"]), more)
-    return counted.select("path", F.array_join(parts, "\n").alias("text"))
+    texts, ended = read_csv_texts(spark, path)
+    if ended.isEmpty():
+        return texts
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]").load(path)
+    whole = whole.select(F.col("_metadata.file_path").alias("path"), "content", "length").join(ended, "path", "left_semi")
+    return texts.unionByName(as_documents(whole).select("path", "text"))
 
 
 def _valid(schema: pd.Series) -> pd.Series:
-    return schema.map(lambda x: jsonmodel.schema_of(x) is not None)
+    return schema.map(lambda x: jsonmodel.is_schema(x))
 
 
 def read_schemas(spark: SparkSession, path: str) -> DataFrame:
@@ -138,9 +136,34 @@ def pretty(data: Column) -> Column:
     return F.pandas_udf(_pretty, "string")(data)
 
 
-def output_name(name: Column) -> Column:
-    """The default name of a document's result file."""
-    return F.concat(stem(name), F.lit("_extracted.json"))
+def output_name(name: Column, kind: str = "") -> Column:
+    """The default name of a document's result file, or of that of its metrics or review."""
+    return F.concat(stem(name), F.lit("_extracted" + (f"_{kind}" if kind else "") + ".json"))
+
+
+def result_files(results: DataFrame) -> DataFrame:
+    """name and value of the files of results that have a path: data of those that succeeded, metrics of all, reviews of those with flags.
+
+    Results whose path has the stem of another's, or that follow several schemas, get a hash of path
+    and schema in their names, so that no two names are alike.
+    """
+    own = results.withColumn("_stem", stem(F.col("path")))
+    alike = own.groupBy("_stem").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_stem", F.lit(True).alias("_alike"))
+    tail = F.when(F.col("_alike"), F.concat(F.lit("-"), F.lower(F.hex(F.xxhash64("path", "schema_id"))), F.lit(".json"))).otherwise(F.lit(".json"))
+    named = own.join(alike, "_stem", "left").withColumn("_name", F.concat("_stem", tail))
+    at = lambda kind="": output_name(F.col("_name"), kind).alias("name")
+    told = [c for c in results.columns if c not in ("path", "extracted_data")]
+    out = named.where("success").select(at(), pretty(F.col("extracted_data")).alias("value"))
+    out = out.unionByName(named.select(at("metrics"), pretty(F.to_json(F.struct(*told), {"ignoreNullFields": "false"})).alias("value")))
+    if "flags" in results.columns:
+        advice = F.struct(F.col("flags").alias("low_confidence_fields"), "validation_errors", F.col("confidence_score").alias("overall_confidence"), F.lit(RECOMMENDATION).alias("recommendation"))
+        out = out.unionByName(named.where(F.size("flags") > 0).select(at("review"), pretty(F.to_json(advice)).alias("value")))
+    return out
+
+
+def write_result_files(results: DataFrame, path: str) -> None:
+    """Files `<stem>_extracted.json`, `<stem>_extracted_metrics.json` and `<stem>_extracted_review.json` of results that have a path."""
+    write_named(result_files(results), path)
 
 
 def write_results(results: DataFrame, path: str) -> None:
