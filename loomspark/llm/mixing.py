@@ -10,7 +10,10 @@ runs of the permuted blocks of each source that no other leaf gets, and order th
 hash.
 
 Blocks grow with the mixture so that there are at most about `BLOCKS` of them: what is known of
-blocks stays small (it is one row's array at the root of the tree), and goes to the documents.
+blocks stays small (it is one row's array at the root of the tree), and goes to the documents. The
+blocks at the end of a source's target grow too; they are cut into finer ones, and those again,
+until the documents among which the end is looked for are about 4 * `FILL_WORDS` words of a source
+at any size.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ MOST = 3
 BLOCKS, BLOCK_WORDS, SHARD_WORDS, SHARD_BLOCKS = 1 << 16, 256, 1 << 22, 16
 #: Words, at least, of the blocks from which the end of a source's target is filled; shards, where there are blocks for them.
 FILL_WORDS, SHARDS = 1 << 16, 8
+#: Equal rows of a source that stay together when documents are dealt.
+MANY = 1_000
 
 
 def _uniform(*of: Column) -> Column:
@@ -85,25 +90,12 @@ def plan(documents: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, ke
     odd = F.xxhash64(F.lit(seed + 2), "key").bitwiseOR(F.lit(1))
     placed = placed.withColumn("place", F.pmod(F.pmod(odd, F.col("n_blocks")) * F.col("block") + F.pmod(F.xxhash64(F.lit(seed + 3), "key"), F.col("n_blocks")), F.col("n_blocks")))
     # the head of the further pass: whole blocks while they are well within the rest, then blocks that are looked through
-    blocks = written(placed.groupBy("key", "rest", "place").agg(F.sum("size").alias("block_words")).withColumn("lot", F.shiftright("place", 8)))
-    lots = blocks.groupBy("key", "lot").agg(F.sum("block_words").alias("lot_words"))
-    lots = lots.select("key", "lot", (F.sum("lot_words").over(Window.partitionBy("key").orderBy("lot")) - F.col("lot_words")).alias("before"))
-    within = F.sum("block_words").over(Window.partitionBy("key", "lot").orderBy("place"))
-    blocks = join_small(blocks.withColumn("within", within), lots, ["key", "lot"], rows=n_sources + 2 * BLOCKS // 256).withColumn("upto", F.col("before") + F.col("within"))
-    whole, looked = F.col("upto") + fill <= F.col("rest"), (F.col("upto") - F.col("block_words") < F.col("rest") + fill) & (F.col("rest") > 0)
-    edge = blocks.where(whole | looked).groupBy("key").agg(F.max(F.when(whole, F.col("place"))).alias("full_place"), F.max("place").alias("last_place"), F.max(F.when(whole, F.col("upto"))).alias("words_before"))
-    edge = written(edge.select("key", F.coalesce("full_place", F.lit(-1)).alias("full_place"), F.when(F.col("last_place") > F.coalesce("full_place", F.lit(-1)), F.col("last_place")).alias("last_place"), F.coalesce("words_before", F.lit(0)).alias("words_before")))
+    edge = _edge(placed.select("key", "rest", "place", "size"), "place", "rest", fill, n_sources)
     placed = join_small(placed, edge, ["key"], "left", rows=n_sources)
-    # In the blocks at the edge three of four documents are taken in order while they fit, then of all
-    # others that fit what is left the largest, and so on, so that small ones come last and fill it.
     at_edge = F.coalesce((F.col("place") > F.col("full_place")) & (F.col("place") <= F.col("last_place")) & (F.col("size") > 0), F.lit(False))
-    source = Window.partitionBy("key")
-    order = lambda *by: source.orderBy(*by, "place", "order", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_edge = placed.where(at_edge).withColumn("more", F.lit(0)).withColumn("gap", F.col("rest") - F.col("words_before"))
-    for by in ((), *[(F.desc("size"),)] * 4):
-        fits = (F.col("more") == 0) & (F.col("size") <= F.col("gap")) & (F.lit(bool(by)) | (F.pmod("order", F.lit(4)) > 0))
-        in_edge = in_edge.withColumn("until", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order(*by))).withColumn("now", (fits & (F.col("until") <= F.col("gap"))).cast("int"))
-        in_edge = in_edge.withColumn("gap", F.col("gap") - F.sum(F.col("now") * F.col("size")).over(source)).withColumn("more", F.col("more") + F.col("now"))
+    at_end = _narrowed(placed.where(at_edge).select("row", "key", "content", "order", "place", "size", (F.col("rest") - F.col("words_before")).alias("gap")), 2 * (fill + block_words), n_sources, seed)
+    chosen = written(_filled(at_end.where("looked")).select("row", "more").unionByName(at_end.where("not looked").select("row", "more")))
+    in_edge = placed.where(at_edge).join(chosen, "row")
     others = placed.where(~at_edge).withColumn("more", F.coalesce((F.col("place") <= F.col("full_place")).cast("int"), F.lit(0)))
     shared = ["row", "doc_id", "source", "ord", "size", "source_size", "target", "passes", "order", "place", "n_blocks", *("keep_" + c for c in keep or []), "more"]
     docs = others.select(*shared).unionByName(in_edge.select(*shared))
@@ -113,6 +105,55 @@ def plan(documents: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, ke
     return docs, quotas
 
 
+def _edge(docs: DataFrame, at: str, gap: str, fill: int, n_sources: int) -> DataFrame:
+    """key, full_place, last_place and words_before of sources: the last place whose words, with those before, are `fill` within the gap; the last that is looked through; words up to the former."""
+    blocks = written(docs.groupBy("key", gap, at).agg(F.sum("size").alias("block_words")).withColumn("lot", F.shiftright(at, 8)))
+    lots = blocks.groupBy("key", "lot").agg(F.sum("block_words").alias("lot_words"))
+    lots = lots.select("key", "lot", (F.sum("lot_words").over(Window.partitionBy("key").orderBy("lot")) - F.col("lot_words")).alias("before"))
+    within = F.sum("block_words").over(Window.partitionBy("key", "lot").orderBy(at))
+    blocks = join_small(blocks.withColumn("within", within), lots, ["key", "lot"], rows=n_sources + 2 * BLOCKS // 256).withColumn("upto", F.col("before") + F.col("within"))
+    whole, looked = F.col("upto") + fill <= F.col(gap), (F.col("upto") - F.col("block_words") < F.col(gap) + fill) & (F.col(gap) > 0)
+    edge = blocks.where(whole | looked).groupBy("key").agg(F.max(F.when(whole, F.col(at))).alias("full_place"), F.max(at).alias("last_place"), F.max(F.when(whole, F.col("upto"))).alias("words_before"))
+    full = F.coalesce("full_place", F.lit(-1))
+    return written(edge.select("key", full.alias("full_place"), F.when(F.col("last_place") > full, F.col("last_place")).alias("last_place"), F.coalesce("words_before", F.lit(0)).alias("words_before")))
+
+
+def _narrowed(docs: DataFrame, words: int, n_sources: int, seed: int) -> DataFrame:
+    """Documents at the end of their source's target, of about so many words a source, with `more` (1 if taken) and looked (left to be looked through).
+
+    They are dealt into finer blocks: those well within the gap are taken, those far beyond aren't,
+    and the ones between are dealt again while they have many words.
+    """
+    docs, level = docs.withColumns({"more": F.lit(0), "looked": F.lit(True)}), 0
+    if words > 4 * FILL_WORDS:
+        # equal rows are dealt alike however the table is partitioned, unless there are very many of them
+        many = written(docs.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).drop("n").withColumn("many", F.lit(True)))
+        docs = join_small(docs, many, ["key", "content"], "left").withColumn("apart", F.when(F.col("many"), F.col("row")).otherwise(0)).drop("many")
+    while words > 4 * FILL_WORDS:
+        block_words = max(FILL_WORDS // SHARD_BLOCKS, -(-words // BLOCKS))
+        fill = max(FILL_WORDS, SHARD_BLOCKS * block_words)
+        n = max(1, -(-words // block_words))
+        docs = written(docs.withColumn("fine", F.pmod(F.xxhash64(F.lit(seed + 6 + level), "content", "apart"), F.lit(n).cast("long"))))
+        edge = _edge(docs.where("looked").select("key", "gap", "fine", "size"), "fine", "gap", fill, n_sources)
+        docs = join_small(docs, edge, ["key"], "left", rows=n_sources)
+        taken_, between = F.col("fine") <= F.col("full_place"), (F.col("fine") > F.col("full_place")) & (F.col("fine") <= F.col("last_place"))
+        more = F.when(F.col("looked"), F.coalesce(taken_, F.lit(False)).cast("int")).otherwise(F.col("more"))
+        docs = docs.withColumns({"more": more, "gap": F.col("gap") - F.coalesce("words_before", F.lit(0)), "looked": F.col("looked") & F.coalesce(between, F.lit(False))}).drop("fine", "full_place", "last_place", "words_before")
+        words, level = 2 * (fill + block_words), level + 1
+    return docs
+
+
+def _filled(in_edge: DataFrame) -> DataFrame:
+    """`more` is 1 for the documents that fill the gap of their source: three of four in order while they fit, then of all others that fit what is left the largest, and so on, so that small ones come last and fill it."""
+    source = Window.partitionBy("key")
+    order = lambda *by: source.orderBy(*by, "place", "order", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for by in ((), *[(F.desc("size"),)] * 4):
+        fits = (F.col("more") == 0) & (F.col("size") <= F.col("gap")) & (F.lit(bool(by)) | (F.pmod("order", F.lit(4)) > 0))
+        in_edge = in_edge.withColumn("until", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order(*by))).withColumn("now", (fits & (F.col("until") <= F.col("gap"))).cast("int"))
+        in_edge = in_edge.withColumn("gap", F.col("gap") - F.sum(F.col("now") * F.col("size")).over(source)).withColumn("more", F.col("more") + F.col("now"))
+    return in_edge
+
+
 def shard_counts(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """shard, ord and n (blocks of that source): leaves of the splitting tree.
 
