@@ -30,8 +30,8 @@ from loomspark.sources.tables import written
 
 #: Minwise tokens of a signature; independent trees; classes of a node that are compared with all of it; pivots of a large node.
 TOKENS, TREES, FEW, PIVOTS = 64, 12, 256, 4
-#: Tasks over which an end of many links is dealt.
-SALTS = 8
+#: Links of an end that stay together: an end of more is dealt over as many tasks as it has times so many.
+HUB = 512
 #: Trees that are gone through with one pivot a node before all others.
 FIRST = 2
 #: Chunks of a node that meet its probes in one task.
@@ -169,18 +169,26 @@ def _confirm(documents: DataFrame, pairs: DataFrame, numerator: int, width: int)
 def components(links: DataFrame) -> DataFrame:
     """cls and comp (the smallest cls reachable) of all ends of links (a, b), by large-star and small-star rounds."""
 
-    def star(edges: DataFrame, small: bool) -> DataFrame:
+    def star(edges: DataFrame, n_edges: int, small: bool) -> DataFrame:
         near = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        # an end of many links is dealt over tasks
-        salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
-        met = near.withColumn("salt", salt).join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"]).drop("salt")
+        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links")).withColumn("m", F.least("u", "m"))
+        parts = F.floor((F.col("links") - 1) / F.lit(HUB)) + 1
+        if n_edges > HUB:
+            # all links have 2 * n_edges ends, so that few can be hubs
+            hubs = least.where(F.col("links") > HUB).select("u", parts.alias("parts"))
+            near = join_small(near, hubs, ["u"], "left", rows=2 * n_edges // HUB if 2 * n_edges // HUB <= BROADCAST_ROWS else None)
+            near = near.withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))).drop("parts")
+            met = near.join(least.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), ["u", "part"])
+        else:
+            met = near.join(least, "u")
         out = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")) if small else met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return (out.unionByName(least.select("u", F.col("m").alias("v"))) if small else out).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
-        edges = written(star(star(edges, False), True).distinct())
+        n = edges.count()
+        # a large star gives a link of either end at most for each that there is
+        edges = written(star(star(edges, n, False), 2 * n, True).distinct())
         # stars are left once every end has one root and no root is an end
         ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("root")))
         if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)").isEmpty():
