@@ -51,11 +51,6 @@ def overall_confidence(base: Column, n_errors: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n_errors > 0, base * (F.lit(1.0) - n_errors * F.lit(0.1))).otherwise(base)))
 
 
-def found_in(value: Column, text_lower: Column) -> Column:
-    """Whether a string's lower case stands in a lower-cased text."""
-    return F.coalesce(F.contains(text_lower, F.lower(value)), F.lit(False))
-
-
 def completeness(n_required: Column, n_present: Column) -> Column:
     return F.when(n_required > 0, n_present / n_required).otherwise(1.0)
 

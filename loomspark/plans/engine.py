@@ -21,8 +21,8 @@ from loomspark.plans.phases import Phases
 from loomspark.sources.tables import written
 
 KEYS = ("doc_id", "schema_id")
-#: Schemas whose facts are broadcast at most, ids that are; beyond that joins are dealt by key.
-BROADCAST_SCHEMAS, BROADCAST_IDS = 1_000, 100_000
+#: Schemas whose facts are broadcast at most, bytes of their texts (facts repeat a text up to five times), ids that are; beyond that joins are dealt by key.
+BROADCAST_SCHEMAS, BROADCAST_BYTES, BROADCAST_IDS = 1_000, 4 << 20, 100_000
 #: Tokens an answer may have, and the confidence of folded results.
 MAX_TOKENS = {"simple": 4000, "chunked": 3000, "hierarchical": 4000}
 BASE = {"chunked": 0.8, "hierarchical": 0.85}
@@ -31,8 +31,9 @@ WHOLE = (1 << 31) - 1
 
 
 def _small(schemas: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts of schemas, broadcast if the schemas are few."""
-    return F.broadcast(facts) if schemas.limit(BROADCAST_SCHEMAS + 1).count() <= BROADCAST_SCHEMAS else facts
+    """Facts of schemas, broadcast if the schemas are few and small."""
+    n, size = schemas.limit(BROADCAST_SCHEMAS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("schema_json")), F.lit(0))).first()
+    return F.broadcast(facts) if n <= BROADCAST_SCHEMAS and size <= BROADCAST_BYTES else facts
 
 
 def _with_schema_id(docs: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions import jsonmodel, text
+from loomspark.functions import jsonmodel, matching, text
 from loomspark.functions.jsonmodel import is_truthy
 from loomspark.operators import folding, reports, schema, scoring
 from loomspark.plans import engine
@@ -276,10 +276,12 @@ FROM (SELECT doc_id, text, unnest(['lang', 'source', 'head']) AS key, unnest([CA
 
 def _fields(spark, d) -> DataFrame:
     docs = _t(spark, d, "documents")
-    values = F.map_from_arrays(F.array(F.lit("lang"), F.lit("source"), F.lit("head")), F.array(F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("lang")), F.col("source"), F.left("text", F.lit(5))))
-    rows = docs.select("doc_id", F.lower("text").alias("text_lower"), F.explode(values).alias("key", "v"))
+    keys = F.array(F.lit("lang"), F.lit("source"), F.lit("head"))
+    values = docs.select("doc_id", "text", F.array(F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("lang")), F.col("source"), F.left("text", F.lit(5))).alias("v"))
+    found = matching.found_of(F.lower("text"), F.transform("v", F.lower))
+    rows = values.select("doc_id", F.inline(F.arrays_zip(keys.alias("key"), F.col("v"), found.alias("found"))))
     truthy = is_truthy(F.lit("string"), F.concat(F.lit('"'), "v", F.lit('"')))
-    return rows.select("doc_id", "key", "v", scoring.field_confidence(F.col("key") == "lang", scoring.found_in(F.col("v"), F.col("text_lower")), truthy).alias("confidence"))
+    return rows.select("doc_id", "key", "v", scoring.field_confidence(F.col("key") == "lang", F.coalesce("found", F.lit(False)), truthy).alias("confidence"))
 
 
 @_query(f"SELECT doc_id, key, confidence, confidence < 0.6::DOUBLE AS low FROM {_FIELD}")
@@ -303,8 +305,8 @@ def completeness(spark, d):
 @_query("""SELECT doc_id, CASE WHEN n > 0 THEN k / n::DOUBLE ELSE 1.0::DOUBLE END AS accuracy FROM (SELECT doc_id, count(*) FILTER (trim(v) <> '') AS n, count(*) FILTER (trim(v) <> '' AND contains(lower(text), lower(trim(v)))) AS k
 FROM (SELECT doc_id, text, unnest([lang, source, left(text, 5), ' ']) AS v FROM documents) GROUP BY doc_id)""")
 def accuracy(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.lower("text").alias("t"), F.explode(F.array("lang", "source", F.left("text", F.lit(5)), F.lit(" "))).alias("v"))
-    n = rows.groupBy("doc_id").agg(F.count_if(F.trim("v") != "").alias("n"), F.count_if((F.trim("v") != "") & scoring.found_in(F.trim("v"), F.col("t"))).alias("k"))
+    strings = F.filter(F.transform(F.array("lang", "source", F.left("text", F.lit(5)), F.lit(" ")), lambda v: F.lower(F.trim(v))), lambda v: v != "")
+    n = _t(spark, d, "documents").select("doc_id", F.size(strings).alias("n"), F.size(F.filter(matching.found_of(F.lower("text"), strings), lambda hit: hit)).alias("k"))
     return n.select("doc_id", scoring.accuracy(F.col("n"), F.col("k")).alias("accuracy"))
 
 
