@@ -18,6 +18,8 @@ from loomspark.sources.tables import written
 
 #: Vectors in a shard, about; queries in a block, about (every vector is copied for each block, every query for each shard); shards whose lists are merged at once; queries of a tile.
 SHARD, BLOCK, FAN, TILE = 32_768, 32_768, 16, 512
+#: Bytes of a shard's or block's vectors as doubles, at most: those of wide vectors have fewer rows.
+VECTOR_BYTES = 16 << 20
 
 
 def clean(embeddings: DataFrame) -> DataFrame:
@@ -52,6 +54,8 @@ def search(vectors: DataFrame, queries: DataFrame, task: Callable[[pa.Table, pa.
     query_id, vec_id and score of at most a bounded number of rows for each query.
     """
     n, m = vectors.count(), queries.count()
+    width = max(1, vectors.agg(F.max(F.size("v"))).first()[0] or 0)
+    shard_rows, block_rows = (min(rows, max(1, VECTOR_BYTES // (8 * width))) for rows in (shard_rows, block_rows))
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
     # every block meets every shard: the block is one key, the shard another
     numbers = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
