@@ -312,3 +312,10 @@ def test_offline_lines_take_linear_time():
     began = time.perf_counter()
     prompt = "TEXT TO EXTRACT FROM:\n" + "\n" * 200_000 + "email: x\n\nJSON SCHEMA:\n{\n \"email\":{"
     assert json.loads(completion.heuristic("", prompt, 1)[0]) == {"email": "x"} and time.perf_counter() - began < 2
+
+
+@pytest.mark.parametrize("facts,score,complex_", [((10, 15, 47, True, 5447), 227.97, True), ((7, 16, 90, True, 2323), 190.23, True), ((6, 5, 21, False, 266), 83.16, True), ((2, 1, 3, False, 26), 23.76, False)])
+def test_golden_scores(spark, facts, score, complex_):
+    depth, objects, properties, has, tokens = facts
+    row = spark.range(1).select(schema.score(*map(F.lit, facts)).alias("score")).select("score", schema.is_complex(F.lit(depth), F.lit(objects), F.col("score")).alias("c")).first()
+    assert abs(row.score - score) < 1e-9 and row.c is complex_
