@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from importlib.resources import files
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -124,12 +125,18 @@ class Scanner:
         self.phrases = [(p.lower().encode().split(), label) for p, label in phrases.items()]
         self.automata = [(label, Automaton(t)) for label, t in templates]
         gap = rb"[^0-9a-z\x80-\xff]+"
-        self.places = [(re.compile(rb"(?<![0-9a-z\x80-\xff])(?=(" + gap.join(map(re.escape, p)) + rb")(?![0-9a-z\x80-\xff]))"), label) for p, label in self.phrases]
-        # A template can only match where its rarest mandatory word stands; the longest serves as that.
-        keys: dict[bytes, list[int]] = {}
+        self.places = [(re.compile(gap.join(map(re.escape, p)) + rb"(?![0-9a-z\x80-\xff])"), label) for p, label in self.phrases]
+        # A phrase can only stand where its first word does, a template where its rarest mandatory
+        # word does; the longest serves as that. One automaton finds all these words.
+        keys: dict[bytes, tuple[list[int], list[int]]] = {}
+        for i, (p, _) in enumerate(self.phrases):
+            keys.setdefault(p[0], ([], []))[0].append(i)
         for i, (_, a) in enumerate(self.automata):
-            keys.setdefault(max(a.required, key=len), []).append(i)
-        self.keys = [(re.compile(rb"(?<![0-9a-z\x80-\xff])" + re.escape(w) + rb"(?![0-9a-z\x80-\xff])"), found) for w, found in keys.items()]
+            keys.setdefault(max(a.required, key=len), ([], []))[1].append(i)
+        self.keys = ahocorasick.Automaton()
+        for w, found in keys.items():
+            self.keys.add_word(w.decode("latin-1"), (len(w), *found))
+        self.keys.make_automaton()
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> list[tuple]:
         """For each text: n_words, base places as (word, label), template labels with mandatory words matched."""
@@ -143,23 +150,27 @@ class Scanner:
         def row(pos: int) -> int:
             return int(nonempty[np.searchsorted(off[nonempty], pos, "right") - 1])
 
-        for pattern, label in self.places:
-            for m in pattern.finditer(buf):
-                if m.end(1) <= off[(k := row(m.start(1))) + 1]:  # else it would cross texts
-                    out[k][1].append((int(np.searchsorted(starts, m.start(1))) - int(first[k]), label))
         tried: dict[int, set[int]] = {}
-        for pattern, found in self.keys:
-            for m in pattern.finditer(buf):
-                tried.setdefault(row(m.start()), set()).update(found)
+        for end, (n, phrases, templates_) in self.keys.iter(buf.decode("latin-1")):
+            at = end - n + 1
+            if (at and MEMBER[low[at - 1]]) or (end + 1 < len(low) and MEMBER[low[end + 1]]):
+                continue  # part of a longer word
+            k = row(at)
+            for i in phrases:
+                pattern, label = self.places[i]
+                if (m := pattern.match(buf, at)) and m.end() <= off[k + 1]:  # else it would cross texts
+                    out[k][1].append((int(np.searchsorted(starts, at)) - int(first[k]), label))
+            if templates_:
+                tried.setdefault(k, set()).update(templates_)
         for k, which in tried.items():
             text = _WORD.findall(buf, int(off[k]), int(off[k + 1]))
-            at: dict[bytes, list[int]] = {}
+            places: dict[bytes, list[int]] = {}
             for i in which:
                 label, a = self.automata[i]
-                if not at:
+                if not places:
                     for j, w in enumerate(text):
-                        at.setdefault(w, []).append(j)
-                if any(a.match(text, j) >= 0 for w in a.first for j in at.get(w, ())):
+                        places.setdefault(w, []).append(j)
+                if any(a.match(text, j) >= 0 for w in a.first for j in places.get(w, ())):
                     out[k][2][label] = max(out[k][2].get(label, 0), len(a.required))
         return out
 
