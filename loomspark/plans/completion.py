@@ -149,7 +149,10 @@ class Logged:
 
         asked.mapInPandas(work, "n int").write.format("noop").mode("overwrite").save()
         layout = "prompt_key string, content string, total_tokens long, error string, seconds double, run string"
-        read = units.sparkSession.read.schema(layout).json(f"{path}/*/*.json")
+        store, root = located(path)
+        some = any(f.type == fs.FileType.Directory for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)))
+        spark = units.sparkSession
+        read = spark.read.schema(layout).json(f"{path}/*/*.json") if some else spark.createDataFrame([], layout)
         # an answer before an error; of several one
         rank = F.struct(F.col("error").isNotNull().alias("failed"), "content", "error", "total_tokens", "seconds")
         known = read.where(F.col("error").isNull() | (F.col("run") == run)).groupBy("prompt_key").agg(F.min(rank).alias("a"))

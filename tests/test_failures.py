@@ -232,6 +232,14 @@ def test_no_prompt_is_asked_twice_when_a_task_dies(tmp_path):
     assert len(calls) == 20 and sum(calls.values()) == 22  # the lost one and the failed one again
 
 
+def test_log_of_no_prompts(spark, tmp_path):
+    schemas = spark.createDataFrame([("s", GOOD)], "schema_id string, schema_json string")
+    log = completion.Logged(lambda: None, str(tmp_path / "log"))
+    assert engine.extract(spark.createDataFrame([], "doc_id long, text string"), schemas, provider=log).collect() == []
+    failed = engine.extract(spark.createDataFrame([(1, "x")], "doc_id long, text string"), schemas, provider=log).first()
+    assert not failed.success and "not callable" in failed.error_message
+
+
 def test_large_files_are_errors_and_stay_unread(spark, tmp_path):
     (tmp_path / "small.txt").write_text("small")
     (tmp_path / "large.txt").write_text("x" * 5000)
