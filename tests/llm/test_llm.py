@@ -363,6 +363,20 @@ def test_lm_scores_equal_plain_ones(spark):
             assert abs(r.base_score - base) < 1e-6 and abs(r.score - plain_ppm(counts, order, modelled(texts[r.doc_id]))) < 1e-3
 
 
+def test_lm_base_of_words_alike_in_powers(spark):
+    """Words in the order of Thue and Morse, whose sums by powers of any odd number are alike, are words of their own."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    words = [word, word.translate(str.maketrans("ab", "ba"))]
+    rows = [(i, f"{words[i % 2]} x") for i in range(20)]
+    train = collections.Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*t.split(), None])
+    n, v = sum(train.values()), len(train)
+    got = ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    base = {i: sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*t.split(), None]) for i, t in rows}
+    assert len(got) == 20 and all(abs(r.base_score - base[r.doc_id]) < 1e-9 and (r.n_known, r.train_tokens) == (3, n) for r in got)
+
+
 def test_lm_order_stays_on_many_contexts(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9000)) for _ in range(320)]
