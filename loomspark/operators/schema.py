@@ -20,22 +20,29 @@ def is_complex(depth: Column, objects: Column, score_: Column) -> Column:
     return (depth > 3) | (objects > 20) | (score_ > 50)
 
 
-def complexity(nodes: DataFrame, tokens: DataFrame, key: str = "schema_id") -> DataFrame:
-    """Complexity of each schema, from its nodes and its estimated tokens."""
-    out = nodes.groupBy(key).agg(
-        F.max("depth").cast("bigint").alias("nesting_depth"), F.count_if(F.col("type") == "object").alias("total_objects"), F.sum("n_properties").cast("bigint").alias("total_properties"), F.bool_or(F.col("has_keyword") & ~F.col("under_list")).alias("has_complex_types")
-    )
-    out = out.join(tokens, key).withColumn("complexity_score", score(F.col("nesting_depth"), F.col("total_objects"), F.col("total_properties"), F.col("has_complex_types"), F.col("estimated_tokens")))
+def complexity(schemas: DataFrame) -> DataFrame:
+    """Add the complexity of each schema, from its nodes (an array) and its estimated tokens; null without nodes.
+
+    All of it is worked out within the row: a schema's nodes are at hand there, and neither they
+    nor its texts are shuffled.
+    """
+    some = lambda c: F.when(F.size("nodes") > 0, c)
+    out = schemas.select(
+        "*", F.array_max(F.transform("nodes", lambda n: n["depth"])).cast("bigint").alias("nesting_depth"), some(F.size(F.filter("nodes", lambda n: n["type"] == "object")).cast("bigint")).alias("total_objects"),
+        some(F.aggregate("nodes", F.lit(0).cast("bigint"), lambda total, n: total + n["n_properties"])).alias("total_properties"), some(F.exists("nodes", lambda n: n["has_keyword"] & ~n["under_list"])).alias("has_complex_types"),
+    ).drop("nodes")
+    out = out.withColumn("complexity_score", score(F.col("nesting_depth"), F.col("total_objects"), F.col("total_properties"), F.col("has_complex_types"), F.col("estimated_tokens")))
     return out.withColumn("is_complex", is_complex(F.col("nesting_depth"), F.col("total_objects"), F.col("complexity_score")))
 
 
 def analyze(schemas: DataFrame) -> DataFrame:
-    """schemas (schema_id, schema_json) with texts, sections and complexity, which are null where schema_error says why a schema can't be used."""
-    read = schemas.withColumn("t", jsonmodel.schema_texts("schema_json"))
-    tokens = read.select("schema_id", F.floor(F.length("t.ascii") / 4).alias("estimated_tokens"))
+    """schemas (schema_id, schema_json) with texts, sections and complexity, which are null where schema_error says why a schema can't be used.
+
+    Each fact is a function of its own, so that those which nobody asks for aren't worked out.
+    """
     # the root is level 0 and a dict without dicts inside is the depth itself
-    nodes = schemas.select("schema_id", F.explode(jsonmodel.nodes_of("schema_json")).alias("n")).select("schema_id", "n.*")
-    return read.select("schema_id", "schema_json", F.col("t.dump").alias("schema_dump"), F.col("t.sections").alias("sections"), F.col("t.error").alias("schema_error")).join(complexity(nodes, tokens), "schema_id", "left")
+    read = schemas.select("schema_id", "schema_json", jsonmodel.schema_texts("schema_json").alias("t"), jsonmodel.sections_of("schema_json").alias("sections"), jsonmodel.nodes_of("schema_json").alias("nodes"), F.floor(jsonmodel.ascii_length("schema_json") / 4).alias("estimated_tokens"))
+    return complexity(read.select("schema_id", "schema_json", F.col("t.dump").alias("schema_dump"), "sections", F.col("t.error").alias("schema_error"), "nodes", "estimated_tokens"))
 
 
 def properties(schemas: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from loomspark.functions import jsonmodel, matching, text
 from loomspark.functions.jsonmodel import is_truthy
 from loomspark.operators import folding, reports, schema, scoring
 from loomspark.plans import engine
+from loomspark.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -127,8 +128,9 @@ def section_groups(spark, d):
     name = lambda i: F.concat(F.lit('"f'), i.cast("string"), F.lit('"'))
     props = F.array_join(F.transform(places, lambda i: F.concat(name(i), F.lit(':{"type":"string"}'))), ",")
     required = F.array_join(F.transform(F.filter(places, lambda i: i % 2 == 0), name), ",")
-    schemas = _t(spark, d, "part").select(F.col("p_partkey").alias("schema_id"), F.concat(F.lit('{"type": "object", "properties": {'), props, F.lit('}, "required": ['), required, F.lit("]}")).alias("schema_json"))
-    parts = schema.analyze(schemas).select("schema_id", F.posexplode("sections").alias("ord", "s"))
+    schemas = spread(_t(spark, d, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("schema_id"), F.concat(F.lit('{"type": "object", "properties": {'), props, F.lit('}, "required": ['), required, F.lit("]}")).alias("schema_json"))
+    # the outer form: from the other one a filter on the list's size is inferred, which makes all sections twice, the first time before they are dealt
+    parts = schema.analyze(schemas).select("schema_id", F.posexplode_outer("sections").alias("ord", "s")).where("ord is not null")
     return parts.select("schema_id", F.col("ord").cast("bigint").alias("ord"), F.col("s.name").alias("section"), F.col("s.json").alias("json"))
 
 

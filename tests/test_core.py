@@ -10,7 +10,7 @@ from loomspark.operators import folding, schema, scoring
 from loomspark.__main__ import main
 from loomspark.plans import completion, engine
 from loomspark.plans.settings import Settings
-from loomspark.sources import files
+from loomspark.sources import files, tables
 from loomspark.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -306,6 +306,18 @@ def test_sample_facts(spark):
     assert [x.name for x in r.sections] == ["main"]
 
 
+@pytest.mark.parametrize("query", ["section_groups"])
+def test_schemas_of_a_small_file_are_dealt(spark, tmp_path, query):
+    """A file that Spark reads in one task is read as JSON in many, each text once for a fact, and no fact is shuffled."""
+    n = 3 * tables.ROWS
+    parts = spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name"), (F.col("id") % 50).cast("int").alias("p_size"))
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = queries.QUERIES[query](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.rdd.getNumPartitions() == 3 and out.select("schema_id").distinct().count() == n
+    assert plan.count("Repartition") == 1 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "Aggregate" not in plan.split("ArrowEvalPython")[0]
+
+
 def test_offline_lines_take_linear_time():
     import time
 
