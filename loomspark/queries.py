@@ -150,7 +150,7 @@ r AS (SELECT f.*, (length(doc) // 4)::BIGINT AS estimated_tokens FROM f JOIN s U
 x AS (SELECT *, nesting_depth * 10.0::DOUBLE + total_objects * 2.0::DOUBLE + total_properties * 0.5::DOUBLE + CASE WHEN has_complex_types THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END + estimated_tokens * 0.01::DOUBLE AS complexity_score FROM r)
 SELECT *, nesting_depth > 3 OR total_objects > 20 OR complexity_score > 50 AS is_complex FROM x""")
 def schema_complexity(spark, d):
-    schemas = _t(spark, d, "part").select(F.col("p_partkey").alias("schema_id"), F.expr(_SCHEMA_OF_PART).alias("schema_json"))
+    schemas = spread(_t(spark, d, "part").select("p_partkey", "p_size", "p_name"), "p_partkey").select(F.col("p_partkey").alias("schema_id"), F.expr(_SCHEMA_OF_PART).alias("schema_json"))
     return schema.analyze(schemas).select("schema_id", "nesting_depth", "total_objects", "total_properties", "has_complex_types", "estimated_tokens", "complexity_score", "is_complex")
 
 

@@ -306,7 +306,7 @@ def test_sample_facts(spark):
     assert [x.name for x in r.sections] == ["main"]
 
 
-@pytest.mark.parametrize("query", ["section_groups"])
+@pytest.mark.parametrize("query", ["section_groups", "schema_complexity"])
 def test_schemas_of_a_small_file_are_dealt(spark, tmp_path, query):
     """A file that Spark reads in one task is read as JSON in many, each text once for a fact, and no fact is shuffled."""
     n = 3 * tables.ROWS
