@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,10 +37,12 @@ def found(text: str, strings: Sequence[str | None]) -> list[bool]:
     return [s is not None and hits[s] for s in strings]
 
 
-def _found(texts: pd.Series, lists: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or x is None else found(t, x) for t, x in zip(texts, lists, strict=True)], dtype=object)
+def _found(texts: pa.Array, lists: pa.Array) -> pa.Array:
+    """Row by row, so that one text at a time is there beside the Arrow batch."""
+    rows = ((t.as_py(), x.as_py()) for t, x in zip(texts, lists, strict=True))
+    return pa.array((None if t is None or x is None else found(t, x) for t, x in rows), pa.list_(pa.bool_()))
 
 
 def found_of(text: Column | str, strings: Column | str) -> Column:
     """found() as a column: an array of booleans, null without a text or strings."""
-    return F.pandas_udf(_found, "array<boolean>")(text, strings)
+    return F.arrow_udf(_found, "array<boolean>")(text, strings)

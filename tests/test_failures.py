@@ -6,9 +6,11 @@ import random
 import subprocess
 import sys
 import textwrap
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -277,3 +279,20 @@ def test_phases_of_a_run(spark):
     assert all(r.rows == 30 and r.seconds > 0 and r.tasks > 0 and r.cpu_seconds > 0 and r.output_bytes > 0 for r in got.values())
     assert got["answers"].provider_seconds >= 0.3 and got["answers"].text_bytes == 30 * len('{"a":"x"}') and got["folding"].peak_memory > 0
     assert run.table().agg(scoring.llm_share(F.sum("provider_seconds"), F.sum("seconds"))).first()[0] > 0 and run.seconds() >= got["answers"].seconds
+
+
+def _peak(work) -> int:
+    """The most bytes that Python's own objects take during work()."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_texts_of_a_batch_are_looked_through_one_by_one():
+    texts, strings = pa.array([f"{i} " + "word " * 20_000 for i in range(100)]), pa.array([[str(i), "none", None] for i in range(100)])
+    got = []
+    assert _peak(lambda: got.append(matching._found(texts, strings))) < texts.nbytes // 10
+    assert got[0].to_pylist() == [[True, False, False]] * 100
