@@ -14,7 +14,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,12 @@ from pyspark.sql import functions as F
 from loomspark.sources.named import located
 
 ANSWER = "row long, unit_idx int, content string, total_tokens long, error string, seconds double"
+_ANSWER = pa.schema([("row", pa.int64()), ("unit_idx", pa.int32()), ("content", pa.string()), ("total_tokens", pa.int64()), ("error", pa.string()), ("seconds", pa.float64())])
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows one by one, so that one prompt at a time is there beside the Arrow batch."""
+    return (tuple(x.as_py() for x in row) for row in zip(*batch.columns, strict=True))
 
 
 def prompt_key(df: DataFrame) -> DataFrame:
@@ -61,20 +67,20 @@ class Calls:
     def complete(self, units: DataFrame) -> DataFrame:
         make = self.make
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             call = None
             try:
-                for frame in frames:
+                for batch in batches:
                     out = []
-                    for u in frame.itertuples(index=False):
+                    for row, unit_idx, *prompt in _rows(batch):
                         began = time.perf_counter()
                         try:
                             call = call or make()
-                            content, tokens = call(u.system_prompt, u.user_prompt, u.max_tokens)
-                            out.append((u.row, u.unit_idx, content, tokens, None, time.perf_counter() - began))
+                            content, tokens = call(*prompt)
+                            out.append((row, unit_idx, content, tokens, None, time.perf_counter() - began))
                         except Exception as e:  # one document's failure is its own row
-                            out.append((u.row, u.unit_idx, None, 0, str(e), time.perf_counter() - began))
-                    yield pd.DataFrame(out, columns=["row", "unit_idx", "content", "total_tokens", "error", "seconds"])
+                            out.append((row, unit_idx, None, 0, str(e), time.perf_counter() - began))
+                    yield pa.RecordBatch.from_pylist([dict(zip(_ANSWER.names, x, strict=True)) for x in out], _ANSWER)
             finally:
                 try:
                     if hasattr(call, "close"):
@@ -82,7 +88,7 @@ class Calls:
                 except Exception:  # the answers are there already
                     pass
 
-        return units.select("row", "unit_idx", "system_prompt", "user_prompt", "max_tokens").mapInPandas(run, ANSWER)
+        return units.select("row", "unit_idx", "system_prompt", "user_prompt", "max_tokens").mapInArrow(run, ANSWER)
 
 
 class Logged:
@@ -107,7 +113,7 @@ class Logged:
         asked = keyed_.groupBy("prompt_key").agg(F.first("system_prompt").alias("system_prompt"), F.first("user_prompt").alias("user_prompt"), F.first("max_tokens").alias("max_tokens"))
         asked = asked.withColumn("bucket", F.pmod(F.xxhash64("prompt_key"), F.lit(self.buckets)).cast("int")).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "prompt_key")
 
-        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, root = located(path)
             call, bucket, done, held = None, None, set(), []
 
@@ -122,20 +128,20 @@ class Logged:
                     held.clear()
 
             try:
-                for frame in frames:
-                    for u in frame.itertuples(index=False):
-                        if u.bucket != bucket:
+                for batch in batches:
+                    for own, key, *prompt in _rows(batch):
+                        if own != bucket:
                             add()
-                            bucket, done = u.bucket, _answered(store, f"{root}/bucket={u.bucket}", run)
-                        if u.prompt_key in done:
+                            bucket, done = own, _answered(store, f"{root}/bucket={own}", run)
+                        if key in done:
                             continue
                         began = time.perf_counter()
                         try:
                             call = call or make()
-                            content, tokens = call(u.system_prompt, u.user_prompt, u.max_tokens)
-                            held.append({"prompt_key": u.prompt_key, "content": content, "total_tokens": tokens, "error": None, "seconds": time.perf_counter() - began, "run": run})
+                            content, tokens = call(*prompt)
+                            held.append({"prompt_key": key, "content": content, "total_tokens": tokens, "error": None, "seconds": time.perf_counter() - began, "run": run})
                         except Exception as e:  # one prompt's failure is its own row
-                            held.append({"prompt_key": u.prompt_key, "content": None, "total_tokens": 0, "error": str(e), "seconds": time.perf_counter() - began, "run": run})
+                            held.append({"prompt_key": key, "content": None, "total_tokens": 0, "error": str(e), "seconds": time.perf_counter() - began, "run": run})
                         if len(held) >= flush:
                             add()
                 add()
@@ -145,9 +151,9 @@ class Logged:
                         call.close()
                 except Exception:  # the answers are there already
                     pass
-            yield pd.DataFrame({"n": [0]})
+            yield pa.RecordBatch.from_pydict({"n": pa.array([0], pa.int32())})
 
-        asked.mapInPandas(work, "n int").write.format("noop").mode("overwrite").save()
+        asked.select("bucket", "prompt_key", "system_prompt", "user_prompt", "max_tokens").mapInArrow(work, "n int").write.format("noop").mode("overwrite").save()
         layout = "prompt_key string, content string, total_tokens long, error string, seconds double, run string"
         store, root = located(path)
         some = any(f.type == fs.FileType.Directory for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)))

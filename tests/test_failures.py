@@ -296,3 +296,25 @@ def test_texts_of_a_batch_are_looked_through_one_by_one():
     got = []
     assert _peak(lambda: got.append(matching._found(texts, strings))) < texts.nbytes // 10
     assert got[0].to_pylist() == [[True, False, False]] * 100
+
+
+class _Prompts:
+    """Units whose mapInArrow() calls its function in this process."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
+
+    def select(self, *names: str) -> "_Prompts":
+        return _Prompts(self.batch.select(list(names)))
+
+    def mapInArrow(self, f, schema: str) -> list[pa.RecordBatch]:
+        return list(f(iter([self.batch])))
+
+
+def test_prompts_of_a_batch_are_asked_one_by_one():
+    n = 100
+    units = pa.RecordBatch.from_pydict({"row": pa.array(range(n)), "unit_idx": pa.array([0] * n, pa.int32()), "system_prompt": ["s"] * n, "user_prompt": [f"{i} " + "word " * 20_000 for i in range(n)], "max_tokens": pa.array([7] * n, pa.int32())})
+    got = []
+    ask = completion.Calls(lambda: lambda system, user, most: (user.split(" ", 1)[0], len(user) + most))
+    assert _peak(lambda: got.extend(ask.complete(_Prompts(units)))) < units.nbytes // 10
+    assert [(r["row"], r["content"], r["error"]) for r in got[0].to_pylist()] == [(i, str(i), None) for i in range(n)]
